@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import mixing
-from .common import bound_arrow, table
+from . import mixing, ogg
+from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an Ogg file and read back."""
+    return ogg.media_features(ogg.store_documents(table(spark, sf_dir, "documents")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed with weights 1, 2, 3 repeating, over all words, at most three times each document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -21,6 +25,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_ogg": op3_ogg,
         "op5_mixing": op5_mixing,
     }
 
