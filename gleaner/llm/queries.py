@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg
+from . import mixing, ogg, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +23,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as tokens of a public vocabulary, packed into sequences of at most 4096."""
+    import public_tokenizers
+
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_ogg": op3_ogg,
         "op5_mixing": op5_mixing,
+        "op9_packing": op9_packing,
     }
 
 
