@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg, packing
-from .common import table
+from . import mixing, ogg, packing, warc
+from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, equal payloads as revisits, and the archives read back by byte ranges."""
+    files = warc.write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    number = "CAST(regexp_extract({}, '^<urn:x-page:(-?[0-9]+)>$', 1) AS STRING)"
+    long = lambda c: f"CAST(nullif({number.format(c)}, '') AS BIGINT)"
+    return warc.read_warc(files).selectExpr(f"{long('record_id')} AS page_id", "payload_bytes", "payload_digest", "record_type", f"{long('refers_to')} AS refers_to")
+
+
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as an Ogg file and read back."""
     return ogg.media_features(ogg.store_documents(table(spark, sf_dir, "documents")))
@@ -33,6 +41,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_warc": op2_warc,
         "op3_ogg": op3_ogg,
         "op5_mixing": op5_mixing,
         "op9_packing": op9_packing,
