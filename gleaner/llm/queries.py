@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg, packing, warc
+from . import mixing, ogg, packing, toxicity, warc
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,12 +39,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by a classifier that weak supervision has trained."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_warc": op2_warc,
         "op3_ogg": op3_ogg,
         "op5_mixing": op5_mixing,
         "op9_packing": op9_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
