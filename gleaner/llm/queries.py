@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg, packing, toxicity, warc
+from . import mixing, ogg, packing, quality, toxicity, warc
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text judged by rules whose cutoffs lose few good texts in any language."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives, equal payloads as revisits, and the archives read back by byte ranges."""
     files = warc.write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
@@ -47,6 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality": op1_quality,
         "op2_warc": op2_warc,
         "op3_ogg": op3_ogg,
         "op5_mixing": op5_mixing,
