@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg, packing, quality, toxicity, warc
+from . import language, mixing, ogg, packing, quality, toxicity, warc
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text by a convolutional network over its bytes."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as tokens of a public vocabulary, packed into sequences of at most 4096."""
     import public_tokenizers
@@ -56,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op2_warc": op2_warc,
         "op3_ogg": op3_ogg,
         "op5_mixing": op5_mixing,
+        "op6_language": op6_language,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
     }
