@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, ogg, packing, quality, toxicity, warc
+from . import language, minhash, mixing, ogg, packing, quality, toxicity, warc
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates over all texts."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as tokens of a public vocabulary, packed into sequences of at most 4096."""
     import public_tokenizers
@@ -63,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op3_ogg": op3_ogg,
         "op5_mixing": op5_mixing,
         "op6_language": op6_language,
+        "op8_minhash": op8_minhash,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
     }
