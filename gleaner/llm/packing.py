@@ -12,7 +12,9 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,38 +28,108 @@ from .common import bound_arrow, slices, stored
 
 LIMIT = 4096
 END = 1
-#: Words whose ids a worker remembers; a full memory starts anew.
+#: Words whose ids a worker remembers in each of two generations; a full young generation becomes the old one.
 REMEMBERED = 400_000
 #: White space as the tokenizer's patterns see it (the Unicode property), and what only Python's split() takes for it.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
+class LetterWords:
+    """Ids of words that are letters alone, by a faster encoder with the same merges.
+
+    Words are given to it with a mark in place of the vocabulary's end-of-word suffix. A last letter joins its mark
+    first, as these are the pairs of the lowest rank; all other pairs have the rank of the token they make.
+    """
+
+    MARK = "\x01"
+
+    def __init__(self, path: str, letters: str) -> None:
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix, mark = model["end_of_word_suffix"], self.MARK.encode()
+        # the byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the rest follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in set(plain))}
+        ids = {}
+        for token, number in model["vocab"].items():
+            core = token.removesuffix(suffix)
+            if all(c in byte for c in core):
+                ids[bytes(byte[c] for c in core) + mark * (core != token)] = number
+        first = [bytes([b]) for b in range(256)] + sorted((t for t in ids if len(t) == 2 and t.endswith(mark)), key=ids.__getitem__)
+        order = first + sorted(ids.keys() - set(first), key=ids.__getitem__)
+        self.ids = np.array([ids.get(t, 0) for t in order], "<u4")
+        self.ends = np.array([len(t) > 1 and t.endswith(mark) for t in order])
+        self.encoding = tiktoken.Encoding(letters, pat_str=f"[^{self.MARK}]*{self.MARK}", mergeable_ranks={t: k for k, t in enumerate(order)}, special_tokens={})
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        found = np.array(self.encoding.encode_ordinary(self.MARK.join(words) + self.MARK))
+        data = self.ids[found].tobytes()
+        ends = (4 * (np.flatnonzero(self.ends[found]) + 1)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class WordIds:
     """Token ids of whole texts from remembered ids of their words.
 
     The vocabulary's patterns drop white space and never join what it parts, so that a text's ids are those of its
-    words one after the other.
+    words one after the other; likewise letters and a run of marks after them are encoded each for itself.
     """
 
+    MARKED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.letters = LetterWords(path, "letters")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def slow(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Have the ids of these words in the young generation."""
+        odd, plain, stems, tails = [], [], [], []
+        for w in words:
+            ids = self.old.get(w)
+            if ids is not None:
+                self.young[w] = ids
+                continue
+            stem, tail = (unicodedata.normalize("NFC", w) if not w.isascii() else w).lower(), ""
+            if not stem.isalpha() and (m := self.MARKED.fullmatch(stem)):
+                stem, tail = m.groups()
+            if stem.isalpha() and "\u03a3" not in w:
+                plain.append(w)
+                stems.append(stem)
+                tails.append(tail)
+            else:
+                odd.append(w)
+        if new := list({t for t in tails if t and t not in self.marks}):
+            if len(self.marks) > REMEMBERED:
+                self.marks = {}
+                new = list({t for t in tails if t})
+            self.marks |= zip(new, self.slow(new), strict=True)
+        for w, ids, tail in zip(plain, self.letters(stems), tails, strict=True):
+            self.young[w] = ids + self.marks[tail] if tail else ids
+        self.young |= zip(odd, self.slow(odd), strict=True)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         words = [w for w in SPACE.split(text) if w] if NOT_SPACE.search(text) else text.split()
-        found = list(map(self.known.get, words))
+        found = list(map(self.young.get, words))
         if None in found:
-            new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {w: ids for w, ids in zip(words, found, strict=True) if ids is not None}
-            for word, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(encoded.ids, "<u4").tobytes()
-            found = list(map(self.known.__getitem__, words))
+            self.learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            found = list(map(self.young.__getitem__, words))
+            if len(self.young) > REMEMBERED:
+                self.young, self.old = {}, self.young
         return b"".join(found)
 
 
