@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, ogg, packing, quality, toxicity, warc
+from . import language, minhash, mixing, ogg, packing, quality, suffixes, toxicity, warc
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document with a smaller id has, removed from every text."""
+    return suffixes.strip(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicates over all texts."""
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op3_ogg": op3_ogg,
         "op5_mixing": op5_mixing,
         "op6_language": op6_language,
+        "op7_suffixes": op7_suffixes,
         "op8_minhash": op8_minhash,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
