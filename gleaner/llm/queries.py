@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, ogg, packing, quality, suffixes, toxicity, warc
+from . import language, minhash, mixing, ogg, packing, pii, quality, suffixes, toxicity, warc
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.store_documents(table(spark, sf_dir, "documents")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: fixed forms, and identifiers that their contexts give away."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed with weights 1, 2, 3 repeating, over all words, at most three times each document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -72,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op1_quality": op1_quality,
         "op2_warc": op2_warc,
         "op3_ogg": op3_ogg,
+        "op4_pii": op4_pii,
         "op5_mixing": op5_mixing,
         "op6_language": op6_language,
         "op7_suffixes": op7_suffixes,
