@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import bound_arrow, slices
 
 #: Labelled rows used for training, at most; they are those whose ids hash lowest.
-SAMPLE = 8000
+SAMPLE = 6000
 #: Voters of each kind, at most.
 VOTERS = 96
 BEGINNINGS = (3, 4, 5, 6)
@@ -72,17 +72,32 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def suggest(docs: list[set[str]], toxic: np.ndarray, most: int) -> list[str]:
-    """The features that speak most clearly for the toxic class, without those that a chosen shorter one covers."""
-    yes, no = Counter(), Counter()
-    for features, y in zip(docs, toxic, strict=True):
-        (yes if y else no).update(features)
+def suggest(texts: list[str], toxic: np.ndarray, lengths: tuple[int, ...], most: int) -> list[str]:
+    """The words (no lengths) or beginnings that speak most clearly for the toxic class.
+
+    Those that a chosen shorter one covers are left out. Features are counted in toxic texts first, and in the others
+    only if they are frequent enough there.
+    """
+
+    def features(text: str) -> set[str]:
+        found = set(LETTERS.findall(text.lower()))
+        return beginnings(found, lengths) if lengths else found
+
     n_yes, n_no = int(toxic.sum()), int(len(toxic) - toxic.sum())
     least = max(3, round(0.01 * n_yes))
+    yes: Counter[str] = Counter()
+    for t, y in zip(texts, toxic, strict=True):
+        if y:
+            yes.update(features(t))
+    yes = Counter({f: k for f, k in yes.items() if k >= least})
+    no: Counter[str] = Counter()
+    for t, y in zip(texts, toxic, strict=True):
+        if not y:
+            no.update(features(t) & yes.keys())
     rated = []
     for f, k in yes.items():
         rate, other = k / n_yes, (no[f] + 0.5) / (n_no + 1)
-        if k >= least and rate > 8 * other:
+        if rate > 8 * other:
             rated.append((-k * np.log(rate / other), len(f), f))
     chosen: list[str] = []
     for _, _, f in sorted(rated):
@@ -143,9 +158,8 @@ def train(texts: list[str], labels: list[int]) -> Model:
     if not 0 < toxic.sum() < len(toxic):
         rest = np.log(max(share, 1e-9) / max(1 - share, 1e-9)) if share else -30.0
         return Model({}, {}, np.zeros(len(STYLE) + 1), float(rest))
-    words = [set(LETTERS.findall(t.lower())) for t in texts]
-    lexicon = suggest(words, toxic, VOTERS)
-    starts = suggest([beginnings(w, BEGINNINGS) for w in words], toxic, VOTERS)
+    lexicon = suggest(texts, toxic, (), VOTERS)
+    starts = suggest(texts, toxic, BEGINNINGS, VOTERS)
     model = Model({w: i for i, w in enumerate(lexicon)}, {p: i + len(lexicon) for i, p in enumerate(starts)}, np.zeros(0), 0.0)
     n = len(lexicon) + len(starts) + len(STYLE)
     votes = np.zeros((len(texts), n))
