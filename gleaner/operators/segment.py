@@ -133,18 +133,18 @@ def best_split(text: Column, target: Column, window: int = 200) -> Column:
     first = F.greatest(F.lit(0), target - window)
     last = F.least(F.length(text), target + window) - 1
 
-    def best(near: Column) -> Column:
+    def best(v: Column) -> Column:
         def rate(pos: Column) -> Column:
-            two = F.substring(near, pos - first + 1, F.lit(2))
+            two = F.substring(v["near"], pos - v["first"] + 1, F.lit(2))
             value = F.when(two == "\n\n", 100.0).when(F.substring(two, 1, 1) == "\n", 50.0).when(two.rlike(r"^[.!?] $"), 30.0).when(two.rlike(r"^[,;:] $"), 10.0).otherwise(0.0)
-            return F.struct((value - F.abs(pos - target) / window * 20).alias("score"), (-pos).alias("neg"))
+            return F.struct((value - F.abs(pos - v["target"]) / window * 20).alias("score"), (-pos).alias("neg"))
 
-        return F.array_max(F.transform(F.sequence(first, last), rate))
+        return F.array_max(F.transform(F.sequence(v["first"], F.greatest(v["last"], v["first"])), rate))
 
-    # the surroundings are bound to a variable, so that they are cut out of the text once
-    found = F.get(F.transform(F.array(F.substring(text, first + 1, F.lit(2 * window + 1))), best), F.lit(0))
-    found = F.when(last >= first, found)
-    return F.when(found["score"] > 0, 1 - found["neg"]).otherwise(target)
+    # bound to a variable, so that lengths and surroundings are worked out once and not at every position
+    bound = F.struct(F.substring(text, first + 1, F.lit(2 * window + 1)).alias("near"), first.alias("first"), last.alias("last"), target.alias("target"))
+    found = F.get(F.transform(F.array(bound), best), F.lit(0))
+    return F.when((last >= first) & (found["score"] > 0), 1 - found["neg"]).otherwise(target)
 
 
 def sliding_windows(docs: DataFrame, size: int = CRITERIA_SIZE, overlap: int = 50, least: int = LEAST_SIZE) -> DataFrame:
