@@ -8,8 +8,10 @@ that occur once fill the prefix without any posting. Long lists of frequent valu
 skipped that way.
 
 Within a posting list, members are first compared with one leader, and whoever is linked joins its component; this is
-repeated with other leaders. Only members of components that are still apart are then compared with one another.
-Collisions are counted over the whole signature, and each pair that remains is confirmed on the full sets.
+repeated with other leaders. Classes in lists whose members are still apart are then posted under the rarest of their
+shingles: of two sets with 75 per cent in common, either has one of the other's rarest quarter. Those that meet there and lie in
+different components are compared with one another. Collisions are counted over the whole signature, and each pair
+that remains is confirmed on the full sets.
 
 Defined cases: null and empty texts have the empty set, are linked with nothing and stay; texts of fewer words than a
 shingle are one shingle; repeated rows and ids belong to one class; null ids join components but never name one unless
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_arrow, slices, stored
@@ -34,7 +36,7 @@ COORDINATES = 64
 AGREE = 30
 PREFIX = COORDINATES - AGREE + 1
 SIMILAR = 75  # per cent
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 3
 _rng = np.random.default_rng(7)
 FLIPS = _rng.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64)
 FACTORS = _rng.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,16 +118,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> Data
     return sides.filter(test("_ha", "_hb")).select("a", "b")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """key, cls: every class under the values of its prefix that others have too."""
-    posted = classes.select("cls", F.posexplode("signature").alias("_at", "_value"))
-    posted = posted.select("cls", F.shiftleft(F.col("_at").cast("long"), 32).bitwiseOR(F.col("_value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
+def prefix_lists(posted: DataFrame, size: Column, prefix: Column) -> DataFrame:
+    """posted: cls, key. key, cls: every class under those of its rarest `prefix` keys that others have too.
+
+    size is the number of a class's keys; those that occur once come first in the prefix and need no list.
+    """
     shared = posted.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
     common = stored(posted.join(shared, "key"), "minhash-shared")
-    rarest = Window.partitionBy("cls").orderBy("_n", "key")  # at most COORDINATES rows each
+    rarest = Window.partitionBy("cls").orderBy("_n", "key")  # as many rows as a class has keys
     placed = common.withColumn("_rank", F.row_number().over(rarest)).withColumn("_shared", F.count("*").over(Window.partitionBy("cls")))
-    # values that occur once come first in the prefix and need no list
-    return placed.filter(F.col("_rank") + COORDINATES - F.col("_shared") <= PREFIX).select("key", "cls")
+    return placed.filter(F.col("_rank") + size - F.col("_shared") <= prefix).select("key", "cls")
+
+
+def postings(classes: DataFrame) -> DataFrame:
+    """key, cls: every class under the coordinate values of its prefix that others have too."""
+    posted = classes.select("cls", F.posexplode("signature").alias("_at", "_value"))
+    posted = posted.select("cls", F.shiftleft(F.col("_at").cast("long"), 32).bitwiseOR(F.col("_value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
+    return prefix_lists(posted, F.lit(COORDINATES), F.lit(PREFIX))
+
+
+def shingle_postings(sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
+    """key, cls: every class under those of its rarest shingles of which two similar sets must share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "hashes", 2 << 20):
+                data = [np.frombuffer(h, np.int64) for h in part.column("hashes").to_pylist()]
+                sizes = np.array([len(h) for h in data])
+                columns = [pa.array(np.repeat(part.column("cls").to_numpy(), sizes)), pa.array(np.concatenate(data)), pa.array(np.repeat(sizes, sizes))]
+                yield pa.RecordBatch.from_arrays(columns, ["cls", "key", "size"])
+
+    posted = sets.select("cls", "hashes").mapInArrow(run, "cls long, key long, size long")
+    # sets this similar share at least percent of the larger one's shingles
+    return prefix_lists(posted, F.col("size"), F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
 
 
 def apart(posts: DataFrame, parts: DataFrame) -> DataFrame:
@@ -154,8 +179,10 @@ def components(docs: DataFrame, classes: DataFrame) -> DataFrame:
             leader = open_posts.groupBy("key").agg(F.min(draw).alias("_l")).select("key", F.col("_l.cls").alias("_lead"), F.col("_l.part").alias("_lead_part"))
             met = open_posts.join(leader, "key").filter("part <> _lead_part").select("cls", F.col("_lead").alias("other"))
         else:
-            right = open_posts.select("key", F.col("cls").alias("other"), F.col("part").alias("_part"))
-            met = open_posts.join(right, "key").filter("part < _part").select("cls", "other")
+            open_sets = sets.join(open_posts.select("cls").distinct(), "cls", "left_semi")
+            left = stored(apart(shingle_postings(open_sets), parts), "minhash-open")
+            right = left.select("key", F.col("cls").alias("other"), F.col("part").alias("_part"))
+            met = left.join(right, "key").filter("part < _part").select("cls", "other")
         pairs = met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
         found = stored(confirmed(agreeing(pairs, small), sets), "minhash-links")
         if found.isEmpty():
