@@ -136,13 +136,13 @@ def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.expanded(frame(spark, "asked"))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def vectors(spark: SparkSession, sf_dir: str, asked: str = "item < 5") -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"), "label")
-    return rows, rows.filter("item < 5").select(F.col("item").alias("query_id"), "vector")
+    return rows, rows.filter(asked).select(F.col("item").alias("query_id"), "vector")
 
 
-def knn_sql(score: str, where: str = "true", k: int = 8) -> str:
-    return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round({score}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 5 AND {where}),
+def knn_sql(score: str, where: str = "true", k: int = 8, asked: str = "q.vec_id < 5") -> str:
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round({score}, 6) AS score FROM embeddings v, embeddings q WHERE {asked} AND {where}),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS INTEGER) AS rank FROM s) SELECT query_id, item, score, rank FROM r WHERE rank <= {k}"""
 
 
@@ -172,6 +172,28 @@ def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.neighbours(knn.filtered(rows, section="1", pages=(20, 400)), asked, 5).select("query_id", "item", "score", "rank")
 
 
+@query(knn_sql(DOT, asked="q.vec_id % 20 = 0"))
+def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest unit vectors by dot product of every vector whose id is divisible by 20."""
+    rows, asked = vectors(spark, sf_dir, "item % 20 = 0")
+    return knn.neighbours(rows, asked, 8, "cosine").select("query_id", "item", "score", "rank")
+
+
+@query(knn_sql(L2, asked="q.vec_id % 20 = 0"))
+def l2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors by squared distance of every vector whose id is divisible by 20."""
+    rows, asked = vectors(spark, sf_dir, "item % 20 = 0")
+    return knn.neighbours(rows, asked, 8).select("query_id", "item", "score", "rank")
+
+
+@query(knn_sql(L2, "v.label = 1", 5, asked="q.vec_id % 20 = 0"))
+def filtered_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors among all with a label, of every vector whose id is divisible by 20."""
+    rows, asked = vectors(spark, sf_dir, "item % 20 = 0")
+    rows = rows.withColumn("section_title", F.col("label").cast("string"))
+    return knn.neighbours(knn.filtered(rows, section="1"), asked, 5).select("query_id", "item", "score", "rank")
+
+
 @query(f"SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 8) AS score FROM {values('ranked')} GROUP BY ALL")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal ranks summed over result lists."""
