@@ -1,7 +1,9 @@
 """Personal data by fixed forms and by bootstrapped contextual extraction, in DataFrame operations alone.
 
-Base entities have fixed forms (mail and IP addresses, payment cards, phone numbers). They are the seeds: each token with
-a digit is an instance, a seed if a base entity covers or overlaps it, and the words beside it with its own shape are its patterns.
+Base entities have fixed forms (mail and IP addresses, payment cards, phone numbers). They are the seeds: each is an
+instance as a whole, and the words beside it with its own shape are its patterns. The other instances are tokens, with and
+without the punctuation around them, and runs of as many words as a seed has; tokens that hold a whole base entity are
+seeds too. Every seed has a digit or an @, and only numbers have several words, so nothing else can be of a seed's shape.
 Scores then pass along the graph of patterns and instances: a pattern is as reliable as its instances are on average, an
 instance as its patterns are. Patterns that enough different seeds support and that end with high reliability mark
 their other instances as identifiers (kind `id`).
@@ -10,7 +12,7 @@ Positions come from the gaps between matches: the text is split by an expression
 matches are summed. The expressions are possessive and start only where a match can start, so that time is linear.
 
 Defined cases: a null or empty text has no spans; repeated rows get the same spans but support patterns once; null ids stay;
-an empty table gives an empty table; other columns are ignored; digit-free texts skip the expressions.
+an empty table gives an empty table; other columns are ignored; texts without a digit or an @ skip the expressions.
 """
 
 from __future__ import annotations
@@ -28,27 +30,41 @@ FORMS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Instances of the method: words with a digit in them.
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: Instances of the method: words with a digit or an @ in them, and several words of numbers.
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+RUN = r"(?<![\p{L}0-9+().-])[0-9+().-]++(?:\x20++[0-9+().-]++(?!\p{L}))++"
 IP_PARTS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 #: Characters beside a match in which its context words are looked for.
 BESIDE = 48
-SHORTEST = 5
 ROUNDS = 4
 SUPPORT = 5
 RELIABLE = 0.8
 
 
+def last_word(text: Column) -> Column:
+    """The last word within BESIDE characters, without the punctuation after it."""
+    near = F.translate(F.substring(text, -BESIDE, BESIDE), "\n\t\r", "   ")
+    return F.lower(F.substring_index(F.regexp_replace(near, r"[^\p{L}\p{N}]+$", ""), " ", -1))
+
+
+def first_word(text: Column) -> Column:
+    """The first word within BESIDE characters, without the punctuation before it."""
+    near = F.translate(F.substring(text, 1, BESIDE), "\n\t\r", "   ")
+    return F.lower(F.substring_index(F.regexp_replace(near, r"^[^\p{L}\p{N}]+", ""), " ", 1))
+
+
 def found(text: Column, kind: int, form: str) -> Column:
     """Matches in order: kind, at (their number), gap (characters since the match before), match, left and right (words beside)."""
-    gaps = F.split(text, form)
-    rows = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("match"), F.slice(gaps, 2, 1 << 30).alias("next"))
-    left = lambda g: F.lower(F.substring_index(F.rtrim(F.translate(F.substring(g, -BESIDE, BESIDE), "\n\t\r", "   ")), " ", -1))
-    right = lambda g: F.lower(F.substring_index(F.ltrim(F.translate(F.substring(g, 1, BESIDE), "\n\t\r", "   ")), " ", 1))
+    gaps, hits = F.split(text, form), F.regexp_extract_all(text, F.lit(form), F.lit(0))
+    rows = F.arrays_zip(
+        gaps.alias("gap"), hits.alias("match"), F.slice(gaps, 2, 1 << 30).alias("next"), F.concat(F.array(F.lit("")), hits).alias("before"), F.slice(hits, 2, 1 << 30).alias("after")
+    )
+    left = lambda x: last_word(F.concat(F.substring(x["before"], -BESIDE, BESIDE), F.substring(x["gap"], -BESIDE, BESIDE)))
+    right = lambda x: first_word(F.concat(F.substring(x["next"], 1, BESIDE), F.coalesce(F.substring(x["after"], 1, BESIDE), F.lit(""))))
     made = F.transform(
         rows,
         lambda x, i: F.struct(
-            F.lit(kind).alias("kind"), i.alias("at"), F.length(x["gap"]).alias("gap"), x["match"].alias("match"), left(x["gap"]).alias("left"), right(x["next"]).alias("right")
+            F.lit(kind).alias("kind"), i.alias("at"), F.length(x["gap"]).alias("gap"), x["match"].alias("match"), left(x).alias("left"), right(x).alias("right")
         ),
     )
     return F.filter(made, lambda x: x["match"].isNotNull())
@@ -70,7 +86,7 @@ def valid(kind: Column, match: Column) -> Column:
 def matches(docs: DataFrame) -> DataFrame:
     """row, doc_id, text_hash, matches for every row of docs, written once so that row numbers stay fixed."""
     text = F.col("text")
-    kinds = [found(text, k, FORMS[name]) for k, name in enumerate(KINDS[:4])] + [found(text, 4, TOKEN)]
+    kinds = [found(text, k, FORMS[name]) for k, name in enumerate(KINDS[:4])] + [found(text, 4, TOKEN), found(text, 5, RUN)]
     worth = F.when(text.rlike("[0-9@]"), F.concat(*kinds))
     return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), worth.alias("matches")), "pii-matches")
 
@@ -107,20 +123,59 @@ def reliable_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUP
     raise ValueError("rounds must be positive")
 
 
+def cores(tokens: DataFrame) -> DataFrame:
+    """Tokens without the punctuation around them, where there is some."""
+    before = F.length(F.regexp_extract("match", r"^[^\p{L}0-9+]*+", 0))
+    after = F.length(F.regexp_extract(F.reverse("match"), r"^[^\p{L}0-9]*+", 0))
+    cut = tokens.withColumn("_before", before).withColumn("_after", after).filter("_before + _after > 0 AND _before + _after < length(match)")
+    cut = cut.withColumn("match", F.expr("substring(match, _before + 1, length(match) - _before - _after)"))
+    return cut.withColumn("start", F.col("start") + F.col("_before")).withColumn("end", F.col("end") - F.col("_after")).drop("_before", "_after")
+
+
+def runs(numbers: DataFrame, lengths: list[int]) -> DataFrame:
+    """All runs of as many words as lengths has, without the punctuation around them: row, start, end, match, left, right."""
+    words = F.split("match", r"(?<=[^\x20])(?=\x20)")  # all but the first with the spaces before them
+    each = numbers.select("row", F.col("start").alias("from"), F.col("left").alias("_left"), F.col("right").alias("_right"), F.posexplode(words).alias("i", "word"))
+    order = Window.partitionBy("row", "from").orderBy("i")
+    upto = F.col("from") + F.sum(F.length("word")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("upto", upto).withColumn("left", F.coalesce(last_word(F.lag("word").over(order)), "_left"))
+    out = None
+    for n in lengths:
+        run = F.array_join(F.collect_list("word").over(order.rowsBetween(0, n - 1)), "")
+        right = F.coalesce(first_word(F.lead("word", n).over(order)), "_right")
+        one = each.select("row", "left", right.alias("right"), run.alias("match"), F.lead("upto", n - 1).over(order).alias("end")).filter("end IS NOT NULL")
+        out = one if out is None else out.unionByName(one)
+    out = out.withColumn("start", F.col("end") - F.length("match"))
+    return cores(out).unionByName(out.filter(~F.col("match").rlike(r"^\x20"))).select("row", "start", "end", "match", "left", "right")
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """row, doc_id, text_hash, base and spans (arrays of kind, start, end in order) for every row of docs (doc_id, text)."""
     seen = matches(docs)
     all_found = stored(placed(seen), "pii-found")
-    base = all_found.filter("kind < 4").select("row", "kind", "start", "end")
+    seeds = all_found.filter("kind < 4")
+    base = seeds.select("row", "kind", "start", "end")
     covered = base.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("covers"))  # bounded by a text's length
-    tokens = all_found.filter(f"kind = 4 AND length(match) >= {SHORTEST}").join(covered, "row", "left")
+    columns = ["row", "start", "end", "match", "left", "right"]
+    single = all_found.filter("kind = 4").select(columns)
+    others = single.unionByName(cores(single)).withColumn("word", F.lit(True))
+    n_words = F.size(F.split("match", r"\x20++")).alias("n")
+    lengths = sorted(r["n"] for r in seeds.select(n_words).filter("n > 1").distinct().collect())  # a few small numbers
+    if lengths:
+        others = others.unionByName(runs(all_found.filter("kind = 5"), lengths).withColumn("word", F.lit(False)))
+    others = others.join(covered, "row", "left")
     overlaps = F.coalesce(F.exists("covers", lambda c: (c["start"] < F.col("end")) & (F.col("start") < c["end"])), F.lit(False))
+    holds = F.coalesce(F.exists("covers", lambda c: (F.col("start") <= c["start"]) & (c["end"] <= F.col("end"))), F.lit(False))
+    others = others.withColumn("seed", F.col("word") & holds).filter(F.col("seed") | ~overlaps).select(*columns, "seed")
+    tokens = seeds.select(*columns, F.lit(True).alias("seed")).unionByName(others)
     beside = F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"))
-    tokens = tokens.select("row", "start", "end", F.xxhash64("match").alias("instance"), overlaps.alias("seed"), shape(F.col("match")).alias("shape"), F.explode(beside).alias("side"))
+    tokens = tokens.select("row", "start", "end", F.xxhash64("match").alias("instance"), "seed", shape(F.col("match")).alias("shape"), F.explode(beside).alias("side"))
     tokens = stored(tokens.filter("length(side) > 2").withColumn("pattern", F.concat_ws(" ", "side", "shape")), "pii-tokens")
     edges = stored(tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     good = stored(reliable_patterns(edges), "pii-patterns")
     new = tokens.filter("NOT seed").join(good, "pattern").select("row", F.lit(4).alias("kind"), "start", "end").distinct()
+    longer = Window.partitionBy("row").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("_until", F.max("end").over(longer)).filter("_until IS NULL OR end > _until").drop("_until")  # none within another
     every = base.unionByName(new).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("spans"))
     none = F.expr("cast(array() AS array<struct<kind:int,start:bigint,end:bigint>>)")
     out = seen.select("row", "doc_id", "text_hash").join(every, "row", "left").withColumn("spans", F.coalesce("spans", none))
