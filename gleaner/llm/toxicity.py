@@ -41,8 +41,8 @@ def held_out(doc_id: Column) -> Column:
 
 def style(text: str) -> list[str]:
     """Pattern voters that do not depend on words."""
-    capitals = sum(map(str.isupper, text[::7]))
-    return [name for name, on in zip(STYLE, (7 * capitals > len(text) // 2, 50 * text.count("!") > len(text), len(text) < 60), strict=True) if on]
+    capitals = sum(map(str.isupper, text))
+    return [name for name, on in zip(STYLE, (2 * capitals > len(text), 50 * text.count("!") > len(text), len(text) < 60), strict=True) if on]
 
 
 def beginnings(words: set[str], lengths: tuple[int, ...]) -> set[str]:

@@ -1,6 +1,6 @@
 """Corpus operators must read whole texts and every record."""
 
-from gleaner.llm import pii
+from gleaner.llm import pii, toxicity
 
 
 def spans(spark, texts):
@@ -31,3 +31,9 @@ def test_pii_spaced_phone_has_words_on_both_sides(spark):
     seeds = [f"call +1 (407) 555-02{i} {w}" for i, w in enumerate(("now", "later", "soon", "often", "today", "again"), 71)]
     got = spans(spark, seeds + ["call +1 (407) 55-02 please"])
     assert got[0] == "phone:5:22" and got[6] == "id:5:19"
+
+
+def test_shouting_reads_every_character():
+    assert toxicity.style("Hello friend") == ["short"]
+    assert "shouting" in toxicity.style("aBBBBBB" * 20)
+    assert "shouting" not in toxicity.style("Abbbbbb" * 20)
