@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import bound_arrow, slices
 
 #: Labelled rows used for training, at most; they are those whose ids hash lowest.
-SAMPLE = 6000
+SAMPLE = 8000
 #: Voters of each kind, at most.
 VOTERS = 96
 BEGINNINGS = (3, 4, 5, 6)

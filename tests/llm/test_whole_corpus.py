@@ -37,3 +37,9 @@ def test_shouting_reads_every_character():
     assert toxicity.style("Hello friend") == ["short"]
     assert "shouting" in toxicity.style("aBBBBBB" * 20)
     assert "shouting" not in toxicity.style("Abbbbbb" * 20)
+
+
+def test_toxicity_trains_on_8000_rows(spark):
+    docs = spark.range(13_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(13_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    assert toxicity.training_rows(docs, labels).count() == 8000
