@@ -39,11 +39,15 @@ def result_lists(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return both.select("query_id.query_id", "query_id.variant", "modality", "doc_id", "score", "rank")
 
 
-def sweep(lists: DataFrame) -> DataFrame:
-    """All presets over the same result lists: preset, query_id, doc_id, score, rank."""
+def sweep(lists: DataFrame, depth: int | None = None) -> DataFrame:
+    """All presets over the same result lists: preset, query_id, doc_id, score, rank.
+
+    Of each list a preset reads as many ranks as it returns, as its own search does, or depth.
+    """
     rows = [(n, h, s, w, k) for n, (h, s, w, _, k) in PRESETS.items()]
     presets = lists.sparkSession.createDataFrame(rows, "preset string, hybrid boolean, ws double, wk double, k int")
     used = lists.crossJoin(F.broadcast(presets)).filter("hybrid OR modality = 'semantic'")  # five rows: a proven bound
+    used = used.filter(F.col("rank") <= (F.col("k") if depth is None else F.lit(depth)))
     weight = F.when(F.col("modality") == "semantic", F.col("ws")).otherwise(F.col("wk"))
     fused = used.groupBy("preset", "k", "query_id", "doc_id").agg(F.round(F.sum(weight / (RRF_K + F.col("rank"))), 8).alias("score"))
     order = Window.partitionBy("preset", "query_id").orderBy(F.col("score").desc(), "doc_id")

@@ -265,7 +265,17 @@ PRESET_ROWS = ", ".join(f"('{n}', {'true' if h else 'false'}, {s}::DOUBLE, {w}::
 )
 def hybrid_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search under all presets at once."""
-    return retrieve.sweep(hybrid_lists(spark, sf_dir, 10))
+    return retrieve.sweep(hybrid_lists(spark, sf_dir, 10), 10)
+
+
+@query(
+    f"""WITH {HYBRID}, ps(preset, hybrid, ws, wk, k) AS (VALUES {PRESET_ROWS}),
+    f AS (SELECT preset, k, query_id, doc_id, round(sum(CASE modality WHEN 'semantic' THEN ws ELSE wk END / (60 + rank)), 8) AS score FROM l, ps WHERE rank <= k AND (hybrid OR modality = 'semantic') GROUP BY ALL),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY preset, query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f) SELECT preset, query_id, doc_id, score, rank FROM r WHERE rank <= k"""
+)
+def preset_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of every preset, over lists as deep as the preset's own k."""
+    return retrieve.sweep(hybrid_lists(spark, sf_dir, max(k for *_, k in PRESETS.values())))
 
 
 @query(

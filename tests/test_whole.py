@@ -3,6 +3,8 @@
 import pytest
 
 from gleaner import queries as engine
+from gleaner.functions.fixed import PRESETS
+from gleaner.plans import retrieve
 
 
 @pytest.mark.parametrize("name", ["cosine_neighbours", "l2_neighbours", "filtered_neighbours"])
@@ -12,3 +14,14 @@ def test_every_twentieth_vector_is_asked(spark, tmp_path, name):
     got = engine.queries()[name](spark, str(tmp_path)).collect()
     assert {r["query_id"] for r in got} == set(range(0, 900, 20))
     assert max(r["item"] for r in got) > 400
+
+
+def test_presets_read_lists_to_their_own_depth(spark):
+    rows = [(1, v, "semantic", 100 * v + r, r) for v in (0, 1) for r in range(1, 15) if r != 7] + [(1, v, "semantic", 7, 7) for v in (0, 1)]
+    lists = spark.createDataFrame(rows, "query_id long, variant int, modality string, doc_id long, rank int")
+    got = {(r["preset"], r["doc_id"]): r["score"] for r in retrieve.sweep(lists).collect()}
+    for name, (_, weight, _, _, k) in PRESETS.items():
+        assert got.get((name, 7)) == (round(2 * weight / 67, 8) if k >= 7 else None)
+    by_list = [(1, "semantic", d, r) for d, r in zip("abcdefghijkl", range(1, 13), strict=True)]
+    one = spark.createDataFrame(by_list, "query_id long, modality string, doc_id string, rank int")
+    assert retrieve.sweep(one).filter("preset = 'HIGH_RECALL'").count() == 12
