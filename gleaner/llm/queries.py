@@ -22,7 +22,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     number = "CAST(regexp_extract({}, '^<urn:x-page:(-?[0-9]+)>$', 1) AS STRING)"
     long = lambda c: f"CAST(nullif({number.format(c)}, '') AS BIGINT)"
-    return warc.read_warc(files).selectExpr(f"{long('record_id')} AS page_id", "payload_bytes", "payload_digest", "record_type", f"{long('refers_to')} AS refers_to")
+    read = warc.read_warc(files).selectExpr(f"{long('record_id')} AS page_id", "payload_bytes", "payload_digest", "record_type", f"{long('refers_to')} AS refers_to")
+    return warc.same_number(read, files)
 
 
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:

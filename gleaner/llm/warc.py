@@ -27,7 +27,6 @@ from .common import bound_arrow, slices, stored
 SPLIT_BYTES = 16 << 20
 READ_BYTES = 1 << 20
 OUT_BYTES = 8 << 20
-HEADER_BYTES = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 LINE = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -130,7 +129,7 @@ class Members:
         except zlib.error:
             return None
         content = b"".join(parts)
-        return (content, at - len(unpack.unused_data)) if content.startswith(b"WARC/1.") and content.find(LINE + LINE, 0, HEADER_BYTES) > 0 else None
+        return (content, at - len(unpack.unused_data)) if content.startswith(b"WARC/1.") and content.find(LINE + LINE) > 0 else None
 
     def __iter__(self) -> Iterator[tuple[int, bytes]]:
         pos, sure = self.base, False
@@ -167,6 +166,15 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
+def same_number(records: DataFrame, files: DataFrame) -> DataFrame:
+    """The stored records, if there are as many as the list of files says."""
+    kept = stored(records, "warc-read")
+    got, due = kept.count(), files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if got != due:
+        raise ValueError(f"{due} records were written, {got} were read")
+    return kept
+
+
 def http_payload(block: bytes) -> tuple[int, bytes]:
     """Length of the full payload as the HTTP header has it, and the payload that is there."""
     head, _, payload = block.partition(LINE + LINE)

@@ -1,6 +1,10 @@
 """Corpus operators must read whole texts and every record."""
 
-from gleaner.llm import pii, toxicity
+import random
+
+import pytest
+
+from gleaner.llm import pii, toxicity, warc
 
 
 def spans(spark, texts):
@@ -43,3 +47,19 @@ def test_toxicity_trains_on_8000_rows(spark):
     docs = spark.range(13_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     labels = spark.range(13_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
     assert toxicity.training_rows(docs, labels).count() == 8000
+
+
+def test_warc_long_url_is_read_back(spark, tmp_path):
+    url = "http://x/" + random.Random(5).randbytes(100_000).hex()
+    pages = spark.createDataFrame([(1, "http://x/1", "a"), (2, url, "b"), (3, "http://x/3", "c")], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_warc(pages, f"file://{tmp_path}/w")
+    for split in (1000, 1 << 24):
+        assert {(r["record_id"], r["url"]) for r in warc.read_warc(files, split).collect()} == {(warc.urn(r["page_id"]), r["url"]) for r in pages.collect()}
+
+
+def test_warc_lost_records_raise(spark, tmp_path):
+    files = warc.write_warc(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    read = warc.read_warc(files)
+    assert warc.same_number(read, files).count() == 2
+    with pytest.raises(ValueError):
+        warc.same_number(read.limit(1), files)
