@@ -2,7 +2,7 @@
 
 Texts with the same shingle set are one class. Each class has a signature; it is posted under its (coordinate, value)
 pairs. A pair of sets at the similarity bound agrees in 48 of 64 coordinates on average, and in 30 or more but for
-odds of about one in ten million; pairs that agree in fewer are dropped. So a class need only be posted under the rarest of its
+odds of 3.8e-7, one in 2.6 million; pairs that agree in fewer are dropped, in every round. So a class need only be posted under the rarest of its
 coordinate values: with 30 agreements wanted, two classes share one of their 35 rarest (the prefix), and values
 that occur once fill the prefix without any posting. Long lists of frequent values, as shared passages make them, are
 skipped that way.

@@ -1,10 +1,11 @@
 """Corpus operators must read whole texts and every record."""
 
 import random
+from math import comb
 
 import pytest
 
-from gleaner.llm import pii, toxicity, warc
+from gleaner.llm import minhash, pii, toxicity, warc
 
 
 def spans(spark, texts):
@@ -63,3 +64,8 @@ def test_warc_lost_records_raise(spark, tmp_path):
     assert warc.same_number(read, files).count() == 2
     with pytest.raises(ValueError):
         warc.same_number(read.limit(1), files)
+
+
+def test_minhash_states_its_odds():
+    missed = sum(comb(64, i) * 0.75**i * 0.25 ** (64 - i) for i in range(minhash.AGREE))
+    assert f"{missed:.1e}".replace("e-0", "e-") in minhash.__doc__
