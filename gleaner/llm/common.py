@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Upper bounds of one Arrow batch handed to Python, so that memory follows neither row count nor row width.
@@ -64,13 +65,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path  # type: ignore[attr-defined]
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path that no later step reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Remove stored tables that no later step reads, and the shuffle files of queries that have ended.
+
+    Spark drops a shuffle's files once the driver's JVM has collected the plan that made them, so ask it to.
+    """
+    for df in tables:
+        path = getattr(df, "_stored_path", None) if df is not None and "_stored_path" in df.__dict__ else None
+        if path:
+            spark = df.sparkSession
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            spark.sparkContext._jvm.System.gc()
+
+
+def open_path(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of a URI, also with the schemes that Hadoop has for S3."""
+    scheme, sep, rest = uri.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"s3://{rest}" if sep and scheme in ("s3a", "s3n") else uri)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
