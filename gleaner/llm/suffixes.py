@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, scratch, slices, stored
+from .common import bound_arrow, open_path, scratch, slices, stored
 from .shingles import PLACE, U64, mix
 
 SPAN = 50
@@ -260,7 +260,7 @@ def keep_replies(replies: DataFrame, label: str) -> tuple[str, int]:
 
 
 def replies_of(path: str, shares: int, block: int) -> list[dict]:
-    fs, root = pyarrow.fs.FileSystem.from_uri(f"{path}/share={block % shares}")
+    fs, root = open_path(f"{path}/share={share_of(block, shares)}")
     if fs.get_file_info(root).type == pyarrow.fs.FileType.NotFound:
         return []
     files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(root)) if f.path.endswith(".parquet")]
