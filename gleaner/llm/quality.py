@@ -1,14 +1,16 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule rejects a text whose statistic lies above a cutoff. Cutoffs come from fixed lists, from lenient to strict, and
-each list is tested in that order on the labelled texts of a stratum: a cutoff is safe if the exact binomial tail bounds
-its share of good texts rejected, at the rule's part of the allowed risk, with the level divided by the number of rules
-and strata; testing in a fixed order needs no further correction. Of the safe cutoffs the most lenient one is taken that
-catches nearly as many bad texts as the best. With probability 1 - level, all strata lose at most `risk` of their good texts.
-
-Defined cases: a null or empty text has zero counts and fails the base rule; a null stratum is a stratum of its own; labels that are null
-or repeated count as they are; a stratum with too few labelled good texts gets no cutoff; repeated rows are judged alike;
-an empty table gives an empty table; other columns are ignored.
+A rule rejects a text whose statistic lies above a cutoff. Labelled texts are split by a hash of the text, copies counted
+once. One part, of bounded size, orders the cutoffs of all rules into one chain of joint settings, each a little stricter than
+the one before: the cutoff that catches most bad texts for each good one lost comes next. The other part is the holdout: in
+each stratum the settings are tested in the chain's order, and one is safe if the exact binomial tail says that a true loss of more
+than `risk` of the good texts would hardly lose so few. Testing in a fixed order, on labels that had no part in it, needs no
+further correction; the level is divided by the number of strata. Of the safe settings, the most lenient one is taken that catches nearly
+as many bad texts of the holdout as the best. With probability 1 - level, every stratum loses at most `risk` of its good texts.
+
+Defined cases: a null or empty text has zero counts and fails the base rule; a null stratum is a stratum of its own; null labels are left
+out, repeated ones count once, a text with both labels counts as either; a stratum with too few labelled good texts (144 for 4
+strata) gets no cutoff; repeated rows are judged alike; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bound_arrow, slices, stored
+from .common import WORD, bound_arrow, discard, slices, stored
 
 RISK = 0.03
 LEVEL = 0.05
@@ -32,6 +34,9 @@ WINDOW = 5
 BROADCAST_STRATA = 10_000
 #: A cutoff must catch this share of what the best safe one catches.
 NEARLY = 0.98
+#: One in so many labelled texts orders the settings, up to a number of texts; all others are the holdout.
+FIT_SHARE = 5
+FIT_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
 FIND = re.compile(WORD)
 LETTER = re.compile(r"[^\W\d_]")
@@ -97,7 +102,7 @@ def statistics(text: str) -> tuple:
 
 
 def text_statistics(docs: DataFrame, stratum: str) -> DataFrame:
-    """doc_id, stratum, the counts, base_failed and a column for each rule, for every row of docs."""
+    """doc_id, stratum, text_hash, the counts, base_failed and a column for each rule, for every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = [(c, pa.int64()) for c in COUNTS] + [("base_failed", pa.bool_())] + [(r, pa.float64()) for r in RULES]
 
@@ -106,53 +111,114 @@ def text_statistics(docs: DataFrame, stratum: str) -> DataFrame:
             for part in slices(batch, "text"):
                 cols = zip(*(statistics(t or "") for t in part.column("text").to_pylist()), strict=True)
                 made = [pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("stratum"), *made], ["doc_id", "stratum", *[n for n, _ in fields]])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("stratum"), part.column("text_hash"), *made], ["doc_id", "stratum", "text_hash", *[n for n, _ in fields]])
 
     bound_arrow(docs.sparkSession)
-    schema = f"doc_id {kind}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, " + ", ".join(f"{r} double" for r in RULES)
+    schema = f"doc_id {kind}, stratum string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, " + ", ".join(f"{r} double" for r in RULES)
     named = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))
-    return docs.select("doc_id", named.alias("stratum"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", named.alias("stratum"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X binomial with n trials of probability p."""
+    """P(X <= k) for X binomial with n trials of probability p, summed from the largest term down."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return math.exp(top) * math.fsum(math.exp(x - top) for x in logs)
-
-
-def safe_cutoff(good: np.ndarray, bad: np.ndarray, cutoffs: list[float], risk: float, level: float) -> float:
-    """good[i], bad[i]: texts above exactly the last i cutoffs. The chosen cutoff, or infinity."""
+    top = min(k, int((n + 1) * p))
+    first = math.lgamma(n + 1) - math.lgamma(top + 1) - math.lgamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p)
+    total, term, i = 1.0, 1.0, top
+    while i > 0 and term > 1e-18 * total:
+        term *= i * (1 - p) / ((n - i + 1) * p)
+        total += term
+        i -= 1
+    term, i = 1.0, top
+    while i < k and term > 1e-18 * total:
+        term *= (n - i) * p / ((i + 1) * (1 - p))
+        total += term
+        i += 1
+    return min(1.0, math.exp(first + math.log(total)))
+
+
+Chain = list[tuple[str, float]]
+
+
+def order_settings(good: dict[str, np.ndarray], bad: dict[str, np.ndarray]) -> Chain:
+    """good, bad: the rules' statistics of labelled texts. Every rule's cutoffs in the order in which they are to be tightened.
+
+    Next comes the cutoff that rejects most further bad texts for each further good one, and of equal ones the most lenient.
+    """
+    rest = {"good": good, "bad": bad}
+    open_ = {k: np.ones(len(next(iter(v.values()))), bool) for k, v in rest.items()}
+    done = dict.fromkeys(RULES, 0)
+    caught = dict.fromkeys(RULES, 0)
+    chain: Chain = []
+    while any(done[r] < len(cuts) for r, cuts in RULES.items()):
+        options = []
+        for r, cuts in RULES.items():
+            for k in range(done[r], len(cuts)):
+                b, g = (int(np.count_nonzero(open_[x] & (rest[x][r] > cuts[k]))) for x in ("bad", "good"))
+                # without further bad texts, one notch of the rule that costs least and has caught most
+                options.append((b == 0, -b / (g + 0.5) if b else g, -caught[r], k - done[r], r, k, b))
+        _, _, _, _, r, k, b = min(options)
+        chain += [(r, c) for c in RULES[r][done[r] : k + 1]]
+        caught[r] += b
+        done[r] = k + 1
+        for x in open_:
+            open_[x] &= ~(rest[x][r] > RULES[r][k])
+    return chain
+
+
+def safe_setting(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int:
+    """good[i], bad[i]: texts that the first i + 1 cutoffs of the chain reject and fewer do not; the last entry, those that none rejects.
+
+    The number of cutoffs to apply.
+    """
     n = int(good.sum())
-    safe = []
-    for i, c in enumerate(cutoffs):
-        lost = int(good[len(cutoffs) - i :].sum())
-        # rejecting this many or fewer would be this unlikely if the true share were above the risk
-        if n == 0 or lost > risk * n or tail(lost, n, risk) > level:
-            break
-        safe.append((c, int(bad[len(cutoffs) - i :].sum())))
-    most = max((b for _, b in safe), default=0)
-    return next((c for c, b in safe if b >= NEARLY * most), math.inf) if most else math.inf
-
-
-def fit_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """One row for each stratum: stratum and a cutoff for each rule (infinity: none)."""
-    judged = labels.filter("quality IS NOT NULL").select("doc_id", "quality").join(stats.filter("NOT base_failed"), "doc_id")
-    above = [F.struct(F.lit(r).alias("rule"), sum((F.col(r) > c).cast("int") for c in cuts).alias("above")) for r, cuts in RULES.items()]
-    counted = judged.select("stratum", "quality", F.explode(F.array(*above)).alias("_r")).groupBy("stratum", "_r.rule", "_r.above", "quality").count()
-    counted = stored(counted, "quality-counts")  # strata x rules x cutoffs x 2 rows at most
-    strata = counted.agg(F.countDistinct("stratum").alias("n")).first()["n"]
-    each_risk, each_level = risk / len(RULES), level / len(RULES) / max(1, strata)
+    lost, caught = np.cumsum(good[:-1]), np.cumsum(bad[:-1])
+    safe = 0
+    while safe < len(lost) and n and lost[safe] <= risk * n and tail(int(lost[safe]), n, risk) <= level:
+        safe += 1
+    if not safe or not caught[safe - 1]:
+        return 0
+    return int(np.argmax(caught[:safe] >= NEARLY * caught[safe - 1])) + 1
+
+
+def rejected_at(chain: Chain) -> Column:
+    """The place in the chain of the first cutoff that rejects the row; the chain's length if none does."""
+    first = [F.lit(len(chain))]
+    for r in RULES:
+        step = None
+        for i, (name, cut) in enumerate(chain):
+            if name == r:
+                step = F.when(F.col(r) > cut, i) if step is None else step.when(F.col(r) > cut, i)
+        first.append(step.otherwise(len(chain)))
+    return F.least(*first)
+
+
+def judged_labels(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, quality and the rules' statistics of every labelled text that the base rule keeps, once for each stratum and label; fits says which part it is in."""
+    known = labels.filter("quality IS NOT NULL").select("doc_id", "quality").join(stats.filter("NOT base_failed"), "doc_id")
+    once = known.dropDuplicates(["stratum", "text_hash", "quality"])
+    return once.select("stratum", "quality", "text_hash", *RULES, (F.pmod(F.xxhash64("text_hash"), F.lit(FIT_SHARE)) == 0).alias("fits"))
+
+
+def fit_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, most: int = FIT_ROWS) -> DataFrame:
+    """One row for each stratum: stratum and a cutoff for each rule (infinity: none). At most `most` texts order the settings."""
+    judged = stored(judged_labels(stats, labels), "quality-labels")
+    rows = judged.filter("fits").orderBy(F.xxhash64("text_hash", F.lit(1)), "text_hash", "stratum", "quality").limit(most).select("quality", *RULES).toPandas()
+    good, bad = ({r: x[r].to_numpy(float) for r in RULES} for x in (rows[rows["quality"] == 1], rows[rows["quality"] != 1]))
+    chain = order_settings(good, bad)
+    held = judged.filter("NOT fits")
+    counted = held.groupBy("stratum", "quality", rejected_at(chain).alias("at")).count()
+    counted = stored(counted, "quality-counts")  # strata x settings x labels at most
+    strata = max(1, counted.select("stratum").distinct().count())
+    discard(judged)
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rule = rows["rule"].iloc[0]
-        good, bad = (np.bincount(x["above"], x["count"], len(RULES[rule]) + 1) for x in (rows[rows["quality"] == 1], rows[rows["quality"] != 1]))
-        return pd.DataFrame({"stratum": [rows["stratum"].iloc[0]], "rule": [rule], "cutoff": [safe_cutoff(good, bad, RULES[rule], each_risk, each_level)]})
+        good, bad = (np.bincount(x["at"], x["count"], len(chain) + 1).astype(np.int64) for x in (rows[rows["quality"] == 1], rows[rows["quality"] != 1]))
+        taken = dict(chain[: safe_setting(good, bad, risk, level / strata)])
+        return pd.DataFrame({"stratum": [rows["stratum"].iloc[0]]} | {f"cut_{r}": [taken.get(r, math.inf)] for r in RULES})
 
-    cutoffs = counted.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double")
-    return cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).select("stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES])
+    return counted.groupBy("stratum").applyInPandas(choose, "stratum string, " + ", ".join(f"cut_{r} double" for r in RULES))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:

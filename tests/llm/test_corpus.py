@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import public_tokenizers
@@ -111,13 +112,18 @@ def test_quality_counts(documents):
 def test_quality_cutoffs_hold_their_risk():
     assert quality.tail(0, 100, 0.05) == pytest.approx(0.95**100)
     assert quality.tail(3, 10, 0.5) == pytest.approx(176 / 1024)
-    good, bad = np.array([5000.0, 3, 400]), np.array([100.0, 50, 50])
-    assert quality.safe_cutoff(good, bad, [0.9, 0.5], 0.1, 0.01) == 0.5
-    assert quality.safe_cutoff(good, bad, [0.9, 0.5], 0.07, 0.001) == np.inf
-    assert quality.safe_cutoff(np.array([20.0, 0, 0]), bad, [0.9, 0.5], 0.01, 0.01) == np.inf
+    for k, n, p in [(0, 40, 0.3), (5, 40, 0.3), (39, 40, 0.3), (40, 40, 0.3), (20, 30, 0.2)]:
+        assert quality.tail(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+    assert quality.tail(29_000_000, 10**9, 0.03) < 1e-100 and quality.tail(30_000_000, 10**9, 0.03) == pytest.approx(0.5, abs=0.01)
+    good, bad = np.array([3, 400, 5000]), np.array([50, 50, 100])  # rejected by the first setting, by the second, by none
+    assert quality.safe_setting(good, bad, 0.1, 0.01) == 2
+    assert quality.safe_setting(good, bad, 0.07, 0.001) == 1
+    assert quality.safe_setting(np.array([0, 0, 20]), bad, 0.01, 0.01) == 0
+    assert quality.safe_setting(np.array([0, 0, 200]), np.array([99, 1, 5]), 0.03, 0.05) == 1  # the second adds too little
+    assert quality.safe_setting(np.array([0, 0, 200]), np.array([0, 0, 5]), 0.03, 0.05) == 0
     rng = np.random.default_rng(0)
-    lost = sum(quality.safe_cutoff(np.array([n - (k := rng.binomial(n, 0.05)), k]), np.array([0.0, 9]), [0.5], 0.04, 0.05) < 1 for n in [2000] * 400)
-    assert lost <= 20  # a cutoff with a true loss of 5 per cent must not pass at 4
+    lost = sum(quality.safe_setting(np.array([k := rng.binomial(n, 0.05), n - k]), np.array([9, 0]), 0.04, 0.05) > 0 for n in [2000] * 400)
+    assert lost <= 20  # a setting with a true loss of 5 per cent must not pass at 4
 
 
 def test_warc_round_trip_for_all_splits(spark, tmp_path):
@@ -350,9 +356,9 @@ def test_connected_components(spark):
 
 def test_packing_matches_the_tokenizer(spark, documents):
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     ids = packing.WordIds(TOKENIZER)
-    texts = [r["text"] for r in documents.collect()] + [r[1] or "" for r in EDGE if r[1] is not LONG] + ["don't stop's 'll", "ABC!!́ x", "İstanbul ΣΣ Ⅷ", "\x01a \x01", "a_b ½"]
+    texts = [r["text"] for r in documents.collect()] + [r[1] or "" for r in EDGE if r[1] is not LONG] + ["don't stop's 'll", "ABC!!́ x", "İstanbul ΣΣ Ⅷ", "\x01a \x01", "a_b ½", "a <|endoftext|>", "x<|endoftext|><|startoftext|>Y !<|ENDOFTEXT|>", "<|endoftext|", "İ<|endoftext|>ΑΣ<|endoftext|>"]
+    assert ids.letters and ids("a <|endoftext|>") == np.array([320, 49407], "<u4").tobytes()
     for text, encoded in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert ids(text) == np.asarray(encoded.ids, "<u4").tobytes()
     cut = packing.pieces(documents, TOKENIZER, limit=256, with_ids=True)
