@@ -30,6 +30,8 @@ LIMIT = 4096
 END = 1
 #: Words whose ids a worker remembers in each of two generations; a full young generation becomes the old one.
 REMEMBERED = 400_000
+#: Vocabulary words, about, that the faster encoder must agree on before it is used.
+CHECKED = 2000
 #: White space as the tokenizer's patterns see it (the Unicode property), and what only Python's split() takes for it.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -86,12 +88,20 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.letters = LetterWords(path, "letters")
+        if any(SPACE.search(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens with white space cannot be encoded word by word")
+        self.letters = self.checked(LetterWords(path, "letters"))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
+    def checked(self, fast: LetterWords) -> LetterWords | None:
+        """The faster encoder, if it gives the tokenizer's ids for words joined from every part of the vocabulary."""
+        tokens = sorted(t.removesuffix("</w>") for t in self.tokenizer.get_vocab())
+        plain = [t.lower() for t in tokens if t.isascii() and t.isalpha()][:: max(1, len(tokens) // CHECKED)]
+        words = plain + [a + b for a, b in zip(plain, reversed(plain), strict=True)]
+        return fast if fast(words) == self.slow(words) else None
+
     def slow(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -106,7 +116,7 @@ class WordIds:
             stem, tail = (unicodedata.normalize("NFC", w) if not w.isascii() else w).lower(), ""
             if not stem.isalpha() and (m := self.MARKED.fullmatch(stem)):
                 stem, tail = m.groups()
-            if stem.isalpha() and "\u03a3" not in w:
+            if self.letters and stem.isalpha() and "\u03a3" not in w:
                 plain.append(w)
                 stems.append(stem)
                 tails.append(tail)
@@ -117,7 +127,7 @@ class WordIds:
                 self.marks = {}
                 new = list({t for t in tails if t})
             self.marks |= zip(new, self.slow(new), strict=True)
-        for w, ids, tail in zip(plain, self.letters(stems), tails, strict=True):
+        for w, ids, tail in zip(plain, self.letters(stems) if self.letters else [], tails, strict=True):
             self.young[w] = ids + self.marks[tail] if tail else ids
         self.young |= zip(odd, self.slow(odd), strict=True)
 
