@@ -9,7 +9,8 @@ strings it is enough to sort suffixes to depth SPAN, and only suffixes that can
 2. The remaining runs (a run's strings overlap, so it is a little longer than SPAN) go to the bucket of their
    minimiser, repeated ones once for each block, with the smallest id. There all suffixes of all runs are sorted:
    multikey quicksort by machine words to a shallow depth, then, in groups that still agree, blind tries, which
-   branch at the first byte in which members differ from the group's first. Suffixes that reach one leaf are equal.
+   branch at the first byte in which members differ from the group's first and put the branches in order. Equal suffixes
+   stand side by side under one rank.
 3. Every block gets the smallest id of each of its strings back, marks covered bytes, and hashes what is left.
 
 Blocks and buckets have a bounded number of bytes, so that there are more of them as the input grows.
@@ -47,6 +48,8 @@ BLOCK_BYTES = 16 << 20
 HASH_BYTES = 32 << 20
 RUN_BYTES = 4 << 20
 VALUE = (1 << 40) - 1
+#: Shares between consecutive blocks of a partition.
+STRIDE = 7919
 NAMES = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 NO_ID = np.iinfo(np.int64).max
 
@@ -136,10 +139,11 @@ def code(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (half % U64(buckets)).astype(np.int64), ((half // U64(buckets)) & U64(VALUE)).astype(np.int64)
 
 
-def equal_strings(runs: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Run, offset and class of every string of SPAN bytes in the runs; equal strings have equal classes.
+def sorted_strings(runs: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run, offset and rank of every string of SPAN bytes in the runs: how many strings sort before it; equal ones have equal ranks.
 
-    Deep-shallow sorting: see the module's description.
+    Deep-shallow sorting: see the module's description. A group's number is the rank of its first string, so that groups stay in order
+    as they are split.
     """
     run = np.repeat(np.arange(len(runs)), count)
     offset = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
@@ -152,29 +156,33 @@ def equal_strings(runs: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.n
             out |= flat[base[who] + depth + j].astype(U64) << U64(56 - 8 * j)
         return out
 
-    group = np.zeros(len(run), np.int64)
+    rank = np.zeros(len(run), np.int64)
+
+    def starts(*keys: np.ndarray) -> np.ndarray:
+        """Where the run of equal keys begins that each entry lies in."""
+        new = np.ones(len(keys[0]), bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+    def split(who: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+        """Order the groups of these strings by the keys; how many strings share each one's group now."""
+        group = rank[who]
+        part = starts(group, *keys)
+        rank[who] = group + part - starts(group)
+        return np.bincount(part, minlength=len(who))[part]
+
     tied = np.arange(len(run))
-    fresh = 1
     for depth in range(0, SHALLOW, 8):  # multikey quicksort: sort what is tied by its next word
         if not len(tied):
             break
         key = word(tied, depth)
-        order = np.lexsort((key, group[tied]))
-        who, key = tied[order], key[order]
-        new = np.ones(len(who), bool)
-        new[1:] = (key[1:] != key[:-1]) | (group[who[1:]] != group[who[:-1]])
-        number = np.cumsum(new) - 1
-        group[who] = fresh + number
-        fresh += int(number[-1]) + 1
-        tied = who[np.bincount(number)[number] > 1]
-    while len(tied):  # blind tries: compare with the group's first, branch where it differs
-        order = np.argsort(group[tied], kind="stable")
+        order = np.lexsort((key, rank[tied]))
         who = tied[order]
-        new = np.ones(len(who), bool)
-        new[1:] = group[who[1:]] != group[who[:-1]]
-        first = who[np.flatnonzero(new)][np.cumsum(new) - 1]
+        tied = who[split(who, key[order]) > 1]
+    while len(tied):  # blind tries: a branch for each place at which members differ from the group's first, and each byte there
+        who = tied[np.argsort(rank[tied], kind="stable")]
+        first = who[starts(rank[who])]
         skip = np.full(len(who), SPAN, np.int64)
-        byte = np.zeros(len(who), np.int64)
         left = np.arange(len(who))
         for depth in range(SHALLOW, SPAN, 8):
             a, b = word(who[left], depth), word(first[left], depth)
@@ -184,24 +192,18 @@ def equal_strings(runs: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.n
                 place = np.zeros(len(x), np.int64)
                 for j in range(1, 8):
                     place += x < (U64(1) << U64(64 - 8 * j))
-                at = left[differ]
-                skip[at] = depth + place
-                byte[at] = flat[base[who[at]] + depth + place]
+                skip[left[differ]] = depth + place
                 left = np.delete(left, differ)
-        apart = np.flatnonzero(skip < SPAN)
-        if not len(apart):
-            break
-        branch = np.stack([group[who[apart]], skip[apart], byte[apart]])
-        order = np.lexsort(branch[::-1])
-        branch = branch[:, order]
-        new = np.ones(len(order), bool)
-        new[1:] = (branch[:, 1:] != branch[:, :-1]).any(axis=0)
-        number = np.cumsum(new) - 1
-        tied = who[apart][order]
-        group[tied] = fresh + number
-        fresh += int(number[-1]) + 1
-        tied = tied[np.bincount(number)[number] > 1]
-    return run, offset, group
+        at = np.minimum(skip, SPAN - 1)
+        byte = flat[base[who] + at].astype(np.int64)
+        side = np.sign(byte - flat[base[first] + at])
+        # below the first: the sooner they leave it, the smaller; above it: the sooner, the larger
+        turn = np.where(side < 0, skip, -skip)
+        order = np.lexsort((byte, turn, side, rank[who]))
+        who, side = who[order], side[order]
+        size = split(who, side, turn[order], byte[order])
+        tied = who[(size > 1) & (side != 0)]
+    return run, offset, rank
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[list[bytes], np.ndarray, pa.RecordBatch]]]]:
@@ -254,11 +256,17 @@ def keep_replies(replies: DataFrame, label: str) -> tuple[str, int]:
     spark = replies.sparkSession
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch(spark, label)
-    named = replies.withColumn("share", F.col("block") % shares)
+    place = F.shiftright("block", 24) + F.col("block").bitwiseAND((1 << 24) - 1) * STRIDE
+    named = replies.withColumn("share", F.pmod(place, F.lit(shares)))
     named.repartition(shares, "share").sortWithinPartitions("share", "block").write.option("compression", "zstd").partitionBy("share").parquet(path)
     return path, shares
 
 
+def share_of(block: int, shares: int) -> int:
+    """As keep_replies deals blocks, which are numbered within their partitions."""
+    return ((block >> 24) + (block & (1 << 24) - 1) * STRIDE) % shares
+
+
 def replies_of(path: str, shares: int, block: int) -> list[dict]:
     fs, root = open_path(f"{path}/share={share_of(block, shares)}")
     if fs.get_file_info(root).type == pyarrow.fs.FileType.NotFound:
@@ -365,7 +373,7 @@ def smallest_ids(table: DataFrame, asked: tuple[str, int], buckets: int, run_buc
         first = np.append(first, odd)
         least = np.full(len(first), NO_ID)
         np.minimum.at(least, which, low)
-        run, _, group = equal_strings(data[first], counts[first])
+        run, _, group = sorted_strings(data[first], counts[first])
         order = np.argsort(group, kind="stable")
         edge = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
         lowest = np.minimum.reduceat(least[run[order]], edge)
