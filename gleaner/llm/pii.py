@@ -1,18 +1,21 @@
 """Personal data by fixed forms and by bootstrapped contextual extraction, in DataFrame operations alone.
 
-Base entities have fixed forms (mail and IP addresses, payment cards, phone numbers). They are the seeds: each is an
-instance as a whole, and the words beside it with its own shape are its patterns. The other instances are tokens, with and
-without the punctuation around them, and runs of as many words as a seed has; tokens that hold a whole base entity are
-seeds too. Every seed has a digit or an @, and only numbers have several words, so nothing else can be of a seed's shape.
-Scores then pass along the graph of patterns and instances: a pattern is as reliable as its instances are on average, an
-instance as its patterns are. Patterns that enough different seeds support and that end with high reliability mark
-their other instances as identifiers (kind `id`).
+Base entities have fixed forms (mail and IP addresses, payment cards, phone numbers). They and long hexadecimal keys are the seeds:
+each is an instance as a whole, and the words beside it with its own shape are its patterns (the word before, the two words
+before, the word after, both neighbours). The other instances are tokens, with and without the punctuation around them, and
+runs of as many words as a seed has; tokens that hold a whole base entity are seeds too. Every seed has a digit or an @, and only
+numbers have several words, so nothing else can be of a seed's shape. Scores then pass along the graph of patterns and
+instances: a pattern is as reliable as its instances are on average, an instance as its patterns are. Patterns that enough
+different seeds support and that end with high reliability extract their instances as identifiers (kind `id`). What
+they extract becomes a seed, and patterns are induced and scored anew, until nothing is added or after TURNS turns.
 
 Positions come from the gaps between matches: the text is split by an expression and the lengths of the pieces and
-matches are summed. The expressions are possessive and start only where a match can start, so that time is linear.
+matches are summed. The expressions are possessive and start only where a match can start, so that time is linear. A context word
+is looked for in the last characters first, and in the whole text since the match before if they hold no whole word.
 
 Defined cases: a null or empty text has no spans; repeated rows get the same spans but support patterns once; null ids stay;
-an empty table gives an empty table; other columns are ignored; texts without a digit or an @ skip the expressions.
+an empty table gives an empty table; other columns, of whatever names, are ignored or kept as they are; texts without a digit or an
+@ skip the expressions.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: A match's leftmost start is the start of a run of its first characters or the end of the match before.
@@ -34,23 +37,37 @@ FORMS = {
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 RUN = r"(?<![\p{L}0-9+().-])[0-9+().-]++(?:\x20++[0-9+().-]++(?!\p{L}))++"
 IP_PARTS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
-#: Characters beside a match in which its context words are looked for.
+#: A key is a word of so many hexadecimal digits, letters among them.
+KEY = r"^(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}$"
+#: Characters beside a match in which its context words are looked for first.
 BESIDE = 48
-ROUNDS = 4
+ROUNDS = 3
+TURNS = 3
 SUPPORT = 5
 RELIABLE = 0.8
 
 
-def last_word(text: Column) -> Column:
-    """The last word within BESIDE characters, without the punctuation after it."""
-    near = F.translate(F.substring(text, -BESIDE, BESIDE), "\n\t\r", "   ")
-    return F.lower(F.substring_index(F.regexp_replace(near, r"[^\p{L}\p{N}]+$", ""), " ", -1))
+def last_words(text: Column, n: int = 2) -> Column:
+    """The last n words in lower case, without the punctuation after them; fewer if there are fewer."""
+
+    def words(t: Column) -> Column:
+        back = F.regexp_replace(F.reverse(t), r"^[^\p{L}\p{N}]++", "")
+        return F.rtrim(F.regexp_replace(back, r"\s++", " "))
+
+    back = words(F.substring(text, -BESIDE, BESIDE))
+    whole = (F.length(text) > BESIDE) & (F.size(F.split(back, " ")) <= n)
+    return F.lower(F.reverse(F.substring_index(F.when(whole, words(text)).otherwise(back), " ", n)))
 
 
 def first_word(text: Column) -> Column:
-    """The first word within BESIDE characters, without the punctuation before it."""
-    near = F.translate(F.substring(text, 1, BESIDE), "\n\t\r", "   ")
-    return F.lower(F.substring_index(F.regexp_replace(near, r"^[^\p{L}\p{N}]+", ""), " ", 1))
+    """The first word in lower case, without the punctuation before it."""
+
+    def words(t: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, r"^[^\p{L}\p{N}]++", ""), r"\s++", " ")
+
+    near = words(F.substring(text, 1, BESIDE))
+    whole = (F.length(text) > BESIDE) & ~F.contains(near, F.lit(" "))
+    return F.lower(F.substring_index(F.when(whole, words(text)).otherwise(near), " ", 1))
 
 
 def found(text: Column, kind: int, form: str) -> Column:
@@ -59,8 +76,8 @@ def found(text: Column, kind: int, form: str) -> Column:
     rows = F.arrays_zip(
         gaps.alias("gap"), hits.alias("match"), F.slice(gaps, 2, 1 << 30).alias("next"), F.concat(F.array(F.lit("")), hits).alias("before"), F.slice(hits, 2, 1 << 30).alias("after")
     )
-    left = lambda x: last_word(F.concat(F.substring(x["before"], -BESIDE, BESIDE), F.substring(x["gap"], -BESIDE, BESIDE)))
-    right = lambda x: first_word(F.concat(F.substring(x["next"], 1, BESIDE), F.coalesce(F.substring(x["after"], 1, BESIDE), F.lit(""))))
+    left = lambda x: last_words(F.concat(x["before"], x["gap"]))
+    right = lambda x: first_word(F.concat(x["next"], F.coalesce(x["after"], F.lit(""))))
     made = F.transform(
         rows,
         lambda x, i: F.struct(
@@ -101,8 +118,12 @@ def placed(found_matches: DataFrame) -> DataFrame:
 
 
 def shape(token: Column) -> Column:
-    """Runs of letters as a, of digits as 9, other characters as they are."""
-    return F.regexp_replace(F.regexp_replace(token, r"\p{L}+", "a"), "[0-9]+", "9")
+    """Runs of letters as a, of digits as 9, 99 or 999 by their length, mixtures of both as x, other characters as they are."""
+    letters = F.regexp_replace(token, r"\p{L}+", "a")
+    digits = F.regexp_replace(F.regexp_replace(letters, "[0-9]{13,}+", "\u0003"), "[0-9]{5,}+", "\u0002")
+    digits = F.regexp_replace(digits, "[0-9]++", "\u0001")
+    mixed = F.regexp_replace(digits, "(?:a[\u0001-\u0003]){2,}+a?+|(?:[\u0001-\u0003]a){2,}+[\u0001-\u0003]?+", "x")
+    return F.replace(F.replace(F.replace(mixed, F.lit("\u0001"), F.lit("9")), F.lit("\u0002"), F.lit("99")), F.lit("\u0003"), F.lit("999"))
 
 
 def reliable_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = RELIABLE) -> DataFrame:
@@ -112,17 +133,44 @@ def reliable_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUP
     their instances.
     """
     scored = edges.withColumn("score", F.col("seed").cast("double"))
+    older = None
     for turn in range(rounds):
         patterns = scored.groupBy("pattern").agg(F.avg("score").alias("trust"), F.sum(F.col("seed").cast("long")).alias("seeds"))
         if turn == rounds - 1:
-            return patterns.filter((F.col("seeds") >= support) & (F.col("trust") >= least)).select("pattern")
+            good = stored(patterns.filter((F.col("seeds") >= support) & (F.col("trust") >= least)).select("pattern"), "pii-patterns")
+            discard(older)
+            return good
         trusted = edges.join(patterns.filter("trust > 0").select("pattern", "trust"), "pattern", "left")
         instances = trusted.groupBy("instance").agg(F.avg(F.coalesce("trust", F.lit(0.0))).alias("mean"), F.max("seed").alias("is_seed"))
         score = F.when(F.col("is_seed"), 1.0).otherwise(F.col("mean")).alias("score")
         scored = stored(edges.join(instances.select("instance", score), "instance"), "pii-scores")
+        discard(older)
+        older = scored
     raise ValueError("rounds must be positive")
 
 
+def bootstrapped(tokens: DataFrame, turns: int = TURNS) -> DataFrame:
+    """tokens: row, start, end, base, seed, instance, pattern. row, start, end of what reliable patterns extract beside the base entities."""
+    edges = stored(tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
+    new = None
+    for turn in range(turns):
+        good = reliable_patterns(edges)
+        took = stored(tokens.filter("NOT base").join(good, "pattern").select("row", "start", "end", "instance").distinct(), "pii-extracted")
+        discard(good, new)
+        new = took
+        if turn == turns - 1:
+            break
+        added = took.select("instance").distinct().withColumn("_took", F.lit(True))
+        grown = stored(edges.join(added, "instance", "left").select("pattern", "instance", "seed", (F.col("seed") | F.coalesce("_took", F.lit(False))).alias("now")), "pii-edges")
+        discard(edges)
+        edges = grown.select("pattern", "instance", F.col("now").alias("seed"))
+        edges._stored_path = grown._stored_path  # type: ignore[attr-defined]
+        if grown.filter("now <> seed").isEmpty():
+            break
+    discard(edges)
+    return new.select("row", "start", "end").distinct()
+
+
 def cores(tokens: DataFrame) -> DataFrame:
     """Tokens without the punctuation around them, where there is some."""
     before = F.length(F.regexp_extract("match", r"^[^\p{L}0-9+]*+", 0))
@@ -138,7 +186,7 @@ def runs(numbers: DataFrame, lengths: list[int]) -> DataFrame:
     each = numbers.select("row", F.col("start").alias("from"), F.col("left").alias("_left"), F.col("right").alias("_right"), F.posexplode(words).alias("i", "word"))
     order = Window.partitionBy("row", "from").orderBy("i")
     upto = F.col("from") + F.sum(F.length("word")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    each = each.withColumn("upto", upto).withColumn("left", F.coalesce(last_word(F.lag("word").over(order)), "_left"))
+    each = each.withColumn("upto", upto).withColumn("left", F.coalesce(last_words(F.lag("word").over(order)), "_left"))
     out = None
     for n in lengths:
         run = F.array_join(F.collect_list("word").over(order.rowsBetween(0, n - 1)), "")
@@ -149,13 +197,24 @@ def runs(numbers: DataFrame, lengths: list[int]) -> DataFrame:
     return cores(out).unionByName(out.filter(~F.col("match").rlike(r"^\x20"))).select("row", "start", "end", "match", "left", "right")
 
 
+def beside_base(tokens: DataFrame, base: DataFrame) -> DataFrame:
+    """tokens with overlaps (a base span has characters of it) and holds (a base span lies in it), by running extremes within a row."""
+    events = tokens.withColumn("_reach", F.lit(None).cast("long")).withColumn("_token", F.lit(True))
+    spans_ = base.select("row", "start", "end", F.col("end").alias("_reach"), F.lit(False).alias("_token"))
+    events = events.unionByName(spans_, allowMissingColumns=True)
+    before = Window.partitionBy("row").orderBy(F.when(F.col("_token"), F.col("end")).otherwise(F.col("start")), ~F.col("_token")).rowsBetween(Window.unboundedPreceding, -1)
+    events = events.withColumn("overlaps", F.coalesce(F.max("_reach").over(before) > F.col("start"), F.lit(False)))
+    behind = Window.partitionBy("row").orderBy(F.col("start").desc(), "_token").rowsBetween(Window.unboundedPreceding, -1)
+    events = events.withColumn("holds", F.coalesce(F.min("_reach").over(behind) <= F.col("end"), F.lit(False)))
+    return events.filter("_token").drop("_reach", "_token")
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """row, doc_id, text_hash, base and spans (arrays of kind, start, end in order) for every row of docs (doc_id, text)."""
     seen = matches(docs)
     all_found = stored(placed(seen), "pii-found")
     seeds = all_found.filter("kind < 4")
     base = seeds.select("row", "kind", "start", "end")
-    covered = base.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("covers"))  # bounded by a text's length
     columns = ["row", "start", "end", "match", "left", "right"]
     single = all_found.filter("kind = 4").select(columns)
     others = single.unionByName(cores(single)).withColumn("word", F.lit(True))
@@ -163,17 +222,21 @@ def spans(docs: DataFrame) -> DataFrame:
     lengths = sorted(r["n"] for r in seeds.select(n_words).filter("n > 1").distinct().collect())  # a few small numbers
     if lengths:
         others = others.unionByName(runs(all_found.filter("kind = 5"), lengths).withColumn("word", F.lit(False)))
-    others = others.join(covered, "row", "left")
-    overlaps = F.coalesce(F.exists("covers", lambda c: (c["start"] < F.col("end")) & (F.col("start") < c["end"])), F.lit(False))
-    holds = F.coalesce(F.exists("covers", lambda c: (F.col("start") <= c["start"]) & (c["end"] <= F.col("end"))), F.lit(False))
-    others = others.withColumn("seed", F.col("word") & holds).filter(F.col("seed") | ~overlaps).select(*columns, "seed")
-    tokens = seeds.select(*columns, F.lit(True).alias("seed")).unionByName(others)
-    beside = F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"))
-    tokens = tokens.select("row", "start", "end", F.xxhash64("match").alias("instance"), "seed", shape(F.col("match")).alias("shape"), F.explode(beside).alias("side"))
-    tokens = stored(tokens.filter("length(side) > 2").withColumn("pattern", F.concat_ws(" ", "side", "shape")), "pii-tokens")
-    edges = stored(tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    good = stored(reliable_patterns(edges), "pii-patterns")
-    new = tokens.filter("NOT seed").join(good, "pattern").select("row", F.lit(4).alias("kind"), "start", "end").distinct()
+    others = beside_base(others, base).withColumn("based", F.col("word") & F.col("holds")).filter(F.col("based") | ~F.col("overlaps"))
+    others = others.select(*columns, F.col("based").alias("base"), (F.col("based") | F.col("match").rlike(KEY)).alias("seed"))
+    tokens = seeds.select(*columns, F.lit(True).alias("base"), F.lit(True).alias("seed")).unionByName(others)
+    near = F.substring_index("left", " ", -1)
+    sides = F.array(
+        F.when(near != "", F.concat(F.lit("L:"), near)),
+        F.when(F.contains(F.col("left"), F.lit(" ")), F.concat(F.lit("L:"), "left")),
+        F.when(F.col("right") != "", F.concat(F.lit("R:"), "right")),
+        F.when((near != "") & (F.col("right") != ""), F.concat(F.lit("B:"), near, F.lit(" "), "right")),
+    )
+    pattern = F.xxhash64("side", "shape").alias("pattern")
+    tokens = tokens.select("row", "start", "end", "base", "seed", F.xxhash64("match").alias("instance"), shape(F.col("match")).alias("shape"), F.explode(F.array_compact(sides)).alias("side"))
+    tokens = stored(tokens.select("row", "start", "end", "base", "seed", "instance", pattern), "pii-tokens")
+    new = bootstrapped(tokens).withColumn("kind", F.lit(4))
+    discard(tokens)
     longer = Window.partitionBy("row").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
     new = new.withColumn("_until", F.max("end").over(longer)).filter("_until IS NULL OR end > _until").drop("_until")  # none within another
     every = base.unionByName(new).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("spans"))
@@ -198,27 +261,31 @@ def find(docs: DataFrame) -> DataFrame:
     return spans(docs).select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def merged(found_spans: DataFrame) -> DataFrame:
+    """doc_id, text_hash, marks (start, end, kind of the first; in order) with spans that overlap made one."""
+    each = found_spans.select("row", "doc_id", "text_hash", F.explode("spans").alias("s")).select("row", "doc_id", "text_hash", "s.*")
+    order = Window.partitionBy("row").orderBy("start", "end", "kind")
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("_new", F.coalesce(upto <= F.col("start"), F.lit(True)).cast("long"))
+    each = each.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("start", "end", "kind"))
+    runs_ = each.groupBy("row", "doc_id", "text_hash", "_run").agg(first["start"].alias("start"), F.max("end").alias("end"), first["kind"].alias("kind"))
+    marks = F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("marks")
+    return runs_.groupBy("row", "doc_id", "text_hash").agg(marks).drop("row")
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in brackets; n_chars, where there is one, follows the text."""
-    start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    empty = F.expr("cast(array() AS array<struct<start:bigint,end:bigint,kind:int>>)")
-
-    def merge(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        apart = (F.size(done) == 0) | (F.try_element_at(done, F.lit(-1))["end"] <= s["start"])
-        return F.when(apart, F.concat(done, F.array(s))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined)))
-
-    marks = spans(docs).filter("size(spans) > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.aggregate(start, empty, merge).alias("_s"))
-    marks = marks.dropDuplicates(["_d", "_h"])
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    both = keyed.join(marks, F.col("_th").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    marks = merged(spans(docs)).dropDuplicates(["doc_id", "text_hash"]).toDF("_d", "_h", "_s")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    both = rows.join(marks, F.col("_th").eqNullSafe(F.col("_h")) & F.col("_id").eqNullSafe(F.col("_d")), "left")
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     until = lambda i: F.coalesce(F.get("_s", i - 1)["end"], F.lit(0).cast("long"))
-    piece = lambda s, i: F.concat(F.substring("text", (until(i) + 1).cast("int"), (s["start"] - until(i)).cast("int")), F.get(name, s["kind"]))
-    rest = F.substring(F.col("text"), (F.element_at("_s", -1)["end"] + 1).cast("int"), F.lit(2147483647))
-    text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("_s", piece), ""), rest))
-    out = both.withColumn("text", text)
+    piece = lambda s, i: F.concat(F.substring(F.col("_row.text"), (until(i) + 1).cast("int"), (s["start"] - until(i)).cast("int")), F.get(name, s["kind"]))
+    rest = F.substring(F.col("_row.text"), (F.element_at("_s", -1)["end"] + 1).cast("int"), F.lit(2147483647))
+    text = F.when(F.col("_s").isNull(), F.col("_row.text")).otherwise(F.concat(F.array_join(F.transform("_s", piece), ""), rest))
+    both = both.withColumn("_text", text)
+    made = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return both.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -306,13 +306,22 @@ def test_suffix_runs_in_pieces(monkeypatch):
     assert expand(suffixes.Runs([b"", text, b"short", text[:60]])) == whole
 
 
-def test_equal_strings():
+def test_sorted_strings():
     rng = random.Random(8)
-    runs = [bytes(rng.choices(b"ab", k=30)) * 3 for _ in range(40)]
+    common = bytes(rng.choices(b"xyz", k=suffixes.WIDE))
+    runs = [bytes(rng.choices(b"ab", k=30)) * 3 for _ in range(40)] + [common[: (k := rng.randint(0, 70))] + rng.randbytes(90 - k) for _ in range(60)] + [common] * 3
     data = np.frombuffer(b"".join(r[: suffixes.WIDE].ljust(suffixes.WIDE, b"\0") for r in runs), np.uint8).reshape(-1, suffixes.WIDE)
-    run, offset, group = suffixes.equal_strings(data, np.full(len(runs), suffixes.WINDOWS))
-    strings = [runs[r][o : o + 50] for r, o in zip(run, offset, strict=True)]
-    assert len(set(zip(strings, group.tolist(), strict=True))) == len(set(strings)) == len(set(group.tolist()))
+    count = np.array([rng.randint(1, suffixes.WINDOWS) for _ in runs])
+    run, offset, rank = suffixes.sorted_strings(data, count)
+    strings = [data[r, o : o + 50].tobytes() for r, o in zip(run, offset, strict=True)]
+    ordered = sorted(strings)
+    assert [ordered.index(x) for x in strings] == rank.tolist()
+
+
+def test_shares_spread_blocks():
+    for shares in (8, 12, 51):
+        dealt = Counter(suffixes.share_of(p << 24 | n, shares) for p in range(24) for n in range(5))
+        assert len(dealt) == shares and max(dealt.values()) <= 3 * 120 / shares
 
 
 def words_set(text):
