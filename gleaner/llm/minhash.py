@@ -2,20 +2,21 @@
 
 Texts with the same shingle set are one class. Each class has a signature; it is posted under its (coordinate, value)
 pairs. A pair of sets at the similarity bound agrees in 48 of 64 coordinates on average, and in 30 or more but for
-odds of 3.8e-7, one in 2.6 million; pairs that agree in fewer are dropped, in every round. So a class need only be posted under the rarest of its
-coordinate values: with 30 agreements wanted, two classes share one of their 35 rarest (the prefix), and values
-that occur once fill the prefix without any posting. Long lists of frequent values, as shared passages make them, are
-skipped that way.
-
-Within a posting list, members are first compared with one leader, and whoever is linked joins its component; this is
-repeated with other leaders. Classes in lists whose members are still apart are then posted under the rarest of their
-shingles: of two sets with 75 per cent in common, either has one of the other's rarest quarter. Those that meet there and lie in
-different components are compared with one another. Collisions are counted over the whole signature, and each pair
-that remains is confirmed on the full sets.
+odds of 3.8e-7, one in 2.6 million. Collisions are counted first for each class: one with fewer than 30 coordinate
+values that other classes have too cannot have a partner, and leaves; lists are then counted again without it. The lists of
+the rest are merged under a prefix: with 30 agreements wanted, two classes share one of their 35 rarest values, so the
+longest lists of a class are skipped, and looked up in the signature only for those that met in a short one.
+
+A list is not paired out. Its members meet one leader, the member whose values are the most frequent ones, which in a family of
+copies is the text they derive from; pairs that agree in 30 coordinates are confirmed on the full sets and give components. What
+64 coordinates cannot tell is a pair at 0.7 from one at 0.75, and a large family has many of the former. So the exact
+check of what is left works on the sets: of the classes with 30 coordinates in lists whose members lie in several components,
+those of different components are compared that share a shingle in the part of their rarest shingles in which two
+sets of their sizes must share one.
 
 Defined cases: null and empty texts have the empty set, are linked with nothing and stay; texts of fewer words than a
 shingle are one shingle; repeated rows and ids belong to one class; null ids join components but never name one unless
-nothing else does; an empty table gives an empty table; other columns are ignored.
+nothing else does; an empty table gives an empty table; other columns, of whatever names, are ignored or kept as they are.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, slices, stored
+from .common import bound_arrow, discard, slices, stored
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -36,7 +37,8 @@ COORDINATES = 64
 AGREE = 30
 PREFIX = COORDINATES - AGREE + 1
 SIMILAR = 75  # per cent
-LEADER_ROUNDS = 3
+#: Classes up to this number are broadcast to fetch their texts; more are joined by their keys.
+BROADCAST_CLASSES = 200_000
 _rng = np.random.default_rng(7)
 FLIPS = _rng.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64)
 FACTORS = _rng.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,6 +86,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     bound_arrow(docs.sparkSession)
     w = wanted.select("cls", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+    if wanted.count() <= BROADCAST_CLASSES:
+        w = F.broadcast(w)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
     found = texts.join(w, F.col("_th").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     return found.select("cls", "text").mapInArrow(run, "cls long, hashes binary").dropDuplicates(["cls"])
@@ -118,77 +122,103 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> Data
     return sides.filter(test("_ha", "_hb")).select("a", "b")
 
 
-def prefix_lists(posted: DataFrame, size: Column, prefix: Column) -> DataFrame:
-    """posted: cls, key. key, cls: every class under those of its rarest `prefix` keys that others have too.
-
-    size is the number of a class's keys; those that occur once come first in the prefix and need no list.
-    """
-    shared = posted.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    common = stored(posted.join(shared, "key"), "minhash-shared")
-    rarest = Window.partitionBy("cls").orderBy("_n", "key")  # as many rows as a class has keys
-    placed = common.withColumn("_rank", F.row_number().over(rarest)).withColumn("_shared", F.count("*").over(Window.partitionBy("cls")))
-    return placed.filter(F.col("_rank") + size - F.col("_shared") <= prefix).select("key", "cls")
+def colliding(posted: DataFrame) -> DataFrame:
+    """posted: cls, key. Of classes with AGREE keys or more that others have too, those keys: cls, key, n (classes with the key)."""
+    shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    mine = Window.partitionBy("cls")  # as many rows as a class has coordinates
+    return posted.join(shared, "key").withColumn("_shared", F.count("*").over(mine)).filter(F.col("_shared") >= AGREE).select("cls", "key", "n")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """key, cls: every class under the coordinate values of its prefix that others have too."""
+    """cls, key, rank (from 1, the rarest first), shared (keys of the class): coordinate values of classes that may have partners."""
     posted = classes.select("cls", F.posexplode("signature").alias("_at", "_value"))
-    posted = posted.select("cls", F.shiftleft(F.col("_at").cast("long"), 32).bitwiseOR(F.col("_value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
-    return prefix_lists(posted, F.lit(COORDINATES), F.lit(PREFIX))
+    key = F.shiftleft(F.col("_at").cast("long"), 32).bitwiseOR(F.col("_value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    first = stored(colliding(posted.select("cls", key.alias("key"))).select("cls", "key"), "minhash-colliding")
+    mine = Window.partitionBy("cls")
+    again = colliding(first)
+    ranked = again.withColumn("rank", F.row_number().over(mine.orderBy("n", "key"))).withColumn("shared", F.count("*").over(mine))
+    out = stored(ranked.withColumn("weight", F.sum("n").over(mine)), "minhash-posts")
+    discard(first)
+    return out
+
+
+def met_leaders(posts: DataFrame) -> DataFrame:
+    """a, b: members of the lists under every class's prefix, each with its list's leader; values nobody else has fill the prefix first."""
+    prefix = posts.filter(F.col("rank") + COORDINATES - F.col("shared") <= PREFIX).select("key", "cls", "weight")
+    leaders = prefix.groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("_l"), F.min("cls").alias("_lo"), F.max("cls").alias("_hi"))
+    leaders = leaders.filter("_lo < _hi").select("key", F.col("_l.cls").alias("lead"))
+    met = prefix.join(leaders, "key").filter("cls <> lead")
+    return met.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+
+
+def undecided(posts: DataFrame, parts: DataFrame) -> DataFrame:
+    """cls, part of the classes with AGREE keys or more in lists whose members lie in several components."""
+    named = posts.select("key", "cls").join(parts, "cls", "left").select("key", "cls", F.coalesce("part", "cls").alias("part"))
+    lists = named.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).filter("_lo < _hi")
+    return named.join(lists, "key").groupBy("cls", "part").agg(F.count("*").alias("_n")).filter(F.col("_n") >= AGREE).select("cls", "part")
 
 
 def shingle_postings(sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
-    """key, cls: every class under those of its rarest shingles of which two similar sets must share one."""
+    """sets: cls, part, hashes. cls, part, key, size, rest: every class under its rarest shingles, of which two similar sets must share one.
+
+    rest counts the shingles from this one on, in the order from rare to frequent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "hashes", 2 << 20):
                 data = [np.frombuffer(h, np.int64) for h in part.column("hashes").to_pylist()]
                 sizes = np.array([len(h) for h in data])
-                columns = [pa.array(np.repeat(part.column("cls").to_numpy(), sizes)), pa.array(np.concatenate(data)), pa.array(np.repeat(sizes, sizes))]
-                yield pa.RecordBatch.from_arrays(columns, ["cls", "key", "size"])
-
-    posted = sets.select("cls", "hashes").mapInArrow(run, "cls long, key long, size long")
+                columns = [pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in ("cls", "part")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(data)), pa.array(np.repeat(sizes, sizes))], ["cls", "part", "key", "size"])
+
+    bound_arrow(sets.sparkSession)
+    posted = sets.select("cls", "part", "hashes").mapInArrow(run, "cls long, part long, key long, size long")
+    seen = posted.groupBy("key").agg(F.count("*").alias("_n"), F.min("part").alias("_lo"), F.max("part").alias("_hi")).filter("_n > 1")
+    mine = Window.partitionBy("cls")  # the shingles of one text
+    common = posted.join(seen, "key").withColumn("rest", F.count("*").over(mine) - F.row_number().over(mine.orderBy("_n", "key")) + 1)
     # sets this similar share at least percent of the larger one's shingles
-    return prefix_lists(posted, F.col("size"), F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
+    return common.filter((F.col("_lo") < F.col("_hi")) & (100 * F.col("rest") >= percent * F.col("size"))).select("cls", "part", "key", "size", "rest")
 
 
-def apart(posts: DataFrame, parts: DataFrame) -> DataFrame:
-    """key, cls, part of the posting lists whose members lie in several components."""
-    named = posts.join(parts, "cls", "left").select("key", "cls", F.coalesce("part", "cls").alias("part"))
-    lists = named.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).filter("_lo < _hi")
-    return named.join(lists, "key").select("key", "cls", "part")
+def met_rarely(posts: DataFrame, percent: int = SIMILAR) -> DataFrame:
+    """a, b of different components that share a posted shingle and, by their sizes and its place in both, can be similar.
+
+    In each list the largest component's members meet the others only, so that a list of one family costs no square.
+    """
+    counts = posts.groupBy("key", "part").agg(F.count("*").alias("_n"))
+    major = counts.groupBy("key").agg(F.max(F.struct("_n", "part"))["part"].alias("major"))
+    listed = posts.join(major, "key")
+    few = listed.filter("part <> major").select("key", "cls", "part", "size", "rest")
+    every = listed.select("key", *[F.col(c).alias(f"_{c}") for c in ("cls", "part", "size", "rest", "major")])
+    once = (F.col("_part") == F.col("_major")) | (F.col("cls") < F.col("_cls"))
+    together = F.least("rest", "_rest") * (100 + percent) >= percent * (F.col("size") + F.col("_size"))
+    alike = 100 * F.least("size", "_size") >= percent * F.greatest("size", "_size")
+    met = few.join(every, "key").filter((F.col("part") != F.col("_part")) & once & together & alike)
+    return met.select(F.least("cls", "_cls").alias("a"), F.greatest("cls", "_cls").alias("b")).distinct()
 
 
 def components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """cls, part for the classes that are linked with another: part is the smallest class reachable."""
-    spark = docs.sparkSession
-    posts = stored(postings(classes), "minhash-posts")
-    lists = posts.groupBy("key").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi")).filter("_lo < _hi")
-    wanted = stored(posts.join(lists, "key").select("cls").distinct().join(classes.select("cls", "doc_id", "text_hash"), "cls"), "minhash-wanted")
-    small = stored(classes.select("cls", "signature").join(wanted.select("cls"), "cls", "left_semi"), "minhash-signatures")
-    sets = stored(full_sets(docs, wanted), "minhash-sets")
-    links = None
-    parts = spark.createDataFrame([], "cls long, part long")
-    for turn in range(LEADER_ROUNDS + 1):
-        open_posts = stored(apart(posts, parts), "minhash-apart")
-        if open_posts.isEmpty():
-            break
-        if turn < LEADER_ROUNDS:
-            draw = F.struct(F.xxhash64("cls", F.lit(turn)), "cls", "part")
-            leader = open_posts.groupBy("key").agg(F.min(draw).alias("_l")).select("key", F.col("_l.cls").alias("_lead"), F.col("_l.part").alias("_lead_part"))
-            met = open_posts.join(leader, "key").filter("part <> _lead_part").select("cls", F.col("_lead").alias("other"))
-        else:
-            open_sets = sets.join(open_posts.select("cls").distinct(), "cls", "left_semi")
-            left = stored(apart(shingle_postings(open_sets), parts), "minhash-open")
-            right = left.select("key", F.col("cls").alias("other"), F.col("part").alias("_part"))
-            met = left.join(right, "key").filter("part < _part").select("cls", "other")
-        pairs = met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-        found = stored(confirmed(agreeing(pairs, small), sets), "minhash-links")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        parts = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("part"))
+    posts = postings(classes)
+    near = stored(classes.join(posts.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id", "text_hash", "signature"), "minhash-near")
+    sets = stored(full_sets(docs, near), "minhash-sets")
+    links = stored(confirmed(agreeing(met_leaders(posts), near), sets), "minhash-links")
+    parts = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("part"))
+    parts = stored(parts, "minhash-parts")
+    discard(near, links)
+    left = stored(sets.join(undecided(posts, parts), "cls"), "minhash-open")
+    if not left.isEmpty():
+        lists = stored(shingle_postings(left), "minhash-shingles")
+        more = stored(confirmed(met_rarely(lists), left), "minhash-links")
+        if not more.isEmpty():
+            named = left.select("cls", "part")
+            ends = more.join(named.toDF("a", "_pa"), "a").join(named.toDF("b", "_pb"), "b").select(F.col("_pa").alias("a"), F.col("_pb").alias("b"))
+            joined = connected_components(ends).select(F.col("node").alias("part"), F.col("component").alias("_new"))
+            alone = joined.select(F.col("part").alias("cls"), "part").join(parts, "cls", "left_anti")  # classes that had no link before
+            parts = stored(parts.unionByName(alone).join(joined, "part", "left").select("cls", F.coalesce("_new", "part").alias("part")), "minhash-parts")
+        discard(lists, more)
+    discard(posts, sets, left)
     return parts
 
 
@@ -197,21 +227,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(signatures(docs), "minhash-rows")
     key = ["set_a", "set_b", "n_shingles"]
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_one")
-    classes = rows.filter("n_shingles > 0").groupBy(*key).agg(one, F.first("signature").alias("signature"))
+    some = rows.filter("n_shingles > 0")
+    classes = some.groupBy(*key).agg(one, F.first("signature").alias("signature"))
     classes = classes.select(*key, F.monotonically_increasing_id().alias("cls"), "_one.doc_id", "_one.text_hash", "signature")
     classes = stored(classes, "minhash-classes")
     parts = components(docs, classes)
     named = classes.select(*key, "cls", F.col("doc_id").alias("_first")).join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     names = named.groupBy("part").agg(F.min("_first").alias("_least"))
     named = named.join(names, "part").select(*key, "_least")
-    out = rows.select("doc_id", "text_hash", *key).join(named, key, "left")
+    linked = some.select("doc_id", "text_hash", *key).join(named, key, "left")
+    bare = rows.filter("n_shingles = 0").select("doc_id", "text_hash", *key).withColumn("_least", F.lit(None).cast(docs.schema["doc_id"].dataType))
     component = F.coalesce("_least", "doc_id")
+    out = linked.unionByName(bare)
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, that of its smallest id, with all columns."""
     judged = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    texts = docs.withColumn("_th", F.xxhash64("text"))
-    kept = texts.join(judged, F.col("_th").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    kept = rows.join(judged, F.col("_th").eqNullSafe(F.col("_h")) & F.col("_id").eqNullSafe(F.col("_d")), "left_semi")
+    return kept.dropDuplicates(["_id", "_th"]).select("_row.*")
