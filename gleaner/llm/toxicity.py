@@ -8,12 +8,13 @@ the posterior labels and scores every whole text.
 
 Defined cases: null and empty texts have no votes and get the classifier's base score; without training rows of both classes
 every score is the share of toxic rows (0 without any); null ids are never training rows and not held out; repeated
-rows score alike; an empty table gives an empty table; other columns are ignored.
+rows score alike; an empty table gives an empty table; other columns, of whatever names, are ignored or kept as they are.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import bound_arrow, slices
 
-#: Labelled rows used for training, at most; they are those whose ids hash lowest.
+#: Labelled rows used for training, at most, those whose ids hash lowest, and the bytes of their texts.
 SAMPLE = 8000
+SAMPLE_BYTES = 64 << 20
+DRAWS = 1 << 30
 #: Voters of each kind, at most.
 VOTERS = 96
 BEGINNINGS = (3, 4, 5, 6)
@@ -171,12 +174,40 @@ def train(texts: list[str], labels: list[int]) -> Model:
     return Model(model.words, model.starts, w[:-1], float(w[-1]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """text, toxic of at most `most` labelled rows that are not held out, those whose ids hash lowest."""
+def lowest(rows: DataFrame, most: int) -> DataFrame:
+    """At most `most` different rows, those whose doc_ids hash lowest.
+
+    Ids are drawn by a hash below a bound that follows from their number, so that all tasks together offer a few times `most`.
+    """
+    hashed = rows.withColumn("_draw", F.pmod(F.xxhash64("doc_id"), F.lit(DRAWS)))
+    share = min(1.0, 4 * most / max(1, rows.count()))
+    while True:
+        drawn = hashed.filter(F.col("_draw") < int(share * DRAWS)).distinct()
+        if share >= 1 or drawn.count() >= most:
+            return drawn.orderBy("_draw", *rows.columns).limit(most).drop("_draw")
+        share = min(1.0, 4 * share)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """text, toxic of at most `most` labelled rows that are not held out, in all `most_bytes` long.
+
+    Of rows with one id, one text counts; texts are taken by the hash of their ids until the bytes are full.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
-    # at most `most` rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    chosen = F.broadcast(lowest(known.select("doc_id", "toxic"), most))  # at most `most` rows of two numbers
+    found = docs.select("doc_id", "text").join(chosen, "doc_id")
+    one = F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("hash")))
+    sizes = found.groupBy("doc_id", "toxic").agg(one.alias("_one")).select("doc_id", "toxic", "_one.*").collect()
+    sizes.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["toxic"]))
+    taken, held = [], 0
+    for r in sizes:
+        if held + r["size"] <= most_bytes:
+            held += r["size"]
+            taken.append((r["doc_id"], r["toxic"], r["hash"]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(taken, f"doc_id {kind}, toxic int, _hash long")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).join(F.broadcast(wanted), ["doc_id", "_hash"])
+    return texts.select("doc_id", "toxic", "text").dropDuplicates(["doc_id", "toxic"]).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
