@@ -43,6 +43,8 @@ _rng = np.random.default_rng(7)
 FLIPS = _rng.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64)
 FACTORS = _rng.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK = 4096
+#: Bytes of texts or sets that a worker turns into arrays at once; the arrays take some 30 times that.
+TEXT_BYTES = 1 << 20
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -59,7 +61,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", TEXT_BYTES):
                 counts, a, b, coordinates = [], [], [], []
                 for hashes in shingle_sets(part.column("text").to_pylist()):
                     counts.append(len(hashes))
@@ -80,7 +82,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", TEXT_BYTES):
                 sets = [h.tobytes() for h in shingle_sets(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(sets, pa.binary())], ["cls", "hashes"])
 
@@ -166,7 +168,7 @@ def shingle_postings(sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "hashes", 2 << 20):
+            for part in slices(batch, "hashes", TEXT_BYTES):
                 data = [np.frombuffer(h, np.int64) for h in part.column("hashes").to_pylist()]
                 sizes = np.array([len(h) for h in data])
                 columns = [pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in ("cls", "part")]
