@@ -6,7 +6,7 @@ sorted by finish time over the whole table and cut at the total budget.
 
 Defined cases: a null text has size 0; documents of size 0 are returned with nothing taken; null is a source of its own
 and comes last; repeated rows and repeated ids are documents of their own; an empty table gives an empty table; other
-columns are ignored.
+columns, of whatever names, are ignored or kept as they are.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
         .agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"))
         .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "_copies")
     )
-    keyed = docs.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_th"])
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_th") == F.col("_h"))
-    repeated = keyed.join(copies, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.xxhash64("text").alias("_th"))
+    same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_th") == F.col("_h"))
+    repeated = rows.dropDuplicates(["_id", "_source", "_th"]).join(copies, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select("_row.*")

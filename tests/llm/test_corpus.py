@@ -83,7 +83,8 @@ def test_edge_cases_give_a_row_for_each_row(spark, edge, none, labels):
 
 
 def test_pipeline_on_edge_cases(spark, edge, none):
-    for docs in (edge.drop("score", "size"), none.drop("score", "size")):
+    named = lambda d: d.selectExpr("*", "1 AS _th", "2 AS _d", "3 AS _h", "4 AS _s", "5 AS _turn", "6 AS _row", "7 AS row", "8 AS cls", "9 AS `a b`")
+    for docs in (named(edge), named(none)):
         for name, stage in corpus_pipeline.STAGES:
             out = stored(stage(spark, docs, DATA), "stage")
             if name != "packing":
