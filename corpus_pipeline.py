@@ -3,6 +3,10 @@ mix sources to target weights, pack into token sequences.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
 All but the last return the columns of documents. The mixing stage repeats a document as often as the mix takes it.
+
+Defined cases: rows with null or empty texts pass every stage but the mix, which takes nothing of size 0; null ids stay; rows alike
+in id and text are one document from the near-duplicates on; ties go to the smallest id; empty tables stay empty; extra columns, of
+whatever names, are kept as they are up to the mix.
 """
 
 from __future__ import annotations
@@ -51,7 +55,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
-#: Models, components and packing have no SQL; tests compare the stages with brute force.
+#: Models, components and packing have no SQL; tests/llm/test_pipeline.py compares the stages with plain versions.
 ORACLE_SQL: str | None = None
 
 
