@@ -24,24 +24,29 @@ def similarity(distance: Column) -> Column:
     return 1.0 / (1.0 + distance)
 
 
-def slots(words: list[str], size: int) -> np.ndarray:
+def slots(words: Column, size: int) -> Column:
     """Places of terms in a hashed vector, from their lengths and three of their characters."""
-    return np.array([(ord(w[0]) * 131 + ord(w[len(w) // 2]) * 31 + ord(w[-1]) * 7 + len(w) * 17) % size for w in words], np.int64)
+    at = lambda w, i: F.ascii(F.substring(w, i, F.lit(1)))
+    place = lambda w: at(w, F.lit(1)) * 131 + at(w, F.floor(F.length(w) / 2).cast("int") + 1) * 31 + at(w, F.length(w)) * 7 + F.length(w) * 17
+    return F.transform(words, lambda w: (place(w) % size).cast("int"))
 
 
-def hashed(words: list[str], size: int) -> list[float]:
-    counts = np.bincount(slots(words, size), minlength=size).astype(float) if len(words) else np.zeros(size)
-    norm = float(np.sqrt((counts * counts).sum()))
-    return (counts / norm if norm else counts).tolist()
+def embed_text(text: Column, size: int = 64, embed: Callable[[list[str], int], list[float]] | None = None) -> Column:
+    """A vector for each text from its terms: by default counts of hashed terms, scaled to unit length, with zeros for no terms.
 
-
-def embed_text(text: Column, size: int = 64, embed: Callable[[list[str], int], list[float]] = hashed) -> Column:
-    """A vector for each text from its terms, by an embedder that gets them in Arrow batches.
-
-    The default counts hashed terms, scaled to unit length; a text without terms gives zeros.
+    embed gets a text's terms and the size instead; texts travel in Arrow batches either way.
     """
 
-    def run(words: pd.Series) -> pd.Series:
-        return pd.Series([embed(list(w), size) for w in words])
+    def hashed(places: pd.Series) -> pd.Series:
+        sizes = np.array([len(p) for p in places])
+        cells = np.repeat(np.arange(len(places)), sizes) * size + (np.concatenate(places.to_numpy()) if sizes.sum() else np.zeros(0, np.int64))
+        counts = np.bincount(cells.astype(np.int64), minlength=len(places) * size).reshape(len(places), size).astype(float)
+        norm = np.sqrt((counts**2).sum(1, keepdims=True))
+        return pd.Series(list(counts / np.where(norm > 0, norm, 1)))
+
+    def custom(words: pd.Series) -> pd.Series:
+        return pd.Series([embed(list(w), size) for w in words])  # type: ignore[misc]
 
-    return F.pandas_udf(run, "array<double>")(terms(text))
+    if embed is None:
+        return F.pandas_udf(hashed, "array<double>")(slots(terms(text), size))
+    return F.pandas_udf(custom, "array<double>")(terms(text))

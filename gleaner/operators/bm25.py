@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import K1, B
 from ..functions.text import terms
+from .scan import PRODUCT, QUERY_BYTES, best_of_tasks, numbers, rounded
 
 #: A table of query terms up to this many rows is broadcast; a larger one is joined by its key.
 BROADCAST_TERMS = 200_000
@@ -71,8 +76,72 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id",
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def vocabulary(wanted: DataFrame) -> tuple[list[str], dict[object, list[tuple[int, int]]]]:
+    """The different terms of the queries (query_id, term, qtf), and each query's terms by number with their counts."""
+    number: dict[str, int] = {}
+    asked: dict[object, list[tuple[int, int]]] = {}
+    for r in wanted.collect():
+        asked.setdefault(r["query_id"], []).append((number.setdefault(r["term"], len(number)), r["qtf"]))
+    return list(number), asked
+
+
+def best_documents(docs: DataFrame, wanted: DataFrame, k: int, doc: str = "doc_id", text: str = "text", digits: int = 6) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best documents of each query (query_id, term, qtf) that share a term with it.
+
+    A document's terms are all in its own row, so that every task scores its documents where they lie, for all queries at once,
+    and sends on its k best. Document frequencies come from a first scan. Queries whose terms don't fit in QUERY_BYTES
+    go by way of an index.
+    """
+    n_queries, n_terms = wanted.agg(F.countDistinct("query_id"), F.countDistinct("term")).first()
+    if 8 * n_queries * n_terms > QUERY_BYTES:
+        return top_k(score(build_index(docs, doc, text, only=wanted), wanted, digits).filter("score > 0"), k)
+    names, asked = vocabulary(wanted)
+    words = pa.array(names, pa.string())
+    items = docs.select(F.col(doc).alias("item"), terms(F.col(text)).alias("terms"))
+
+    def counted(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+        """How often each document has each term of the queries, documents' lengths, and which of the batch they are."""
+        column = batch.column("terms")
+        ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        at = pa.compute.index_in(column.flatten(), words).fill_null(-1).to_numpy(zero_copy_only=False)
+        for i in range(0, len(column), step := max(1, PRODUCT // max(1, len(names)))):
+            part = ends[i : i + step]
+            first = ends[i - 1] if i else 0
+            known = at[first : part[-1]]
+            row = np.searchsorted(part, np.arange(first, part[-1]), side="right")
+            cell = (row * len(names) + known)[known >= 0]
+            yield np.bincount(cell, minlength=len(part) * len(names)).reshape(len(part), len(names)), np.diff(part, prepend=first), slice(i, i + step)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(names), np.int64), 0, 0
+        for batch in batches:
+            for tf, dl, _ in counted(batch):
+                df, n, total = df + (tf > 0).sum(0), n + len(dl), total + int(dl.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([df.tolist()], pa.list_(pa.int64())), pa.array([n]), pa.array([total])], ["df", "n", "total"])
+
+    seen = items.select("terms").mapInArrow(frequencies, "df array<long>, n long, total long")
+    each = seen.select(F.posexplode("df").alias("at", "df")).groupBy("at").agg(F.sum("df").alias("df")).collect()  # a row for each term
+    n_docs, total = seen.agg(F.sum("n"), F.sum("total")).first()
+    df = np.zeros(len(names))
+    for r in each:
+        df[r["at"]] = r["df"]
+    weights = np.zeros((len(names), len(asked)))
+    for j, parts in enumerate(asked.values()):
+        for t, qtf in parts:
+            weights[t, j] += qtf * np.log((n_docs - df[t] + 0.5) / (df[t] + 0.5) + 1) * (K1 + 1)
+    mean = total / n_docs if n_docs else 0.0
+
+    def scored(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids = numbers(batch.column("item"))
+        for tf, dl, where in counted(batch):
+            norm = K1 * (1 - B + B * dl / mean) if mean else np.ones(len(dl))
+            value = rounded((tf / (tf + norm[:, None])) @ weights, digits)
+            yield np.where(value > 0, value, -np.inf), ids[where]
+
+    rows = [Row(query_id=q) for q in asked]
+    return top_k(best_of_tasks(items, rows, wanted.schema, k, scored), k, item="item").withColumnRenamed("item", "doc_id")
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 8, query: str = "item_id", doc: str = "doc_id") -> DataFrame:
     """query_id, doc_id, score, rank."""
-    wanted = query_terms(queries, query, "text")
-    scored = score(build_index(docs, doc, "text", only=wanted), wanted)
-    return top_k(scored.filter("score > 0"), k)
+    return best_documents(docs, query_terms(queries, query, "text"), k, doc)

@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot, similarity, squared_distance
 from .bm25 import top_k
+from .scan import PRODUCT, best_of_tasks, numbers, query_blocks, rounded
+
 
-#: Query vectors that are broadcast at once; more are taken in blocks of this size.
-BLOCK = 2000
+def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of the length asked for as rows, and which entries of the column they are."""
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    kept = np.flatnonzero(sizes == dim)
+    flat = column.take(pa.array(kept)).flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(kept), dim), kept
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", digits: int = 6) -> DataFrame:
     """vectors: item, vector; queries: query_id, vector. Returns query_id, item, score, rank.
 
-    metric l2 scores 1 / (1 + squared distance), cosine the dot product. Every query meets every vector, in blocks of
-    queries of a bounded size; the best k are kept partially before the shuffle.
+    metric l2 scores 1 / (1 + squared distance), cosine the dot product. Every query meets every vector, once for a block of
+    queries; each task keeps its k best of each query. Null vectors and those of another length than the queries' are left out.
     """
-    right = queries.select("query_id", F.col("vector").alias("_q"))
-    value = similarity(squared_distance("vector", "_q")) if metric == "l2" else dot("vector", "_q")
-    n = right.count()
-    blocks = -(-n // BLOCK) or 1
-    parts = right.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))) if blocks > 1 else right
+    items = vectors.select("item", "vector")
+    dim = queries.select(F.max(F.size("vector"))).first()[0] or 0
     out = None
-    for i in range(blocks):
-        part = parts.filter(F.col("_block") == i).drop("_block") if blocks > 1 else parts
-        met = vectors.crossJoin(F.broadcast(part)).select("query_id", "item", F.round(value, digits).alias("score"))
-        best = top_k(met, k, item="item")
+    for asked in query_blocks(queries.select("query_id", "vector").filter(F.size("vector") == dim), 8 * max(1, dim)):
+        q = np.array([r["vector"] for r in asked], float).reshape(len(asked), dim)
+
+        def score(batch: pa.RecordBatch, q: np.ndarray = q) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            every = numbers(batch.column("item"))
+            rows, kept = matrix(batch.column("vector"), dim)
+            for i in range(0, len(rows), step := max(1, PRODUCT // max(1, len(q)))):
+                part = rows[i : i + step]
+                value = part @ q.T
+                if metric == "l2":
+                    value = 1 / (1 + np.maximum((part**2).sum(1)[:, None] + (q**2).sum(1) - 2 * value, 0))
+                yield rounded(value, digits), every[kept[i : i + step]]
+
+        best = best_of_tasks(items, asked, queries.schema, k, score)
         out = best if out is None else out.union(best)
-    return out
+    return top_k(out, k, item="item")
 
 
-def filtered(chunks: DataFrame, section: str | None = None, has_figures: bool | None = None, pages: tuple[int, int] | None = None) -> DataFrame:
+def filtered(chunks: DataFrame, section: str | None = None, has_figures: bool | None = None, pages: tuple[int, int] | None = None, criterion: str | None = None) -> DataFrame:
     """Metadata filters, all of which must hold; they reach the scan."""
     if section is not None:
         chunks = chunks.filter(F.col("section_title") == section)
@@ -40,4 +56,6 @@ def filtered(chunks: DataFrame, section: str | None = None, has_figures: bool |
         chunks = chunks.filter(F.col("has_figure_reference") == has_figures)
     if pages is not None:
         chunks = chunks.filter((F.col("page_start") >= pages[0]) & (F.col("page_end") <= pages[1]))
+    if criterion is not None:
+        chunks = chunks.filter(F.col("criterion_id") == criterion)
     return chunks

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,39 +151,53 @@ def best_split(text: Column, target: Column, window: int = 200) -> Column:
     return F.when((last >= first) & (found["score"] > 0), 1 - found["neg"]).otherwise(target)
 
 
+#: Places where a text may be cut, found together with what follows them, and their worth: blank line, line, sentence, clause.
+PLACES = re.compile(r"(?=(\n\n)|(\n)|([.!?] )|([,;:] ))")
+WORTH = np.array([0.0, 100.0, 50.0, 30.0, 10.0])
+
+
+class Cuts:
+    """All places of a text with their worth, in order; a cut near a target is looked up among them."""
+
+    def __init__(self, text: str) -> None:
+        found = [(m.start(), m.lastindex) for m in PLACES.finditer(text)]
+        self.at, kinds = np.array(found, np.int64).reshape(-1, 2).T
+        self.worth, self.length = WORTH[kinds], len(text)
+
+    def near(self, target: int, reach: int) -> int:
+        """Behind the place within reach that is worth most, less 20 at the far end of the reach; the target if none is worth anything."""
+        i, j = np.searchsorted(self.at, [target - reach, min(self.length, target + reach)])
+        value = self.worth[i:j] - np.abs(self.at[i:j] - target) * (20 / reach)
+        top = int(value.argmax()) if j > i else 0
+        return int(self.at[i + top]) + 1 if j > i and value[top] > 0 else target
+
+
+def window_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Start and end of the windows of a text: each ends at a cut near its full length and the next starts at one before that end."""
+    cuts, begin, end = Cuts(text), 0, 0
+    while end < len(text):
+        full = begin + 4 * size
+        end = max(begin + 1, cuts.near(full, 200)) if full < len(text) else len(text)
+        yield begin, end
+        again = cuts.near(end - 4 * overlap, 100)
+        begin = again if again > begin else end
+
+
 def sliding_windows(docs: DataFrame, size: int = CRITERIA_SIZE, overlap: int = 50, least: int = LEAST_SIZE) -> DataFrame:
     """doc_id, window_no, start, end, content: windows of about size tokens (4 characters each) cut at good places.
 
-    Each start depends on the cut before, so a text is walked through in order; texts travel in Arrow batches.
+    Windows of fewer than `least` tokens are left out, but for a text's first. Each start depends on the cut before, so a
+    text is walked through in order; texts travel in Arrow batches.
     """
 
-    def split_at(text: str, target: int, window: int) -> int:
-        best, top = target, 0.0
-        for pos in range(max(0, target - window), min(len(text), target + window)):
-            two = text[pos : pos + 2]
-            value = 100 if two == "\n\n" else 50 if two[:1] == "\n" else 30 if len(two) == 2 and two[0] in ".!?" and two[1] == " " else 10 if len(two) == 2 and two[0] in ",;:" and two[1] == " " else 0
-            value -= abs(pos - target) / window * 20
-            if value > top:
-                best, top = pos + 1, value
-        return best
-
-    def cut(text: str) -> list[tuple[int, int, str]]:
-        out, start = [], 0
-        while start < len(text):
-            end = min(start + 4 * size, len(text))
-            end = split_at(text, end, 200) if end < len(text) else end
-            part = text[start:end].strip()
-            if start == 0 or int(len(part.split()) * 1.3) >= least:
-                out.append((start, end, part))
-            if end >= len(text):
-                break
-            after = split_at(text, end - 4 * overlap, 100)
-            start = after if after > start else end
-        return out
-
-    def run(parts):  # noqa: ANN001, ANN202
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(d, i, a, b, t) for d, text in zip(pdf["doc_id"], pdf["text"], strict=True) for i, (a, b, t) in enumerate(cut(text or ""))]
+            rows = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"].fillna(""), strict=True):
+                windows = [(a, b, text[a:b].strip()) for a, b in window_spans(text, size, overlap)]
+                kept = [w for w in windows if w[0] == 0 or int(len(w[2].split()) * 1.3) >= least]
+                rows += [(doc, i, *w) for i, w in enumerate(kept)]
             yield pd.DataFrame(rows, columns=["doc_id", "window_no", "start", "end", "content"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, window_no int, start int, end int, content string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, window_no int, start int, end int, content string")

@@ -30,8 +30,7 @@ def result_lists(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """asked: query_id, variant, query. The k best documents of every variant in both modalities, with modality and rank."""
     keyed = asked.withColumn("_v", F.struct("query_id", "variant"))
     wanted = bm25.query_terms(keyed, "_v", "query")
-    scored = bm25.score(bm25.build_index(docs, only=wanted), wanted).filter("score > 0")
-    by_word = bm25.top_k(scored, k).withColumn("modality", F.lit("keyword")).select("query_id", "doc_id", "score", "modality", "rank")
+    by_word = bm25.best_documents(docs, wanted, k).select("query_id", "doc_id", "score", F.lit("keyword").alias("modality"), "rank")
     vectors = docs.select(F.col("doc_id").alias("item"), embed_text(F.col("text")).alias("vector"))
     near = knn.neighbours(vectors, keyed.select(F.col("_v").alias("query_id"), embed_text(F.col("query")).alias("vector")), k)
     by_vector = near.select("query_id", F.col("item").alias("doc_id"), "score", F.lit("semantic").alias("modality"), "rank")

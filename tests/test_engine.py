@@ -7,11 +7,13 @@ import zipfile
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import bm25, fusion, knn, segment
+from gleaner.operators import bm25, fusion, knn, scan, segment
 from gleaner.plans import evaluate, report, retrieve
 from gleaner.sources import docx, store
 from gleaner.streaming import index
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_registry_has_all_queries():
     import __spark_entry__ as registry
@@ -120,7 +122,7 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "item long, vector array<double>")
     asked = rows.selectExpr("item AS query_id", "vector")
     whole = {tuple(r) for r in knn.neighbours(rows, asked, 3).collect()}
-    monkeypatch.setattr(knn, "BLOCK", 7)
+    monkeypatch.setattr(scan, "QUERY_BYTES", 7 * 16)
     assert {tuple(r) for r in knn.neighbours(rows, asked, 3).collect()} == whole
 
 
@@ -161,3 +163,41 @@ def test_index_follows_a_folder(spark, tmp_path):
     docs.write.parquet(f"file://{tmp_path}/in")
     index.follow(spark, f"file://{tmp_path}/in", docs.schema, f"file://{tmp_path}/ix", f"file://{tmp_path}/cp").awaitTermination(60)
     assert spark.read.parquet(f"file://{tmp_path}/ix/postings").filter("term = 'two'").count() == 2
+
+
+def naive_windows(text, size, overlap, least):
+    """Windows by the definition: every position's worth is looked at for every cut."""
+
+    def worth(pos):
+        pair = text[pos : pos + 2]
+        forms = [("\n\n", 100), ("\n", 50), *[(x + " ", 30) for x in ".!?"], *[(x + " ", 10) for x in ",;:"]]
+        return next((w for form, w in forms if pair.startswith(form)), 0)
+
+    def cut(target, reach):
+        rated = [(worth(p) - abs(p - target) * 20 / reach, -p) for p in range(max(0, target - reach), min(len(text), target + reach))]
+        score, neg = max(rated, default=(0, 0))
+        return 1 - neg if score > 0 else target
+
+    out, begin = [], 0
+    while text:
+        full = begin + 4 * size
+        end = cut(full, 200) if full < len(text) else len(text)
+        part = text[begin:end].strip()
+        if begin == 0 or int(len(part.split()) * 1.3) >= least:
+            out.append((begin, end, part))
+        if end == len(text):
+            break
+        begin = max((x for x in (cut(end - 4 * overlap, 100), end) if x > begin), key=lambda x: x != end)
+    return [(i, *w) for i, w in enumerate(out)]
+
+
+def test_sliding_windows_by_their_definition(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(60)
+    odd = [(-1, ""), (-2, None), (-3, "x" * 5000), (-4, "a\n\n\nb. c, d " * 700), (-5, "word " * 900)]
+    docs = docs.union(spark.createDataFrame(odd, "doc_id long, text string"))
+    for size, overlap, least in [(400, 50, 100), (120, 30, 20)]:
+        got = {}
+        for r in segment.sliding_windows(docs, size, overlap, least).collect():
+            got.setdefault(r["doc_id"], []).append((r["window_no"], r["start"], r["end"], r["content"]))
+        for r in docs.collect():
+            assert sorted(got.get(r["doc_id"], [])) == naive_windows(r["text"] or "", size, overlap, least), r["doc_id"]
