@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import BOUNDARY_FORMS, CHARS_PER_PAGE, GRADE_FORMS, HEADING_FORMS, SECTION_FORMS
+from .fixed import BOUNDARY_FORMS, CELL_CODE_FORM, CELL_TITLE_FORM, CHARS_PER_PAGE, CONCEPT_FORMS, GRADE_FORMS, HEADING_FORMS, SECTION_FORMS
 
 BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 EMPTY_STRINGS = "cast(array() AS array<string>)"
@@ -74,12 +74,12 @@ def table_markdown(rows: Column, pad: bool = True) -> Column:
 
 
 def criterion_code(cell: Column) -> Column:
-    return F.nullif(F.regexp_extract(cell, r"([KSB]\d{1,2})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(cell, CELL_CODE_FORM, 1), F.lit(""))
 
 
 def criterion_title(cell: Column) -> Column:
     """What follows the code and a dash, without asterisks at its ends; the whole cell if there is no dash."""
-    title = F.regexp_extract(cell, r"[KSB]\d{1,2}\*{0,2}\s*[–-]\s*(.+)", 1)
+    title = F.regexp_extract(cell, CELL_TITLE_FORM, 1)
     return F.when(title != "", F.regexp_replace(F.trim(title), r"^\*+|\*+$", "")).otherwise(cell)
 
 
@@ -96,8 +96,7 @@ def grade_section(text: Column, grade: str) -> Column:
 
 def key_concepts(text: Column, most: int = 5) -> Column:
     """Named technologies, acronyms and measured numbers, by pattern and then position, each once."""
-    forms = [r"\b(?:using|with|via|through)\s+([A-Z][a-zA-Z0-9\s]+)", r"\b([A-Z]{2,})\b", r"\b(\d+(?:\.\d+)?)\s*(?:GB|MB|TB|ms|seconds|hours)"]
-    found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x: F.trim(x)) for p in forms])
+    found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x: F.trim(x)) for p in CONCEPT_FORMS])
     return F.slice(F.array_distinct(F.filter(found, lambda x: F.length(x) > 1)), 1, most)
 
 

@@ -31,9 +31,17 @@ def with_context(figures: DataFrame, chunks: DataFrame, beside: int = 200) -> Da
 
 
 def relevant(figures: DataFrame, criteria: DataFrame, most: int = 3) -> DataFrame:
-    """criteria: query_id, text. query_id, figure_id, score, rank: shared words, twice for the caption's; the best `most` above 0."""
+    """criteria: query_id, text. query_id, figure_id, score, rank: shared words, twice for the caption's; the best `most` above 0.
+
+    Both sides meet on their words, so that only what shares one is paired.
+    """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: x != ""))
-    left = figures.select("figure_id", words("caption").alias("_cap"), words("context").alias("_ctx"))
-    shared = lambda c: F.size(F.array_intersect(words("text"), c))
-    scored = criteria.crossJoin(left).select("query_id", "figure_id", (shared("_cap") * 2 + shared("_ctx")).alias("score"))
-    return top_k(scored, most, item="figure_id").filter("score > 0")
+    sides = [figures.select("figure_id", F.explode(words(c)).alias("word"), F.lit(worth).alias("worth")) for c, worth in (("caption", 2), ("context", 1))]
+    asked = criteria.select("query_id", F.explode(words("text")).alias("word"))
+    scored = asked.join(sides[0].unionByName(sides[1]), "word").groupBy("query_id", "figure_id").agg(F.sum("worth").cast("int").alias("score"))
+    return top_k(scored, most, item="figure_id")
+
+
+def with_images(images: DataFrame, captions_: DataFrame) -> DataFrame:
+    """images: doc_id, figure_id and others; every image, with its caption where there is one."""
+    return images.join(captions_.select("doc_id", "figure_id", "caption"), ["doc_id", "figure_id"], "left")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import DEFAULT_TEXTS, WHOLE_TEXT
 from ..functions.text import category, criterion_code, criterion_title, grade_section
 
 
@@ -38,8 +39,8 @@ def parse_text(texts: DataFrame) -> DataFrame:
     for g, col in grades.items():
         parts = parts.withColumn(g, col)
     none = (F.col("pass") == "") & (F.col("merit") == "") & (F.col("referral") == "")
-    whole = F.when(F.col("content") == "", "See assignment brief").otherwise(F.substring("content", 1, 500))
-    rest = {"pass": "Meets basic requirements", "merit": "Exceeds basic requirements with strong evidence", "referral": "Does not meet minimum requirements"}
+    whole = F.when(F.col("content") == "", WHOLE_TEXT).otherwise(F.substring("content", 1, 500))
+    rest = DEFAULT_TEXTS
     found = [F.when(none, whole).otherwise(F.when(F.col(g) == "", rest[g]).otherwise(F.col(g))) if g == "pass" else F.when(F.col(g) == "", rest[g]).otherwise(F.col(g)) for g in rest]
     return parts.select("module", "part", "code", "title", *[c.alias(f"{g}_criteria") for c, g in zip(found, rest, strict=True)], category(F.col("code")).alias("category"))
 
@@ -74,3 +75,22 @@ def criteria_sections(blocks: DataFrame) -> DataFrame:
         F.max("id").alias("id"), F.max(F.when(F.col("id").isNotNull(), F.col("content"))).alias("title"), F.array_join(F.transform(body, lambda c: F.concat(F.lit("\n"), c)), "").alias("description"),
         F.array_join(ordered(F.col("id").isNull() & table), "\n").alias("descriptors"), F.min_by("page", "block_idx").alias("page"),
     )
+
+
+def registry(modules: DataFrame, texts: DataFrame) -> DataFrame:
+    """modules: module, name; texts: module, text (markdown rubrics). Every module with its criteria; modules without any have null ones."""
+    return modules.join(parse_table(texts), "module", "left")
+
+
+def criteria_of(registered: DataFrame, module: str) -> DataFrame:
+    """The criteria of a module, whatever the case of its code; an unknown one is an error."""
+    mine = registered.filter(F.upper("module") == module.upper())
+    if mine.isEmpty():
+        known = ", ".join(sorted(r["module"] for r in registered.select("module").distinct().collect()))  # a registry's modules
+        raise ValueError(f"unknown module {module}; known: {known}")
+    return mine.filter("code IS NOT NULL")
+
+
+def query_text(code: Column, title: Column, passed: Column) -> Column:
+    """What a criterion is searched by."""
+    return F.concat_ws(" ", code, title, passed)

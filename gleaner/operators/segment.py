@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CRITERIA_SIZE, LEAST_SIZE, REPORT_MOST, REPORT_OVERLAP, REPORT_SIZE
-from ..functions.text import is_heading, token_count
+from ..functions.fixed import CODE_FORM, CRITERIA_SIZE, LEAST_SIZE, NAMED_SECTION_FORM, NUMBERED_FORM, REPORT_MOST, REPORT_OVERLAP, REPORT_SIZE
+from ..functions.text import figure_ids, is_heading, token_count
 
 
 def line_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,14 +73,13 @@ def _gather(blocks: DataFrame, *fields: Column) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("blocks"))
 
 
-def report_chunks(blocks: DataFrame, size: int = REPORT_SIZE, overlap: int = REPORT_OVERLAP, most: int = REPORT_MOST) -> DataFrame:
-    """blocks: doc_id, block_idx, content, heading_level. Chunks: doc_id, chunk_index, content, pages, token_count.
+def _major() -> Column:
+    return F.coalesce(F.col("heading_level").between(1, 2), F.lit(False)).alias("major")
 
-    Blocks are packed until the next would exceed the size; a heading of level 1 or 2 starts a chunk. A new chunk starts
-    with the trailing blocks that fit in the overlap. Chunks are ranges of blocks, so the fold keeps positions alone.
-    """
-    docs = _gather(blocks, F.coalesce(F.col("heading_level").between(1, 2), F.lit(False)).alias("major"))
-    start = F.expr("named_struct('ranges', cast(array() AS array<struct<first:int,last:int>>), 'a', 0, 'used', 0)")
+
+def _packed(docs: DataFrame, size: int, overlap: int, most: int) -> DataFrame:
+    """Add ranges of blocks: first, last, and the first that is not an overlap with the chunk before."""
+    start = F.expr("named_struct('ranges', cast(array() AS array<struct<first:int,last:int,fresh:int>>), 'a', 0, 'used', 0, 'fresh', 0)")
 
     def back(a: Column, i: Column) -> Column:
         before = F.reverse(F.transform(F.slice("blocks", a + 1, i - a), lambda b: b["tokens"]))
@@ -91,21 +90,73 @@ def report_chunks(blocks: DataFrame, size: int = REPORT_SIZE, overlap: int = REP
         block = F.get("blocks", i)
         split = (i > 0) & ((s["used"] + block["tokens"] > min(size, most)) | block["major"])
         kept = back(s["a"], i)
-        cut = F.struct(F.concat(s["ranges"], F.array(F.struct(s["a"].alias("first"), (i - 1).alias("last")))).alias("ranges"), (i - kept["n"]).alias("a"), (kept["t"] + block["tokens"]).alias("used"))
-        return F.when(split, cut).otherwise(F.struct(s["ranges"].alias("ranges"), s["a"].alias("a"), (s["used"] + block["tokens"]).alias("used")))
+        cut = F.struct(F.concat(s["ranges"], F.array(F.struct(s["a"].alias("first"), (i - 1).alias("last"), s["fresh"].alias("fresh")))).alias("ranges"), (i - kept["n"]).alias("a"), (kept["t"] + block["tokens"]).alias("used"), i.alias("fresh"))
+        return F.when(split, cut).otherwise(F.struct(s["ranges"].alias("ranges"), s["a"].alias("a"), (s["used"] + block["tokens"]).alias("used"), s["fresh"].alias("fresh")))
 
     def close(s: Column) -> Column:
-        return F.concat(s["ranges"], F.array(F.struct(s["a"].alias("first"), (F.size("blocks") - 1).alias("last"))))
+        return F.concat(s["ranges"], F.array(F.struct(s["a"].alias("first"), (F.size("blocks") - 1).alias("last"), s["fresh"].alias("fresh"))))
+
+    return docs.withColumn("ranges", F.aggregate(F.sequence(F.lit(0), F.size("blocks") - 1), start, step, close))
+
+
+def report_chunks(blocks: DataFrame, size: int = REPORT_SIZE, overlap: int = REPORT_OVERLAP, most: int = REPORT_MOST) -> DataFrame:
+    """blocks: doc_id, block_idx, content, heading_level. Chunks: doc_id, chunk_index, content, pages, token_count.
 
-    folded = docs.withColumn("ranges", F.aggregate(F.sequence(F.lit(0), F.size("blocks") - 1), start, step, close))
-    return _chunks(folded, [])
+    Blocks are packed until the next would exceed the size; a heading of level 1 or 2 starts a chunk. A new chunk starts
+    with the trailing blocks that fit in the overlap. Chunks are ranges of blocks, so the fold keeps positions alone.
+    """
+    return _chunks(_packed(_gather(blocks, _major()), size, overlap, most), [])
+
+
+def report_records(blocks: DataFrame, size: int = REPORT_SIZE, overlap: int = REPORT_OVERLAP, most: int = REPORT_MOST) -> DataFrame:
+    """blocks as for report_chunks, with block_type and section_number. Chunks with what the store keeps of them.
+
+    section_title and section_number are those in force at the chunk's end, parent_section the last heading of level 1 or 2 up
+    to the block that ended the chunk. Its figures are those of the blocks from its first new one to the block that
+    ended it, and its pages go from that first new block to its last. Keywords are the chunk's most frequent words.
+    """
+    upto = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
+    heading = (F.col("block_type") == "heading") | F.col("heading_level").isNotNull()
+    state = {
+        "title": F.when(heading, F.col("content")),
+        "number": F.when(heading, F.nullif("section_number", F.lit(""))),
+        "parent": F.when(F.coalesce(F.col("heading_level").between(1, 2), F.lit(False)), F.substring("content", 1, 100)),
+    }
+    carried = blocks.select("*", *[F.last(c, True).over(upto).alias(f"_{n}") for n, c in state.items()])
+    fields = [F.col(f"_{n}").alias(n) for n in state]
+    folded = _packed(_gather(carried, _major(), figure_ids(F.col("content")).alias("figures"), *fields), size, overlap, most)
+    rows = folded.select("doc_id", "blocks", F.posexplode("ranges").alias("chunk_index", "r"))
+    block = lambda i: F.get(F.col("blocks"), i)
+    first, last, fresh = (F.col(f"r.{c}") for c in ("first", "last", "fresh"))
+    end = F.least(last + 1, F.size("blocks") - 1)
+    some = lambda a, b: F.slice("blocks", a + 1, b - a + 1)
+    figures = F.flatten(F.transform(some(fresh, end), lambda b: b["figures"]))
+    out = rows.select(
+        "doc_id", "chunk_index", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.lit("report").alias("document_type"),
+        F.array_join(F.transform(some(first, last), lambda b: b["content"]), "\n\n").alias("content"), block(fresh)["page"].alias("page_start"), block(last)["page"].alias("page_end"),
+        block(last)["title"].alias("section_title"), block(last)["number"].alias("section_number"), block(end)["parent"].alias("parent_section"), figures.alias("figure_ids"),
+    )
+    return out.withColumn("has_figure_reference", F.size("figure_ids") > 0).withColumn("token_count", token_count(F.col("content")))
+
+
+def titles(blocks: DataFrame, properties: DataFrame | None = None) -> DataFrame:
+    """doc_id, title: the document's own title property (doc_id, title) if it has one, else its first heading of level 0 or 1.
+
+    Blocks without a column heading_level come from pages: then it is the first heading on page 1.
+    """
+    wanted = F.col("heading_level").isin(0, 1) if "heading_level" in blocks.columns else (F.col("block_type") == "heading") & (F.col("page") == 1)
+    first = blocks.groupBy("doc_id").agg(F.min_by(F.when(wanted, F.col("content")), F.when(wanted, F.col("block_idx"))).alias("title"))
+    if properties is None:
+        return first
+    own = properties.select("doc_id", F.nullif(F.trim("title"), F.lit("")).alias("_own"))
+    return first.join(own, "doc_id", "left").select("doc_id", F.coalesce("_own", "title").alias("title"))
 
 
 def criterion_of(content: Column) -> tuple[Column, Column]:
     """The criterion a block names, and whether it may start a chunk (named section or two codes)."""
-    codes = F.regexp_extract_all(content, F.lit(r"\b([KSB]\d{1,2})\b"), F.lit(1))
-    named = F.regexp_extract(content, r"(?i)^((?:Part|Section)\s+\d+[:\s-]|[A-Z][a-z]+(?:\s+&\s+[A-Z][a-z]+)*\s*\([^)]*[KSB]\d+[^)]*\)\s*:)", 1)
-    numbered = F.nullif(F.regexp_extract(content, r"(?i)(?:criterion|criteria|learning\s+outcome|LO)\s*(\d+)", 1), F.lit(""))
+    codes = F.regexp_extract_all(content, F.lit(CODE_FORM), F.lit(1))
+    named = F.regexp_extract(content, "(?i)" + NAMED_SECTION_FORM, 1)
+    numbered = F.nullif(F.regexp_extract(content, "(?i)" + NUMBERED_FORM, 1), F.lit(""))
     by_code = F.when(F.size(codes) > 0, F.array_join(F.array_sort(F.array_distinct(codes)), ","))
     by_name = F.when(named != "", F.regexp_replace(F.regexp_replace(F.trim(named), ":+$", ""), "-+$", ""))
     return F.coalesce(by_code, by_name, numbered), (named != "") | (F.size(codes) >= 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import time
 import urllib.request
@@ -78,6 +79,17 @@ class HttpClient:
     def chat(self, messages: list[dict[str, str]]) -> str:
         return self._tried("/api/chat", {"model": self.model, "messages": messages, "stream": False}, "message")
 
+    def look(self, prompt: str, image: bytes) -> str:
+        """An answer about an image."""
+        return self.generate(prompt, images=[base64.b64encode(image).decode()])
+
+    def info(self) -> dict:
+        """What the server says of the model; empty if it says nothing."""
+        try:
+            return next(self._post("/api/show", {"name": self.model}), {})
+        except OSError:
+            return {}
+
     def available(self) -> bool:
         """Whether the server answers and has the model (its name up to a colon is enough)."""
         try:

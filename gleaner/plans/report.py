@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import NO_EVIDENCE
 from ..functions.text import grade_of, location, relevance
+from .evaluate import Client, generate
+from .settings import Settings
 
-NO_EVIDENCE = "No relevant evidence found in the report for this criterion."
 RULE = "\n\n---\n\n"
 SYSTEM = {
     "marker": "You assess work against criteria. Judge only by the evidence given and cite its pages.",
@@ -70,16 +72,52 @@ def grade_counts(graded: DataFrame, *by: str) -> DataFrame:
     return graded.groupBy(*by).agg(F.count("*").alias("n_total"), *counts)
 
 
-def markdown_report(graded: DataFrame, date: str) -> DataFrame:
-    """One row, report: a table of grades and a section for each criterion, in the order of criteria."""
+def evaluations_text(graded: DataFrame) -> DataFrame:
+    """One row, evaluations: what every evaluation says, in the order of criteria."""
+    section = F.concat(F.lit("### Criterion "), F.col("criterion"), F.lit("\n"), F.col("text"))
+    return graded.agg(ordered_join(F.col("criterion"), section, RULE).alias("evaluations"))
+
+
+def overall_summary(graded: DataFrame, client: Client) -> DataFrame:
+    """One row, text and status: the client's summary of all evaluations."""
+    prompts = evaluations_text(graded).select(F.lit("overall").alias("criterion"), summary_prompt(F.col("evaluations")).alias("prompt"))
+    return generate(prompts, client, system_prompt()).select("text", "status")
+
+
+def settings_block(settings: Settings) -> str:
+    mode = "Hybrid (BM25 + semantic)" if settings.hybrid else "Semantic only"
+    parts = {"Mode": mode, "Semantic weight": settings.semantic, "Keyword weight": settings.keyword, "Threshold": settings.threshold, "Results": settings.k}
+    return "Search settings:\n" + "\n".join(f"- {k}: {v}" for k, v in parts.items())
+
+
+def markdown_report(graded: DataFrame, date: str, settings: Settings | None = None) -> DataFrame:
+    """One row, report: the search settings, a table of grades and a section for each criterion, in the order of criteria."""
     title = F.when(F.length("title") > 35, F.concat(F.substring("title", 1, 35), F.lit("..."))).otherwise(F.col("title"))
     row = F.concat(F.lit("| "), F.col("criterion"), F.lit(" | "), title, F.lit(" | "), F.col("grade"), F.lit(" |"))
     section = F.concat(F.lit("## "), F.col("criterion"), F.lit(" - "), F.col("title"), F.lit("\n\n"), F.col("text"))
     parts = graded.agg(ordered_join(F.col("criterion"), row, "\n").alias("rows"), ordered_join(F.col("criterion"), section, RULE).alias("sections"))
-    return parts.select(F.concat(F.lit(f"# Assessment\n\nDate: {date}\n\n| Criterion | Title | Grade |\n| --- | --- | --- |\n"), F.col("rows"), F.lit("\n\n"), F.col("sections"), F.lit("\n")).alias("report"))
+    used = f"{settings_block(settings)}\n\n" if settings else ""
+    return parts.select(F.concat(F.lit(f"# Assessment\n\nDate: {date}\n\n{used}| Criterion | Title | Grade |\n| --- | --- | --- |\n"), F.col("rows"), F.lit("\n\n"), F.col("sections"), F.lit("\n")).alias("report"))
+
+
+def feedback_report(graded: DataFrame, summary: str) -> DataFrame:
+    """One row, report: the overall assessment and every evaluation as Markdown, in the order of criteria."""
+    section = F.concat(F.lit("---\n\n## Criterion "), F.col("criterion"), F.lit("\n\n"), F.col("text"), F.lit("\n\n"))
+    body = graded.agg(ordered_join(F.col("criterion"), section, "").alias("body"))
+    return body.select(F.concat(F.lit(f"# Coursework Feedback Report\n\n## Overall Assessment\n\n{summary}\n\n"), F.col("body")).alias("report"))
+
+
+def console_report(graded: DataFrame, summary: str, width: int = 60) -> DataFrame:
+    """One row, report: the same for a terminal, with the number of chunks that each evaluation read (evidence_count)."""
+    section = F.concat(
+        F.lit("\n## Criterion "), F.col("criterion"), F.lit("\nEvidence chunks: "), F.col("evidence_count").cast("string"), F.lit("\n" + "-" * 40 + "\n"), F.col("text"), F.lit("\n")
+    )
+    body = graded.agg(ordered_join(F.col("criterion"), section, "").alias("body"))
+    head = "\n" + "=" * width + "\nCOURSEWORK FEEDBACK\n" + "=" * width + f"\n\n## Overall Assessment\n\n{summary}\n\n" + "-" * width + "\n"
+    return body.select(F.concat(F.lit(head), F.col("body")).alias("report"))
 
 
 def json_results(graded: DataFrame, longest: int = 500) -> DataFrame:
-    """criterion, json: an object for each evaluation, its criterion's text cut."""
-    cut = graded.withColumn("title", F.substring("title", 1, longest))
+    """criterion, json: an object for each evaluation, its criterion's text (criterion_text, where there is one) cut."""
+    cut = graded.withColumn("criterion_text", F.substring("criterion_text", 1, longest)) if "criterion_text" in graded.columns else graded
     return cut.select("criterion", F.to_json(F.struct(*[F.col(c) for c in cut.columns])).alias("json"))

@@ -10,6 +10,7 @@ from ..functions.text import terms, token_count
 from ..functions.vector import embed_text
 from ..operators import bm25, fusion, knn
 from ..operators.expand import expanded
+from .settings import Settings
 
 
 def keywords(docs: DataFrame, most: int = 10) -> DataFrame:
@@ -53,13 +54,14 @@ def sweep(lists: DataFrame, depth: int | None = None) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(order)).filter("rank <= k").select("preset", "query_id", "doc_id", "score", "rank")
 
 
-def retrieve(docs: DataFrame, criteria: DataFrame, preset: str = "BALANCED", scale: str = "normalised") -> DataFrame:
+def retrieve(docs: DataFrame, criteria: DataFrame, preset: str | Settings = "BALANCED", scale: str = "normalised") -> DataFrame:
     """criteria: query_id, text, code. Selected evidence: query_id, doc_id, score, token_count, place, n_variants.
 
     One plan for all criteria. scale raw compares the threshold with plain sums of reciprocal ranks, which many variants
     alone can lift above it; normalised divides by what as many variants can reach.
     """
-    hybrid, semantic, keyword, threshold, k = PRESETS[preset]
+    chosen = preset if isinstance(preset, Settings) else Settings.preset(preset)
+    hybrid, semantic, keyword, threshold, k = chosen.hybrid, chosen.semantic, chosen.keyword, chosen.threshold, chosen.k
     asked = expanded(criteria, concepts=True)
     lists = result_lists(docs, asked, k)
     if not hybrid:
@@ -70,3 +72,19 @@ def retrieve(docs: DataFrame, criteria: DataFrame, preset: str = "BALANCED", sca
         fused = fusion.normalised(fused)
     tokens = docs.select("doc_id", token_count(F.col("text")).alias("token_count"))
     return fusion.select_budget(fused.join(tokens, "doc_id"), threshold, k).join(n, "query_id")
+
+
+def retrieve_all(docs: DataFrame, criteria: DataFrame, whole: str = "", preset: str | Settings = "BALANCED", longest: int = 1000) -> DataFrame:
+    """retrieve for all criteria; without any, for one query made of the criteria document's whole text, cut, under the id 0."""
+    if criteria.isEmpty():
+        criteria = docs.sparkSession.createDataFrame([(0, whole[:longest], "")], "query_id long, text string, code string")
+    return retrieve(docs, criteria, preset)
+
+
+def totals(evidence: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """One row: n_criteria, n_chunks, n_tokens, any_figure of selected evidence; figures: doc_id of chunks that refer to one."""
+    marked = evidence.withColumn("_figure", F.lit(False))
+    if figures is not None:
+        marked = evidence.join(figures.select("doc_id").distinct().withColumn("_f", F.lit(True)), "doc_id", "left").withColumn("_figure", F.coalesce("_f", F.lit(False)))
+    counts = [F.countDistinct("query_id").alias("n_criteria"), F.count("*").alias("n_chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).cast("long").alias("n_tokens")]
+    return marked.agg(*counts, F.coalesce(F.bool_or("_figure"), F.lit(False)).alias("any_figure"))

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CONTEXTS, PRESETS, STOPWORDS, SYNONYMS
+from ..functions.fixed import CONCEPT_FORMS, CONTEXTS, PRESETS, STOPWORDS, SYNONYMS
 from ..functions.text import key_concepts, page_estimate, relevance, terms, token_count
 from ..functions.vector import embed_text
 from ..operators import bm25, expand, fusion, knn
 from ..operators.segment import line_blocks
-from ..plans import retrieve
+from ..plans import index, retrieve
+from ..plans.settings import Settings
 from .literals import frame, values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,8 +100,7 @@ def keywords_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concept_sql(text: str) -> str:
-    forms = [r"\b(?:using|with|via|through)\s+([A-Z][a-zA-Z0-9\s]+)", r"\b([A-Z]{2,})\b", r"\b(\d+(?:\.\d+)?)\s*(?:GB|MB|TB|ms|seconds|hours)"]
-    found = "list_concat(" + ", ".join(f"list_transform(regexp_extract_all({text}, '{p}', 1), lambda x: trim(x))" for p in forms) + ")"
+    found = "list_concat(" + ", ".join(f"list_transform(regexp_extract_all({text}, '{p}', 1), lambda x: trim(x))" for p in CONCEPT_FORMS) + ")"
     return f"list_filter({found}, lambda x: length(x) > 1)"
 
 
@@ -136,13 +136,14 @@ def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.expanded(frame(spark, "asked"))
 
 
-def vectors(spark: SparkSession, sf_dir: str, asked: str = "item < 5") -> tuple[DataFrame, DataFrame]:
+def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"), "label")
-    return rows, rows.filter(asked).select(F.col("item").alias("query_id"), "vector")
+    return rows, rows.filter("item % 20 = 0").select(F.col("item").alias("query_id"), "vector")
 
 
-def knn_sql(score: str, where: str = "true", k: int = 8, asked: str = "q.vec_id < 5") -> str:
-    return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round({score}, 6) AS score FROM embeddings v, embeddings q WHERE {asked} AND {where}),
+def knn_sql(score: str, where: str = "true", k: int = 8) -> str:
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round({score}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND {where}),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS INTEGER) AS rank FROM s) SELECT query_id, item, score, rank FROM r WHERE rank <= {k}"""
 
 
@@ -152,44 +153,22 @@ L2 = "1 / (1 + list_sum(list_transform(list_zip(v.embedding, q.embedding), lambd
 
 @query(knn_sql(DOT))
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest unit vectors by dot product."""
+    """Nearest unit vectors by dot product of every vector whose id is divisible by 20."""
     rows, asked = vectors(spark, sf_dir)
     return knn.neighbours(rows, asked, 8, "cosine").select("query_id", "item", "score", "rank")
 
 
 @query(knn_sql(L2))
 def l2_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors by squared distance, as a similarity."""
+    """Nearest vectors by squared distance, as a similarity, of every vector whose id is divisible by 20."""
     rows, asked = vectors(spark, sf_dir)
     return knn.neighbours(rows, asked, 8).select("query_id", "item", "score", "rank")
 
 
-@query(knn_sql(L2, "v.vec_id BETWEEN 20 AND 400 AND v.label = 1", 5))
+@query(knn_sql(L2, "v.label = 1", 5))
 def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors among those that pass metadata filters."""
+    """Nearest vectors among all that pass a metadata filter, of every vector whose id is divisible by 20."""
     rows, asked = vectors(spark, sf_dir)
-    rows = rows.withColumn("section_title", F.col("label").cast("string")).withColumn("page_start", F.col("item")).withColumn("page_end", F.col("item"))
-    return knn.neighbours(knn.filtered(rows, section="1", pages=(20, 400)), asked, 5).select("query_id", "item", "score", "rank")
-
-
-@query(knn_sql(DOT, asked="q.vec_id % 20 = 0"))
-def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest unit vectors by dot product of every vector whose id is divisible by 20."""
-    rows, asked = vectors(spark, sf_dir, "item % 20 = 0")
-    return knn.neighbours(rows, asked, 8, "cosine").select("query_id", "item", "score", "rank")
-
-
-@query(knn_sql(L2, asked="q.vec_id % 20 = 0"))
-def l2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors by squared distance of every vector whose id is divisible by 20."""
-    rows, asked = vectors(spark, sf_dir, "item % 20 = 0")
-    return knn.neighbours(rows, asked, 8).select("query_id", "item", "score", "rank")
-
-
-@query(knn_sql(L2, "v.label = 1", 5, asked="q.vec_id % 20 = 0"))
-def filtered_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors among all with a label, of every vector whose id is divisible by 20."""
-    rows, asked = vectors(spark, sf_dir, "item % 20 = 0")
     rows = rows.withColumn("section_title", F.col("label").cast("string"))
     return knn.neighbours(knn.filtered(rows, section="1"), asked, 5).select("query_id", "item", "score", "rank")
 
@@ -221,8 +200,12 @@ def threshold_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("query_id", "doc_id", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("normalised"), (F.col("raw") >= 0.2).alias("raw_passes"), (F.col("score") >= 0.2).alias("normalised_passes"), relevance(F.col("score")).alias("relevance"))
 
 
-HYBRID = f"""
-v0 AS (SELECT item_id AS query_id, 0 AS variant, text AS query FROM benchmark UNION ALL SELECT item_id, 1, split_part(text, '.', 1) FROM benchmark),
+ITEMS = "SELECT item_id AS query_id, 0 AS variant, text AS query FROM benchmark UNION ALL SELECT item_id, 1, split_part(text, '.', 1) FROM benchmark"
+
+
+def hybrid_sql(asked: str) -> str:
+    """Common tables down to l: the result lists of both modalities for the queries asked (query_id, variant, query)."""
+    return f"""v0 AS ({asked}),
 v AS (SELECT * FROM v0 WHERE length(trim(query)) > 2),
 d AS (SELECT doc_id, {TERMS.format("text")} AS ts FROM documents), dl AS (SELECT doc_id, ts, len(ts) AS dl FROM d), c AS (SELECT count(*) AS n, avg(dl) AS avg_len FROM dl),
 p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, dl, unnest(ts) AS term FROM dl) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
@@ -238,6 +221,9 @@ l AS (SELECT *, 'keyword' AS modality, row_number() OVER (PARTITION BY query_id,
   UNION ALL SELECT *, 'semantic', row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, doc_id) FROM ss)"""
 
 
+HYBRID = hybrid_sql(ITEMS)
+
+
 def hybrid_lists(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     both = F.array(F.col("text"), F.split_part("text", F.lit("."), F.lit(1)))
@@ -291,6 +277,55 @@ def budget_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.select_budget(hits, 0.2, 3).select("query_id", "doc_id", "token_count", "place")
 
 
+WORDS_ASKED = ["thonnd", "ernt", "reanth", "inner", "cloud", "storage"]
+
+
+@query(f"WITH {hybrid_sql(f"SELECT 0 AS query_id, 0 AS variant, '{' '.join(WORDS_ASKED)}' AS query")} SELECT doc_id AS chunk_id, score, CAST(rank AS INTEGER) AS rank FROM l WHERE modality = 'semantic' AND rank <= 10")
+def keyword_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose vectors are nearest to a list of keywords."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), embed_text(F.col("text")).alias("vector"))
+    return index.search_words(docs, WORDS_ASKED)
+
+
+@query(f"WITH {BM25} SELECT query_id, rank, doc_id AS chunk_id, source AS section_title, md5(text) AS content_md5 FROM r JOIN documents USING (doc_id) WHERE rank <= 16")
+def fetch_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content and place of twice as many documents as an item's search returns, by their ids."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ids = bm25.search(docs, items, k=16).select("query_id", F.col("doc_id").alias("chunk_id"), "rank")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("section_title"))
+    return index.fetch(chunks, ids).select("query_id", "rank", "chunk_id", "section_title", F.md5("content").alias("content_md5"))
+
+
+TOTALS = """SELECT count(DISTINCT query_id) AS n_criteria, count(*) AS n_chunks, CAST(sum(token_count) AS BIGINT) AS n_tokens, true AS any_figure FROM x"""
+
+
+@query(SQL["budget_select"].replace("WITH RECURSIVE", "WITH RECURSIVE x AS (WITH RECURSIVE", 1) + f") {TOTALS}")
+def retrieval_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a retrieval selected in all."""
+    return retrieve.totals(budget_select(spark, sf_dir), spark.sql("SELECT 12 AS doc_id"))
+
+
+CHOICES = [("BALANCED", 0.2, 8, 0.6), ("BALANCED", 0.25, 8, 0.6), ("SEMANTIC_ONLY", 0.3, 6, 1.0), ("HIGH_RECALL", 0.5, 15, 0.0), ("HIGH_RECALL", 0.55, 12, 0.5), ("BALANCED", 0.2, 2, 0.6), ("KEYWORD_HEAVY", 0.15, 10, 0.45), ("KEYWORD_HEAVY", 0.12, 10, 0.4)]
+
+
+@query(
+    f"""WITH c(id, preset, threshold, k, semantic) AS (VALUES {", ".join(f"({i}, '{n}', {t}::DOUBLE, {k}, {w}::DOUBLE)" for i, (n, t, k, w) in enumerate(CHOICES))}),
+    ps(preset, hybrid, ws, wk, th, pk) AS (VALUES {", ".join(f"('{n}', {h}, {s}::DOUBLE, {w}::DOUBLE, {t}::DOUBLE, {k})" for n, (h, s, w, t, k) in PRESETS.items())}),
+    x AS (SELECT *, threshold BETWEEN 0 AND 0.5 AND abs(threshold * 20 - round(threshold * 20)) < 1e-9 AND k BETWEEN 3 AND 15 AND semantic BETWEEN 0 AND 1 AND abs(semantic * 10 - round(semantic * 10)) < 1e-9 AS valid FROM c JOIN ps USING (preset))
+    SELECT id, CASE WHEN NOT valid THEN 'invalid' WHEN threshold = th AND k = pk AND semantic = ws THEN preset ELSE 'CUSTOM' END AS name, CASE WHEN valid THEN round(1 - semantic, 6) END AS keyword FROM x"""
+)
+def custom_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presets with changed values: what they are called, and the keyword weight that follows."""
+    rows = []
+    for i, (name, threshold, k, semantic) in enumerate(CHOICES):
+        try:
+            changed = Settings.preset(name).change(threshold=threshold, k=k, semantic=semantic)
+            rows.append((i, changed.name, round(changed.keyword, 6)))
+        except ValueError:
+            rows.append((i, "invalid", None))
+    return spark.createDataFrame(rows, "id int, name string, keyword double")
+
+
 @query()
 def retrieve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole retrieval plan: expansion, concepts, both modalities, fusion and selection for every benchmark item."""
@@ -311,14 +346,14 @@ def embed_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH t AS (SELECT item_id, {TERMS.format("text")} AS ts FROM benchmark), e AS (SELECT item_id, unnest(ts) AS term FROM t),
-    s AS (SELECT item_id, (ascii(term[1]) * 131 + ascii(term[length(term) // 2 + 1]) * 31 + ascii(term[-1]) * 7 + length(term) * 17) % 64 AS slot, count(*) AS x FROM e GROUP BY ALL)
-    SELECT item_id, CAST(slot AS INTEGER) AS slot, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS value FROM s"""
+    f"""WITH t AS (SELECT doc_id, {TERMS.format("text")} AS ts FROM documents), e AS (SELECT doc_id, unnest(ts) AS term FROM t),
+    s AS (SELECT doc_id, (ascii(term[1]) * 131 + ascii(term[length(term) // 2 + 1]) * 31 + ascii(term[-1]) * 7 + length(term) * 17) % 64 AS slot, count(*) AS x FROM e GROUP BY ALL)
+    SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS value FROM s"""
 )
 def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed unit vectors of the benchmark items, without zeros."""
-    v = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(embed_text(F.col("text"))).alias("slot", "value"))
-    return v.filter("value > 0").select("item_id", "slot", F.round("value", 6).alias("value"))
+    """Hashed unit vectors of the documents, without zeros."""
+    v = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(embed_text(F.col("text"))).alias("slot", "value"))
+    return v.filter("value > 0").select("doc_id", "slot", F.round("value", 6).alias("value"))
 
 
 @query(f"SELECT doc_id, CAST(len({TERMS.format('text')}) AS INTEGER) AS n_terms, CAST(len(list_distinct({TERMS.format('text')})) AS INTEGER) AS n_distinct FROM documents")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fixed import GRADE_FORMS, HEADING_FORMS, SECTION_FORMS
-from ..operators import figures, rubric, segment
+from ..functions.fixed import BOUNDARY_FORMS, GRADE_FORMS, HEADING_FORMS, SECTION_FORMS
+from ..operators import figures, knn, rubric, segment
 from ..plans import evaluate, report
+from ..plans.settings import Settings
 from ..sources import store
 from .literals import frame, values
 from .retrieval import TOKENS, Query, table
@@ -191,7 +192,10 @@ def sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sliding_windows(table(spark, sf_dir, "documents")).select("doc_id", "window_no", "start", "end")
 
 
-@query()
+NEAR = "substr(text, greatest(mid - 49, 1), least(mid, 50) + 50)"
+
+
+@query(f"SELECT doc_id, substr(text, mid + 1, 2) = chr(10) || chr(10) OR regexp_matches({NEAR}, '(?im){'|'.join(BOUNDARY_FORMS)}') AS boundary FROM (SELECT doc_id, text, CAST(floor(length(text) / 2) AS INTEGER) AS mid FROM documents)")
 def semantic_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a text may be cut in its middle."""
     middle = F.floor(F.length("text") / 2).cast("int")
@@ -402,8 +406,116 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.markdown_report(rows, "2024-01-01")
 
 
-@query()
+PROMPT = "'<criterion>' || chr(10) || criterion || chr(10) || '</criterion>' || chr(10) || '<evidence>' || chr(10) || text || chr(10) || '</evidence>' || chr(10) || 'End with: Recommended Grade: PASS, MERIT or REFERRAL.'"
+
+
+@query(f"SELECT criterion, CASE WHEN contains(p, 'S2') THEN 'ERROR' ELSE 'OK' END AS status, CASE WHEN contains(p, 'S2') THEN 'ERROR' ELSE ['PASS', 'MERIT', 'REFERRAL'][length(p) % 3 + 1] END AS grade FROM (SELECT criterion, {PROMPT} AS p FROM {values('evaluations')})")
 def evaluate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluations by a stand-in for a language model, one of which fails."""
     rows = frame(spark, "evaluations").withColumn("prompt", report.evaluation_prompt(F.col("criterion"), F.col("text")))
     return report.with_grades(evaluate.generate(rows, evaluate.StubClient(fail_on="S2"))).select("criterion", "status", "grade")
+
+
+EVALUATIONS = f"SELECT '<evaluations>' || chr(10) || string_agg('### Criterion ' || criterion || chr(10) || text, '{report.RULE}' ORDER BY criterion) || chr(10) || '</evaluations>' || chr(10) || 'Summarise strengths, gaps and next steps.' AS p FROM {values('evaluations')}"
+
+
+@query(f"SELECT 'Recommended Grade: ' || ['PASS', 'MERIT', 'REFERRAL'][length(p) % 3 + 1] AS text, 'OK' AS status FROM ({EVALUATIONS})")
+def overall_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in's summary of all evaluations, which depends on their whole text."""
+    return report.overall_summary(frame(spark, "evaluations"), evaluate.StubClient())
+
+
+@query(f"SELECT '# Coursework Feedback Report' || chr(10) || chr(10) || '## Overall Assessment' || chr(10) || chr(10) || 'Well done.' || chr(10) || chr(10) || string_agg('---' || chr(10) || chr(10) || '## Criterion ' || criterion || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY criterion) AS report FROM {values('evaluations')}")
+def feedback_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All evaluations as feedback in Markdown."""
+    return report.feedback_report(frame(spark, "evaluations"), "Well done.")
+
+
+@query(
+    f"""SELECT chr(10) || repeat('=', 60) || chr(10) || 'COURSEWORK FEEDBACK' || chr(10) || repeat('=', 60) || chr(10) || chr(10) || '## Overall Assessment' || chr(10) || chr(10) || 'Well done.' || chr(10) || chr(10) || repeat('-', 60) || chr(10)
+      || string_agg(chr(10) || '## Criterion ' || criterion || chr(10) || 'Evidence chunks: 3' || chr(10) || repeat('-', 40) || chr(10) || text || chr(10), '' ORDER BY criterion) AS report FROM {values("evaluations")}"""
+)
+def feedback_console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a terminal."""
+    return report.console_report(frame(spark, "evaluations").withColumn("evidence_count", F.lit(3)), "Well done.")
+
+
+@query(
+    f"""WITH g AS (SELECT criterion, text, {GRADE} AS grade FROM {values("evaluations")})
+    SELECT '# Assessment' || chr(10) || chr(10) || 'Date: 2024-01-01' || chr(10) || chr(10) || 'Search settings:' || chr(10) || '- Mode: Semantic only' || chr(10) || '- Semantic weight: 1.0' || chr(10) || '- Keyword weight: 0.0' || chr(10) || '- Threshold: 0.3' || chr(10) || '- Results: 6'
+      || chr(10) || chr(10) || '| Criterion | Title | Grade |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || criterion || ' | Title | ' || grade || ' |', chr(10) ORDER BY criterion) || chr(10) || chr(10)
+      || string_agg('## ' || criterion || ' - Title' || chr(10) || chr(10) || text, '{report.RULE}' ORDER BY criterion) || chr(10) AS report FROM g"""
+)
+def report_with_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report that says which settings its evidence was searched with."""
+    rows = report.with_grades(frame(spark, "evaluations")).withColumn("title", F.lit("Title"))
+    return report.markdown_report(rows, "2024-01-01", Settings.preset("SEMANTIC_ONLY"))
+
+
+@query("SELECT criterion, left(repeat(category || ' ', 100), 500) AS criterion_text, length(text) AS n FROM " + values("evaluations"))
+def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluations as JSON objects, read back."""
+    rows = frame(spark, "evaluations").withColumn("criterion_text", F.repeat(F.concat("category", F.lit(" ")), F.lit(100)))
+    back = report.json_results(rows).select("criterion", F.from_json("json", "criterion_text string, text string").alias("j"))
+    return back.select("criterion", "j.criterion_text", F.length("j.text").alias("n"))
+
+
+@query(f"WITH {RUBRIC}, m(module, name) AS (VALUES ('OPS', 'Operations'), ('DATA', 'Data'), ('NONE', 'Without a rubric')) SELECT module, name, count(code) AS n_criteria, string_agg(code, ',' ORDER BY line_no) AS codes FROM m LEFT JOIN r USING (module) GROUP BY ALL")
+def module_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered modules and their criteria."""
+    modules = spark.createDataFrame([("OPS", "Operations"), ("DATA", "Data"), ("NONE", "Without a rubric")], "module string, name string")
+    rows = rubric.registry(modules, frame(spark, "rubric"))
+    codes = F.transform(F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("line_no", "code")))), lambda x: x["code"])
+    return rows.groupBy("module", "name").agg(F.count("code").alias("n_criteria"), F.nullif(F.array_join(codes, ","), F.lit("")).alias("codes"))
+
+
+@query(f"WITH {RUBRIC} SELECT module, code, concat_ws(' ', code, title, pass_criteria) AS query FROM r")
+def criterion_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What criteria are searched by."""
+    rows = rubric.parse_table(frame(spark, "rubric"))
+    return rows.select("module", "code", rubric.query_text(F.col("code"), F.col("title"), F.col("pass_criteria")).alias("query"))
+
+
+@query(f"SELECT doc_id, block_idx FROM {values('blocks')} WHERE section_number = '2'")
+def criterion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of one criterion."""
+    return knn.filtered(frame(spark, "blocks").withColumn("criterion_id", F.col("section_number")), criterion="2").select("doc_id", "block_idx")
+
+
+LEVEL = "CASE WHEN contains(lower(style), 'heading') THEN coalesce(CAST(nullif(regexp_extract(style, '(\\d+)', 1), '') AS INTEGER), 1) WHEN contains(lower(style), 'title') THEN 0 END"
+
+
+@query(f"WITH b AS (SELECT *, {LEVEL} AS level FROM {values('blocks')}), t AS (SELECT doc_id, arg_min(content, block_idx) FILTER (WHERE level IN (0, 1)) AS title FROM b GROUP BY doc_id) SELECT doc_id, CASE WHEN doc_id = 2 THEN 'Given title' ELSE title END AS title FROM t")
+def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by the document's own property, else by its first heading of the top levels."""
+    blocks = frame(spark, "blocks").withColumn("heading_level", T.heading_level(F.col("style"), F.lit(None)))
+    given = spark.createDataFrame([(1, " "), (2, "Given title")], "doc_id int, title string")
+    return segment.titles(blocks, given)
+
+
+CHUNKS = f"""RECURSIVE {BLOCKS}, s AS (SELECT *, sum(t) OVER (PARTITION BY doc_id ORDER BY i) - t AS before FROM b),
+    o AS (SELECT x.doc_id, x.i, x.t, x.before, coalesce(min(y.i), x.i) AS back FROM s x LEFT JOIN s y ON y.doc_id = x.doc_id AND y.i < x.i AND x.before - y.before <= 120 GROUP BY x.doc_id, x.i, x.t, x.before),
+    w AS (SELECT doc_id, i, i AS a, t::BIGINT AS used, 0::BIGINT AS done_a, 0::BIGINT AS done_b FROM o WHERE i = 1
+      UNION ALL SELECT o.doc_id, o.i, CASE WHEN w.used + o.t > 600 THEN greatest(w.a, o.back) ELSE w.a END,
+        CASE WHEN w.used + o.t > 600 THEN o.before - (SELECT z.before FROM o z WHERE z.doc_id = o.doc_id AND z.i = greatest(w.a, o.back)) + o.t ELSE w.used + o.t END,
+        CASE WHEN w.used + o.t > 600 THEN w.a ELSE 0 END, CASE WHEN w.used + o.t > 600 THEN w.i ELSE 0 END FROM w JOIN o ON o.doc_id = w.doc_id AND o.i = w.i + 1),
+    r AS (SELECT doc_id, done_a AS a, done_b AS z FROM w WHERE done_b > 0 UNION ALL SELECT doc_id, arg_max(a, i), max(i) FROM w GROUP BY doc_id)"""
+
+
+@query(
+    f"""WITH {CHUNKS}, h AS (SELECT doc_id, i, content, {is_heading("content")} AS heading, i // 10 + 1 AS page, last_value(CASE WHEN {is_heading("content")} THEN content END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS title,
+      last_value(CASE WHEN {is_heading("content")} THEN {SECTION.replace("line", "content")} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS number, len(regexp_extract_all(content, '[Ff]ig(?:ure\\s+|\\.?\\s*)(\\d+)', 1)) > 0 AS figure FROM b),
+    k AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY z) + 1, 1) AS fresh, row_number() OVER (PARTITION BY doc_id ORDER BY z) - 1 AS n FROM r)
+    SELECT k.doc_id || '_chunk_' || k.n AS chunk_id, CAST(k.n AS INTEGER) AS chunk_index, CAST(f.page AS INTEGER) AS page_start, CAST(l.page AS INTEGER) AS page_end, md5(l.title) AS title_md5, l.number AS section_number,
+      EXISTS (SELECT 1 FROM h g WHERE g.doc_id = k.doc_id AND g.i BETWEEN k.fresh AND k.z + 1 AND g.figure) AS has_figure_reference
+    FROM k JOIN h f ON f.doc_id = k.doc_id AND f.i = k.fresh JOIN h l ON l.doc_id = k.doc_id AND l.i = k.z"""
+)
+def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chunks with their sections, pages and figures; ten lines make a page here."""
+    lines = segment.line_blocks(table(spark, sf_dir, "documents"))
+    order = Window.partitionBy("doc_id").orderBy("block_idx")
+    content = F.col("content")
+    blocks = lines.withColumn("page", F.floor(F.row_number().over(order) / 10).cast("int") + 1).withColumn("heading_level", F.lit(None).cast("int"))
+    blocks = blocks.withColumn("block_type", F.when(T.is_heading(content), "heading").otherwise("text")).withColumn("section_number", T.section_number(content))
+    rows = segment.report_records(blocks)
+    return rows.select("chunk_id", "chunk_index", "page_start", "page_end", F.md5("section_title").alias("title_md5"), "section_number", "has_figure_reference")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import Protocol
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators.segment import assemble_paragraphs
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/package/2006/relationships}"
@@ -67,36 +72,78 @@ def images(data: bytes) -> Iterator[tuple[str, str, bytes]]:
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """path, block_idx, block_type, content, style, outline, cells of all Word documents below a path."""
+    """path, block_idx, block_type, content, style, outline, cells, error of all Word documents below a path.
+
+    A file that cannot be read is one row with nothing but its path and error.
+    """
+    columns = ["path", "block_idx", "block_type", "content", "style", "outline", "cells", "error"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(p, i, *b) for p, data in zip(pdf["path"], pdf["content"], strict=True) for i, b in enumerate(blocks(data))]
-            yield pd.DataFrame(rows, columns=["path", "block_idx", "block_type", "content", "style", "outline", "cells"]).astype({"outline": "Int32"})
+            rows: list[tuple] = []
+            for p, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(p, i, *b, None) for i, b in enumerate(blocks(data))]
+                except Exception as error:  # whatever is wrong with one file is that file's row
+                    rows.append((p, None, None, None, None, None, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=columns).astype({"outline": "Int32", "block_idx": "Int32"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, block_idx int, block_type string, content string, style string, outline int, cells array<array<string>>")
+    return files.mapInPandas(run, "path string, block_idx int, block_type string, content string, style string, outline int, cells array<array<string>>, error string")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, figure_id, format, bytes of all images embedded in Word documents below a path."""
+    """path, figure_id, format, bytes of all images embedded in Word documents below a path; files that cannot be read have none."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(p, *x) for p, data in zip(pdf["path"], pdf["content"], strict=True) for x in images(data)]
+            rows: list[tuple] = []
+            for p, data in zip(pdf["path"], pdf["content"], strict=True):
+                with contextlib.suppress(Exception):  # read_docx has a row with the error
+                    rows += [(p, *x) for x in images(data)]
             yield pd.DataFrame(rows, columns=["path", "figure_id", "format", "bytes"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, figure_id string, format string, bytes binary")
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of a file or folder by the file's suffix; lines of text files are blocks too."""
+class PdfDecoder(Protocol):
+    """Whatever turns a PDF's bytes into pages; it is sent to the workers, so it must be picklable."""
+
+    def pages(self, data: bytes) -> Iterator[tuple[list[str], list[list[list[str]]]]]:
+        """Each page's lines and its tables (rows of cells)."""
+        ...
+
+
+def read_pdf_lines(spark: SparkSession, path: str, decoder: PdfDecoder) -> tuple[DataFrame, DataFrame]:
+    """Lines (path, page, line_no, text) and table cells (path, page, cell) of all PDF files below a path."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for p, data in zip(pdf["path"], pdf["content"], strict=True):
+                for number, (lines, tables) in enumerate(decoder.pages(data), 1):
+                    rows += [(p, number, i, t, False) for i, t in enumerate(lines, 1)]
+                    rows += [(p, number, 0, c, True) for table in tables for r in table for c in r]
+            yield pd.DataFrame(rows, columns=["path", "page", "line_no", "text", "is_cell"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    both = files.mapInPandas(run, "path string, page int, line_no int, text string, is_cell boolean")
+    return both.filter("NOT is_cell").drop("is_cell"), both.filter("is_cell").select("path", "page", F.col("text").alias("cell"))
+
+
+def read_any(spark: SparkSession, path: str, pdf: PdfDecoder | None = None) -> DataFrame:
+    """Blocks of a file or folder by the file's suffix; lines of text files are blocks too, and so are paragraphs of PDF files."""
     suffix = re.sub(r".*\.", "", path).lower()
     if suffix in ("txt", "md"):
         return spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path AS path", "posexplode(split(value, '\\n')) AS (block_idx, content)")
     if suffix == "pdf":
-        raise NotImplementedError("PDF bytes need a decoder; pass its lines to assemble_paragraphs")
+        if pdf is None:
+            raise ValueError("PDF files need a decoder")
+        lines, cells = read_pdf_lines(spark, path, pdf)
+        paragraphs = assemble_paragraphs(lines.withColumnRenamed("path", "doc_id"), cells.withColumnRenamed("path", "doc_id"))
+        order = Window.partitionBy("doc_id").orderBy("page", "para_no")
+        return paragraphs.select(F.col("doc_id").alias("path"), (F.row_number().over(order) - 1).alias("block_idx"), F.col("kind").alias("block_type"), "content", "page")
     if suffix != "docx" and "." in path.rsplit("/", 1)[-1]:
         raise ValueError(f"no reader for .{suffix}")
     return read_docx(spark, path)

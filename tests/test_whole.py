@@ -7,7 +7,7 @@ from gleaner.functions.fixed import PRESETS
 from gleaner.plans import retrieve
 
 
-@pytest.mark.parametrize("name", ["cosine_neighbours", "l2_neighbours", "filtered_neighbours"])
+@pytest.mark.parametrize("name", ["cosine_topk", "l2_similarity_topk", "filtered_knn"])
 def test_every_twentieth_vector_is_asked(spark, tmp_path, name):
     rows = [(i, [float(i % 13), float(i % 11), 1.0], 1) for i in range(900)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
