@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Upper bounds of one Arrow batch handed to Python, so that memory follows neither row count nor row width.
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 #: Word characters of the contracts: everything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"

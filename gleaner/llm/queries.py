@@ -22,8 +22,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     number = "CAST(regexp_extract({}, '^<urn:x-page:(-?[0-9]+)>$', 1) AS STRING)"
     long = lambda c: f"CAST(nullif({number.format(c)}, '') AS BIGINT)"
-    read = warc.read_warc(files).selectExpr(f"{long('record_id')} AS page_id", "payload_bytes", "payload_digest", "record_type", f"{long('refers_to')} AS refers_to")
-    return warc.same_number(read, files)
+    read = warc.same_number(warc.read_warc(files).drop("url", "payload"), files)
+    return read.selectExpr(f"{long('record_id')} AS page_id", "payload_bytes", "payload_digest", "record_type", f"{long('refers_to')} AS refers_to")
 
 
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +88,36 @@ def queries() -> dict[str, Query]:
     }
 
 
+WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Base32 of SHA-1: five hexadecimal digits are four characters.
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+DIGEST = f"""list_aggregate(list_transform(range(32), lambda i: substr('{BASE32}', CAST((('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31 AS BIGINT) + 1, 1)), 'string_agg', '')"""
+OP2 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(encode(coalesce(html, ''))) AS h FROM pages), f AS (SELECT payload, min(page_id) AS first, count(*) AS n FROM p GROUP BY payload)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, {DIGEST} AS payload_digest, CASE WHEN n > 1 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND first <> page_id THEN first END AS refers_to FROM p JOIN f USING (payload)"""
+
+#: Bytes are pairs of hexadecimal digits; position i of a text is its byte i, from 0.
+OP7 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, unnest(range(CAST(length(h) // 2 - 49 AS BIGINT))) AS i, h FROM d WHERE length(h) >= 100), g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS x FROM s),
+low AS (SELECT x, min(doc_id) AS least FROM g GROUP BY x HAVING min(doc_id) < max(doc_id)), hit AS (SELECT doc_id, i FROM g JOIN low USING (x) WHERE least < doc_id),
+o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o), r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, run),
+e AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c, a FROM r UNION ALL SELECT d.doc_id, coalesce(max(b), 0), length(any_value(h)) // 2 FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id),
+k AS (SELECT doc_id, sha256(unhex(coalesce(string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY c, a), ''))) AS kept_sha256 FROM e JOIN d USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, kept_sha256 FROM d JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+OP8 = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(CAST(len(ws) - 4 AS BIGINT)), lambda i: array_to_string(ws[i + 1:i + 5], ' ')) WHEN len(ws) > 0 THEN ['#' || array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN sh USING (doc_id) GROUP BY w.doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), reach AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.doc_id WHERE reach.root < e.y)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; tests compare the others with plain versions."""
+    return {"op2_warc": OP2, "op7_suffixes": OP7, "op8_minhash": OP8}
