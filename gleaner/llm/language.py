@@ -77,6 +77,36 @@ class Network:
             out.append(softmax(np.maximum(z + self.bias, 0) @ self.out + self.out_bias))
         return np.concatenate(out)
 
+    def slopes(self, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The weighted mean cross-entropy of windows of classes y, and its derivatives by embed, filters, bias, out and out_bias."""
+        b, wide = len(rows), max(WIDTHS)
+        patches = self.patches(rows)
+        z = (patches @ self.filters).reshape(b, WINDOW, -1)
+        at = z.argmax(axis=1)
+        top = np.take_along_axis(z, at[:, None], 1)[:, 0] + self.bias
+        hidden = np.maximum(top, 0)
+        p = softmax(hidden @ self.out + self.out_bias)
+        loss = float(-(weight * np.log(p[np.arange(b), y])).mean())
+        p[np.arange(b), y] -= 1
+        delta = (p * weight[:, None] / b).astype(self.out.dtype)
+        back = (delta @ self.out.T) * (top > 0)
+        hit = patches.reshape(b, WINDOW, -1)[np.arange(b)[:, None], at]  # b x filters x wide * DIM
+        g_filters = np.einsum("bf,bfk->kf", back, hit) * alive()
+        padded = np.zeros((b, WINDOW + wide - 1), np.uint8)
+        padded[:, :WINDOW] = rows
+        under = padded[np.arange(b)[:, None, None], at[:, :, None] + np.arange(wide)]
+        spread = (back[:, :, None] * self.filters.T[None]).reshape(-1, DIM)
+        g_embed = np.stack([np.bincount(under.ravel(), spread[:, d], 256) for d in range(DIM)], axis=1)
+        return loss, [g_embed, g_filters, back.sum(0), hidden.T @ delta, delta.sum(0)]
+
+
+def alive() -> np.ndarray:
+    """1 where a filter has a weight: narrower ones end before the widest."""
+    out = np.zeros((max(WIDTHS) * DIM, FILTERS * len(WIDTHS)), np.float32)
+    for k, w in enumerate(WIDTHS):
+        out[: w * DIM, k * FILTERS : (k + 1) * FILTERS] = 1
+    return out
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -91,10 +121,7 @@ def train(rows: np.ndarray, labels: list[str], seed: int = 5, rate: float = 0.01
     y = np.array([classes.index(x) for x in labels])
     rng = np.random.default_rng(seed)
     wide, total, f32 = max(WIDTHS), FILTERS * len(WIDTHS), np.float32
-    alive = np.zeros((wide * DIM, total), f32)
-    for k, w in enumerate(WIDTHS):
-        alive[: w * DIM, k * FILTERS : (k + 1) * FILTERS] = 1
-    net = Network(classes, rng.normal(0, 0.5, (256, DIM)).astype(f32), (rng.normal(0, 0.3, (wide * DIM, total)) * alive).astype(f32), np.zeros(total, f32), rng.normal(0, 0.1, (total, len(classes))).astype(f32), np.zeros(len(classes), f32))
+    net = Network(classes, rng.normal(0, 0.5, (256, DIM)).astype(f32), (rng.normal(0, 0.3, (wide * DIM, total)) * alive()).astype(f32), np.zeros(total, f32), rng.normal(0, 0.1, (total, len(classes))).astype(f32), np.zeros(len(classes), f32))
     params = [net.embed, net.filters, net.bias, net.out, net.out_bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     rarity = np.sqrt(len(y) / len(classes) / np.bincount(y, minlength=len(classes)))
@@ -103,24 +130,7 @@ def train(rows: np.ndarray, labels: list[str], seed: int = 5, rate: float = 0.01
         order = rng.permutation(len(y))
         for i in range(0, len(y), BATCH):
             pick = order[i : i + BATCH]
-            b = len(pick)
-            patches = net.patches(rows[pick])
-            z = (patches @ net.filters).reshape(b, WINDOW, total)
-            at = z.argmax(axis=1)
-            top = np.take_along_axis(z, at[:, None], 1)[:, 0] + net.bias
-            hidden = np.maximum(top, 0)
-            p = softmax(hidden @ net.out + net.out_bias)
-            p[np.arange(b), y[pick]] -= 1
-            delta = (p * rarity[y[pick]][:, None] / b).astype(f32)
-            back = (delta @ net.out.T) * (top > 0)
-            hit = patches.reshape(b, WINDOW, -1)[np.arange(b)[:, None], at]  # b x filters x wide * DIM
-            g_filters = np.einsum("bf,bfk->kf", back, hit) * alive
-            padded = np.zeros((b, WINDOW + wide - 1), np.uint8)
-            padded[:, :WINDOW] = rows[pick]
-            under = padded[np.arange(b)[:, None, None], at[:, :, None] + np.arange(wide)]
-            spread = (back[:, :, None] * net.filters.T[None]).reshape(-1, DIM)
-            g_embed = np.stack([np.bincount(under.ravel(), spread[:, d], 256) for d in range(DIM)], axis=1)
-            grads = [g_embed, g_filters, back.sum(0), hidden.T @ delta, delta.sum(0)]
+            _, grads = net.slopes(rows[pick], y[pick], rarity[y[pick]])
             step += 1
             pace = rate * (1 - 0.8 * epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for q, g, m, v in zip(params, grads, first, second, strict=True):
