@@ -114,11 +114,10 @@ def suggest(texts: list[str], toxic: np.ndarray, lengths: tuple[int, ...], most:
 def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30, same: float = 0.3) -> np.ndarray:
     """Posterior of the toxic class for each row, from votes (rows x voters, 0 or 1) and the label as one more voter.
 
-    A voter that does not fire abstains; that none fires is a vote of its own, and the label votes either way. What
+    Each voter fires with a rate of its own on either class, so that its silence counts as well, and the label errs with a rate of its own. What
     the classes leave unexplained gives the voters' correlations: those above `same` share the weight of one vote.
     """
-    silent = votes.sum(1) == 0
-    fired = np.column_stack([votes, silent]).astype(float)
+    fired = np.asarray(votes, float)
     rows = len(fired)
     posterior = np.where(label == 1, 0.9, 0.1)
     for _ in range(rounds):
@@ -132,8 +131,8 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30, same: fl
         hit = np.clip((posterior @ label + 0.5) / (n_yes + 1), 1e-3, 1 - 1e-3)
         slip = np.clip(((1 - posterior) @ label + 0.5) / (n_no + 1), 1e-3, 1 - 1e-3)
         given = np.where(label == 1, np.log(hit / slip), np.log((1 - hit) / (1 - slip)))
-        z = np.log((n_yes + 0.5) / (n_no + 0.5)) + fired @ (weight * np.log(on / off)) + given
-        new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        voted = fired @ (weight * np.log(on / off)) + (1 - fired) @ (weight * np.log((1 - on) / (1 - off)))
+        new = 1 / (1 + np.exp(-np.clip(np.log((n_yes + 0.5) / (n_no + 0.5)) + voted + given, -30, 30)))
         if np.abs(new - posterior).max() < 1e-6:
             break
         posterior = new
