@@ -1,13 +1,16 @@
 """Personal data by fixed forms and by bootstrapped contextual extraction, in DataFrame operations alone.
 
-Base entities have fixed forms (mail and IP addresses, payment cards, phone numbers). They and long hexadecimal keys are the seeds:
-each is an instance as a whole, and the words beside it with its own shape are its patterns (the word before, the two words
-before, the word after, both neighbours). The other instances are tokens, with and without the punctuation around them, and
-runs of as many words as a seed has; tokens that hold a whole base entity are seeds too. Every seed has a digit or an @, and only
+Base entities have fixed forms (mail and IP addresses, payment cards, phone numbers). They and keys (long words of letters and digits)
+are the seeds: each is an instance as a whole, and the words beside it with its own shape are its patterns (the word before, the two
+words before, the word after, both neighbours), as are its own first letters. The other instances are tokens, with and without the
+punctuation around them, what stands behind a name and = or : in a token, with the name as the word before, and runs of as many words as a
+seed has; tokens that hold a whole base entity are seeds too. Every seed has a digit or an @, and only
 numbers have several words, so nothing else can be of a seed's shape. Scores then pass along the graph of patterns and
-instances: a pattern is as reliable as its instances are on average, an instance as its patterns are. Patterns that enough
-different seeds support and that end with high reliability extract their instances as identifiers (kind `id`). What
-they extract becomes a seed, and patterns are induced and scored anew, until nothing is added or after TURNS turns.
+instances: a pattern is as reliable as its instances are on average, an instance as its patterns are (those of one instance alone say
+nothing, nor do those without a seed). What has a base form but fails its test (a card's check digit, say) speaks against its patterns.
+Patterns that enough different seeds support and that end with high reliability extract their instances as identifiers
+(kind `id`). What they extract becomes a seed unless it failed such a test, and patterns are induced and scored anew,
+until nothing is added or after TURNS turns.
 
 Positions come from the gaps between matches: the text is split by an expression and the lengths of the pieces and
 matches are summed. The expressions are possessive and start only where a match can start, so that time is linear. A context word
@@ -37,8 +40,11 @@ FORMS = {
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 RUN = r"(?<![\p{L}0-9+().-])[0-9+().-]++(?:\x20++[0-9+().-]++(?!\p{L}))++"
 IP_PARTS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
-#: A key is a word of so many hexadecimal digits, letters among them.
-KEY = r"^(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}$"
+#: A key is a word of 16 or more ASCII letters and digits, three digits and a letter among them.
+KEY = r"^(?=(?:[^0-9]*+[0-9]){3})(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}$"
+#: What names a value within a token, and the first letters of a token that count as a pattern.
+NAMED = r"^[\p{L}_][\p{L}\p{N}_.-]*+[=:]++"
+LETTERS = "^[A-Za-z]{4}"
 #: Characters beside a match in which its context words are looked for first.
 BESIDE = 48
 ROUNDS = 3
@@ -117,20 +123,27 @@ def placed(found_matches: DataFrame) -> DataFrame:
     return rows.filter(valid(F.col("kind"), F.col("match"))).select("row", "kind", "start", "end", "match", "left", "right")
 
 
+def fails(match: Column) -> Column:
+    """Whether a token that is no base entity has the form of an IP address, of a phone number, or of a card with as many digits."""
+    digits = F.length(F.regexp_replace(match, "[^0-9]", ""))
+    whole = lambda name: match.rlike(f"^(?:{FORMS[name]})$")
+    return whole("ip") | whole("phone") | (whole("card") & digits.between(13, 19))
+
+
 def shape(token: Column) -> Column:
-    """Runs of letters as a, of digits as 9, 99 or 999 by their length, mixtures of both as x, other characters as they are."""
+    """Runs of letters as a, of digits as 9, 99 or 999 by their length, three or more of both as x, other characters as they are."""
     letters = F.regexp_replace(token, r"\p{L}+", "a")
     digits = F.regexp_replace(F.regexp_replace(letters, "[0-9]{13,}+", "\u0003"), "[0-9]{5,}+", "\u0002")
     digits = F.regexp_replace(digits, "[0-9]++", "\u0001")
-    mixed = F.regexp_replace(digits, "(?:a[\u0001-\u0003]){2,}+a?+|(?:[\u0001-\u0003]a){2,}+[\u0001-\u0003]?+", "x")
+    mixed = F.regexp_replace(digits, "(?:a[\u0001-\u0003]){2,}+a?+|a[\u0001-\u0003]a|(?:[\u0001-\u0003]a){2,}+[\u0001-\u0003]?+|[\u0001-\u0003]a[\u0001-\u0003]", "x")
     return F.replace(F.replace(F.replace(mixed, F.lit("\u0001"), F.lit("9")), F.lit("\u0002"), F.lit("99")), F.lit("\u0003"), F.lit("999"))
 
 
 def reliable_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = RELIABLE) -> DataFrame:
-    """edges: pattern, instance, seed (distinct). The patterns to extract by: pattern.
+    """edges: pattern, instance, seed, failed (distinct). The patterns to extract by: pattern.
 
-    Instances score 1 if they are seeds, else 0 at first and then the mean of their patterns; patterns score the mean of
-    their instances.
+    Instances score 1 if they are seeds, 0 if they failed a test, else 0 at first and then the mean of their patterns;
+    patterns score the mean of their instances.
     """
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     older = None
@@ -141,8 +154,8 @@ def reliable_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUP
             discard(older)
             return good
         trusted = edges.join(patterns.filter("trust > 0").select("pattern", "trust"), "pattern", "left")
-        instances = trusted.groupBy("instance").agg(F.avg(F.coalesce("trust", F.lit(0.0))).alias("mean"), F.max("seed").alias("is_seed"))
-        score = F.when(F.col("is_seed"), 1.0).otherwise(F.col("mean")).alias("score")
+        instances = trusted.groupBy("instance").agg(F.avg(F.coalesce("trust", F.lit(0.0))).alias("mean"), F.max("seed").alias("is_seed"), F.max("failed").alias("is_failed"))
+        score = F.when(F.col("is_seed"), 1.0).when(F.col("is_failed"), 0.0).otherwise(F.col("mean")).alias("score")
         scored = stored(edges.join(instances.select("instance", score), "instance"), "pii-scores")
         discard(older)
         older = scored
@@ -150,20 +163,22 @@ def reliable_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUP
 
 
 def bootstrapped(tokens: DataFrame, turns: int = TURNS) -> DataFrame:
-    """tokens: row, start, end, base, seed, instance, pattern. row, start, end of what reliable patterns extract beside the base entities."""
-    edges = stored(tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
+    """tokens: row, start, end, base, seed, failed, instance, pattern. row, start, end of what reliable patterns extract beside the base entities."""
+    each = tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("failed").alias("failed"))
+    several = each.groupBy("pattern").agg(F.count("*").alias("_n"), F.count_if("seed").alias("_seeds")).filter("_n > 1 AND _seeds > 0").select("pattern")
+    edges = stored(each.join(several, "pattern"), "pii-edges")
     new = None
     for turn in range(turns):
         good = reliable_patterns(edges)
-        took = stored(tokens.filter("NOT base").join(good, "pattern").select("row", "start", "end", "instance").distinct(), "pii-extracted")
+        took = stored(tokens.filter("NOT base").join(good, "pattern").select("row", "start", "end", "instance", "failed").distinct(), "pii-extracted")
         discard(good, new)
         new = took
         if turn == turns - 1:
             break
-        added = took.select("instance").distinct().withColumn("_took", F.lit(True))
-        grown = stored(edges.join(added, "instance", "left").select("pattern", "instance", "seed", (F.col("seed") | F.coalesce("_took", F.lit(False))).alias("now")), "pii-edges")
+        added = took.filter("NOT failed").select("instance").distinct().withColumn("_took", F.lit(True))
+        grown = stored(edges.join(added, "instance", "left").select("pattern", "instance", "seed", "failed", (F.col("seed") | F.coalesce("_took", F.lit(False))).alias("now")), "pii-edges")
         discard(edges)
-        edges = grown.select("pattern", "instance", F.col("now").alias("seed"))
+        edges = grown.select("pattern", "instance", F.col("now").alias("seed"), "failed")
         edges._stored_path = grown._stored_path  # type: ignore[attr-defined]
         if grown.filter("now <> seed").isEmpty():
             break
@@ -180,6 +195,16 @@ def cores(tokens: DataFrame) -> DataFrame:
     return cut.withColumn("start", F.col("start") + F.col("_before")).withColumn("end", F.col("end") - F.col("_after")).drop("_before", "_after")
 
 
+def named_values(tokens: DataFrame) -> DataFrame:
+    """What stands behind a name and = or : in a token, with the name as the last word before it."""
+    name = F.regexp_extract("match", NAMED, 0)
+    cut = tokens.withColumn("_name", name).filter("_name <> '' AND length(match) > length(_name)")
+    cut = cut.withColumn("match", F.expr("substring(match, length(_name) + 1)")).withColumn("start", F.col("start") + F.length("_name"))
+    word = F.lower(F.regexp_replace("_name", "[=:]++$", ""))
+    before = F.substring_index("left", " ", -1)
+    return cut.withColumn("left", F.when(before == "", word).otherwise(F.concat_ws(" ", before, word))).drop("_name")
+
+
 def runs(numbers: DataFrame, lengths: list[int]) -> DataFrame:
     """All runs of as many words as lengths has, without the punctuation around them: row, start, end, match, left, right."""
     words = F.split("match", r"(?<=[^\x20])(?=\x20)")  # all but the first with the spaces before them
@@ -217,24 +242,26 @@ def spans(docs: DataFrame) -> DataFrame:
     base = seeds.select("row", "kind", "start", "end")
     columns = ["row", "start", "end", "match", "left", "right"]
     single = all_found.filter("kind = 4").select(columns)
-    others = single.unionByName(cores(single)).withColumn("word", F.lit(True))
+    values = named_values(single)
+    others = single.unionByName(cores(single)).unionByName(values).unionByName(cores(values)).withColumn("word", F.lit(True))
     n_words = F.size(F.split("match", r"\x20++")).alias("n")
     lengths = sorted(r["n"] for r in seeds.select(n_words).filter("n > 1").distinct().collect())  # a few small numbers
     if lengths:
         others = others.unionByName(runs(all_found.filter("kind = 5"), lengths).withColumn("word", F.lit(False)))
     others = beside_base(others, base).withColumn("based", F.col("word") & F.col("holds")).filter(F.col("based") | ~F.col("overlaps"))
-    others = others.select(*columns, F.col("based").alias("base"), (F.col("based") | F.col("match").rlike(KEY)).alias("seed"))
-    tokens = seeds.select(*columns, F.lit(True).alias("base"), F.lit(True).alias("seed")).unionByName(others)
+    others = others.select(*columns, F.col("based").alias("base"), (F.col("based") | F.col("match").rlike(KEY)).alias("seed"), (~F.col("based") & fails(F.col("match"))).alias("failed"))
+    tokens = seeds.select(*columns, F.lit(True).alias("base"), F.lit(True).alias("seed"), F.lit(False).alias("failed")).unionByName(others)
     near = F.substring_index("left", " ", -1)
     sides = F.array(
         F.when(near != "", F.concat(F.lit("L:"), near)),
         F.when(F.contains(F.col("left"), F.lit(" ")), F.concat(F.lit("L:"), "left")),
         F.when(F.col("right") != "", F.concat(F.lit("R:"), "right")),
         F.when((near != "") & (F.col("right") != ""), F.concat(F.lit("B:"), near, F.lit(" "), "right")),
+        F.when(F.col("match").rlike(LETTERS), F.concat(F.lit("P:"), F.substring("match", 1, 4))),
     )
     pattern = F.xxhash64("side", "shape").alias("pattern")
-    tokens = tokens.select("row", "start", "end", "base", "seed", F.xxhash64("match").alias("instance"), shape(F.col("match")).alias("shape"), F.explode(F.array_compact(sides)).alias("side"))
-    tokens = stored(tokens.select("row", "start", "end", "base", "seed", "instance", pattern), "pii-tokens")
+    tokens = tokens.select("row", "start", "end", "base", "seed", "failed", F.xxhash64("match").alias("instance"), shape(F.col("match")).alias("shape"), F.explode(F.array_compact(sides)).alias("side"))
+    tokens = stored(tokens.select("row", "start", "end", "base", "seed", "failed", "instance", pattern), "pii-tokens")
     new = bootstrapped(tokens).withColumn("kind", F.lit(4))
     discard(tokens)
     longer = Window.partitionBy("row").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)

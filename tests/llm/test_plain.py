@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gleaner.llm import language, ogg, quality, toxicity
+from gleaner.llm import language, minhash, ogg, pii, quality, shingles, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -170,3 +170,62 @@ def test_training_rows_are_bounded_in_bytes(spark):
     assert {r["text"][0] for r in rows} == {"y"} and len(rows) == len({i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1})
     assert toxicity.training_rows(docs, labels, most_bytes=100).count() == 10
     assert toxicity.training_rows(docs, labels, most=5).count() == 5
+
+
+def long_number(rng, card):
+    """A number of 16 digits whose check digit is right or wrong."""
+    digits = str(rng.integers(10**14, 10**15))
+    odd = sum(int(c) if k % 2 else 2 * int(c) - 9 * (int(c) > 4) for k, c in enumerate(digits[::-1]))
+    return digits + str((-odd + (not card)) % 10)
+
+
+def test_pii_finds_planted_identifiers(spark):
+    """Identifiers without a base form, planted beside words that seeds have too, in the texts of the test table."""
+    rng = np.random.default_rng(8)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    planted = {}
+    made = []
+    for n, (doc, text) in enumerate(docs):
+        words = text.split(" ")
+        at = int(rng.integers(0, len(words)))
+        if n % 20 == 0:  # seeds: keys and addresses behind words that give them away
+            words.insert(at, f"secret key {rng.bytes(20).hex()} ." if n % 40 else f"reached host {rng.integers(1, 255)}.{rng.integers(1, 255)}.0.9 .")
+        elif n % 40 == 1:  # in the same places: too short for a key
+            planted[doc] = f"k{rng.integers(100, 999)}z{rng.integers(100, 999)}q{rng.integers(100, 999)}b"
+            words.insert(at, f"secret key {planted[doc]} .")
+        elif n % 200 == 21:  # out of range for an address
+            planted[doc] = f"{rng.integers(300, 999)}.{rng.integers(300, 999)}.0.9"
+            words.insert(at, f"reached host {planted[doc]} .")
+        elif n % 20 == 2:  # numbers that are nobody's
+            words.insert(at, f"chapter {rng.integers(100, 999)} of {rng.integers(100, 999)} .")
+        elif n % 20 == 3:  # long numbers of which half are cards: no sign of one
+            words.insert(at, f"total sum {long_number(rng, n % 40 == 3)} .")
+        made.append((doc, " ".join(words)))
+    texts = dict(made)
+    clean = {d for n, (d, _) in enumerate(made) if n % 20 == 2}
+    found = {}
+    for r in pii.find(spark.createDataFrame(made, "doc_id long, text string")).collect():
+        parts = [s.split(":") for s in r["spans"].split(",") if s.startswith("id:")]
+        found[r["doc_id"]] = [texts[r["doc_id"]][int(a) : int(b)] for _, a, b in parts]
+    recall = np.mean([w in found[d] for d, w in planted.items()])
+    keys = {w for d in texts for w in found[d] if len(w.strip('"#$%&*!., ')) >= 32}
+    new = [(d, w) for d in texts for w in found[d] if w not in keys]
+    precision = np.mean([planted.get(d) == w for d, w in new])
+    print(f"planted identifiers: recall {recall:.3f}, precision {precision:.3f} of {len(new)}")
+    assert recall >= 0.9 and precision >= 0.9 and not any(any(w[:3].isdigit() and len(w) == 3 for w in found[d]) for d in clean)
+
+
+def test_minhash_recall_against_brute_force(spark):
+    """Every text whose id is divisible by 20 against all texts: are its partners in its component?"""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = dict(zip([r["doc_id"] for r in docs], shingles.shingle_sets([r["text"] for r in docs]), strict=True))
+    part = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs)).collect()}
+    hits = []
+    for a in (d for d in sets if d % 20 == 0):
+        for b, other in sets.items():
+            if a != b and len(sets[a]) and len(other):
+                both = len(np.intersect1d(sets[a], other, assume_unique=True))
+                if 100 * both >= 75 * (len(sets[a]) + len(other) - both):
+                    hits.append(part[a] == part[b])
+    print(f"near-duplicates of every twentieth text: recall {np.mean(hits):.3f} of {len(hits)}")
+    assert len(hits) > 3 and all(hits)
