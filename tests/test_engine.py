@@ -163,6 +163,14 @@ def test_index_follows_a_folder(spark, tmp_path):
     docs.write.parquet(f"file://{tmp_path}/in")
     index.follow(spark, f"file://{tmp_path}/in", docs.schema, f"file://{tmp_path}/ix", f"file://{tmp_path}/cp").awaitTermination(60)
     assert spark.read.parquet(f"file://{tmp_path}/ix/postings").filter("term = 'two'").count() == 2
+    more = spark.createDataFrame([(3, "two four four")], "doc_id long, text string")
+    more.write.mode("append").parquet(f"file://{tmp_path}/in")
+    index.follow(spark, f"file://{tmp_path}/in", docs.schema, f"file://{tmp_path}/ix", f"file://{tmp_path}/cp").awaitTermination(60)
+    asked = spark.createDataFrame([(1, "two four")], "item_id long, text string")
+    wanted = bm25.query_terms(asked, "item_id", "text")
+    got = bm25.top_k(bm25.score(index.followed(spark, f"file://{tmp_path}/ix"), wanted).filter("score > 0"), 8)
+    want = bm25.search(docs.union(more), asked)
+    assert {tuple(r) for r in got.select("query_id", "doc_id", "score", "rank").collect()} == {tuple(r) for r in want.select("query_id", "doc_id", "score", "rank").collect()}
 
 
 def naive_windows(text, size, overlap, least):
