@@ -13,11 +13,15 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Upper bounds of one Arrow batch handed to Python, so that memory follows neither row count nor row width.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
 
+#: Values of the hash that draws a sample.
+DRAWS = 1 << 30
+
 #: Word characters of the contracts: everything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,6 +88,21 @@ def discard(*tables: DataFrame | None) -> None:
             spark.sparkContext._jvm.System.gc()
 
 
+def drawn(rows: DataFrame, by: list[str], most: int, spare: float = 2.0, seed: int = 0) -> DataFrame:
+    """Rows whose hash (column _draw) is below a bound that follows from their number: about spare * most, and at least `most` if there are as many.
+
+    So a bounded sample can be sorted and cut without every task sending as many rows as are wanted in all. Rows alike in `by` are drawn
+    together, which is why a draw may fall short and is widened then.
+    """
+    hashed = rows.withColumn("_draw", F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(DRAWS)))
+    share = min(1.0, spare * most / max(1, rows.count()))
+    while True:
+        some = hashed.filter(F.col("_draw") < int(share * DRAWS))
+        if share >= 1 or some.count() >= most:
+            return some
+        share = min(1.0, 4 * share)
+
+
 def open_path(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system and path of a URI, also with the schemes that Hadoop has for S3."""
     scheme, sep, rest = uri.partition("://")

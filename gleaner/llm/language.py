@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, discard, slices, stored
+from .common import bound_arrow, drawn, slices, stored
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -30,13 +30,10 @@ DIM = 8
 #: Training windows, at most, and windows that a single text may offer.
 SAMPLE = 8192
 EACH = 2
-#: Texts are drawn by their hash so that about so many times the windows wanted are offered.
-SPARE = 4
 EPOCHS = 5
 BATCH = 128
 #: Windows convolved at once when texts are classified.
 BLOCK = 128
-DRAWS = 1 << 30
 
 
 def held_out(doc_id: Column) -> Column:
@@ -143,8 +140,7 @@ def train(rows: np.ndarray, labels: list[str], seed: int = 5, rate: float = 0.01
 def training_windows(docs: DataFrame, most: int = SAMPLE, each: int = EACH) -> DataFrame:
     """window, lang: at most `most` different windows of labelled texts that are not held out, up to `each` of a text.
 
-    Texts are drawn by a hash below a bound that follows from their number, so that all tasks together offer a few times
-    `most`, whatever their number; of these windows the ones whose checksums are lowest are taken.
+    About twice as many texts are drawn by their hash; of their windows the ones whose checksums are lowest are taken.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,15 +159,9 @@ def training_windows(docs: DataFrame, most: int = SAMPLE, each: int = EACH) -> D
 
     bound_arrow(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    known = known.select("text", "lang", F.pmod(F.xxhash64("text", F.lit(6)), F.lit(DRAWS)).alias("_draw"))
-    share = min(1.0, SPARE * most / max(1, known.count()))
-    while True:
-        drawn = known.filter(F.col("_draw") < int(share * DRAWS)).select("text", "lang")
-        offered = stored(drawn.mapInArrow(run, "window binary, lang string, key long").dropDuplicates(["window", "lang"]), "language-windows")
-        if share >= 1 or offered.count() >= most:  # copies of a text are drawn together, so a draw may fall short
-            return offered.orderBy("key", "window", "lang").limit(most)
-        discard(offered)
-        share = min(1.0, 4 * share)
+    some = drawn(known.select("text", "lang"), ["text"], most).drop("_draw")
+    offered = stored(some.mapInArrow(run, "window binary, lang string, key long").dropDuplicates(["window", "lang"]), "language-windows")
+    return offered.orderBy("key", "window", "lang").limit(most)
 
 
 def fit(docs: DataFrame, most: int = SAMPLE) -> Network | None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bound_arrow, discard, slices, stored
+from .common import WORD, bound_arrow, discard, drawn, slices, stored
 
 RISK = 0.03
 LEVEL = 0.05
@@ -204,7 +204,8 @@ def judged_labels(stats: DataFrame, labels: DataFrame) -> DataFrame:
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, most: int = FIT_ROWS) -> DataFrame:
     """One row for each stratum: stratum and a cutoff for each rule (infinity: none). At most `most` texts order the settings."""
     judged = stored(judged_labels(stats, labels), "quality-labels")
-    rows = judged.filter("fits").orderBy(F.xxhash64("text_hash", F.lit(1)), "text_hash", "stratum", "quality").limit(most).select("quality", *RULES).toPandas()
+    some = drawn(judged.filter("fits"), ["text_hash"], most, seed=1)
+    rows = some.orderBy("_draw", "text_hash", "stratum", "quality").limit(most).select("quality", *RULES).toPandas()
     good, bad = ({r: x[r].to_numpy(float) for r in RULES} for x in (rows[rows["quality"] == 1], rows[rows["quality"] != 1]))
     chain = order_settings(good, bad)
     held = judged.filter("NOT fits")

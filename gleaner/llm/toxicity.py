@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, slices
+from .common import bound_arrow, drawn, slices
 
 #: Labelled rows used for training, at most, those whose ids hash lowest, and the bytes of their texts.
 SAMPLE = 8000
 SAMPLE_BYTES = 64 << 20
-DRAWS = 1 << 30
 #: Voters of each kind, at most.
 VOTERS = 96
 BEGINNINGS = (3, 4, 5, 6)
@@ -173,27 +172,14 @@ def train(texts: list[str], labels: list[int]) -> Model:
     return Model(model.words, model.starts, w[:-1], float(w[-1]))
 
 
-def lowest(rows: DataFrame, most: int) -> DataFrame:
-    """At most `most` different rows, those whose doc_ids hash lowest.
-
-    Ids are drawn by a hash below a bound that follows from their number, so that all tasks together offer a few times `most`.
-    """
-    hashed = rows.withColumn("_draw", F.pmod(F.xxhash64("doc_id"), F.lit(DRAWS)))
-    share = min(1.0, 4 * most / max(1, rows.count()))
-    while True:
-        drawn = hashed.filter(F.col("_draw") < int(share * DRAWS)).distinct()
-        if share >= 1 or drawn.count() >= most:
-            return drawn.orderBy("_draw", *rows.columns).limit(most).drop("_draw")
-        share = min(1.0, 4 * share)
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """text, toxic of at most `most` labelled rows that are not held out, in all `most_bytes` long.
 
     Of rows with one id, one text counts; texts are taken by the hash of their ids until the bytes are full.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = F.broadcast(lowest(known.select("doc_id", "toxic"), most))  # at most `most` rows of two numbers
+    some = drawn(known.select("doc_id", "toxic").distinct(), ["doc_id"], most)
+    chosen = F.broadcast(some.orderBy("_draw", "doc_id", "toxic").limit(most).drop("_draw"))  # at most `most` rows of two numbers
     found = docs.select("doc_id", "text").join(chosen, "doc_id")
     one = F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("hash")))
     sizes = found.groupBy("doc_id", "toxic").agg(one.alias("_one")).select("doc_id", "toxic", "_one.*").collect()
