@@ -13,7 +13,8 @@ strings it is enough to sort suffixes to depth SPAN, and only suffixes that can
    stand side by side under one rank.
 3. Every block gets the smallest id of each of its strings back, marks covered bytes, and hashes what is left.
 
-Blocks and buckets have a bounded number of bytes, so that there are more of them as the input grows.
+Blocks and buckets have a bounded number of bytes, so that there are more of them as the input grows. With many blocks, a bucket's
+asks are merged by groups of blocks first, as a frequent run comes from every block.
 
 Defined cases: a null or empty text has no bytes; texts shorter than SPAN lose nothing; rows with equal ids count as one document;
 a null id is larger than all others; an empty table gives an empty table; other columns are ignored; long texts are
@@ -47,6 +48,8 @@ PIECE = 1 << 20
 BLOCK_BYTES = 16 << 20
 HASH_BYTES = 32 << 20
 RUN_BYTES = 4 << 20
+#: Blocks whose runs meet in one group of a bucket.
+GROUP_BLOCKS = 4096
 VALUE = (1 << 40) - 1
 #: Shares between consecutive blocks of a partition.
 STRIDE = 7919
@@ -362,36 +365,104 @@ def smallest_ids(table: DataFrame, asked: tuple[str, int], buckets: int, run_buc
             types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "block", "keys", "runs", "counts", "low", "high"])
 
+    sent = table.select("block", "id", "text").mapInArrow(send, "bucket long, block long, keys binary, runs binary, counts binary, low binary, high binary")
+    salts = -(-table.select("block").distinct().count() // GROUP_BLOCKS)
+    if salts <= 1:
+        return sent.groupBy("bucket").applyInPandas(lambda rows: replied(rows, *answered(rows)), REPLY)
+    return salted_replies(sent, salts)
+
+
+REPLY = "block long, keys binary, counts binary, ids binary"
+
+
+def unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rows' runs, their string counts, and the smallest ids that have them."""
+    counts, low = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("counts", np.uint8), ("low", np.int64)))
+    return np.frombuffer(b"".join(rows["runs"]), np.uint8).reshape(-1, WIDE), counts.astype(np.int64), low
+
+
+def lowest_ids(data: np.ndarray, counts: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For every string of different runs, one after the other, the smallest id of the runs that have it."""
+    run, _, rank = sorted_strings(data, counts)
+    order = np.argsort(rank, kind="stable")
+    edge = np.flatnonzero(np.append(True, rank[order][1:] != rank[order][:-1]))
+    lowest = np.minimum.reduceat(least[run[order]], edge)
+    ids = np.empty(len(run), np.int64)
+    ids[order] = np.repeat(lowest, np.diff(np.append(edge, len(order))))
+    return ids
+
+
+def answered(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the runs asked for: which of the different ones each is, these ones' string counts, and the smallest id of each of their strings."""
+    data, counts, low = unpacked(rows)
+    keys = np.concatenate([np.frombuffer(x, U64) for x in rows["keys"]])
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    odd = np.flatnonzero((data != data[first[which]]).any(axis=1) | (counts != counts[first[which]]))
+    which[odd] = len(first) + np.arange(len(odd))  # different bytes under one hash stay apart
+    first = np.append(first, odd)
+    least = np.full(len(first), NO_ID)
+    np.minimum.at(least, which, low)
+    return which, counts[first], lowest_ids(data[first], counts[first], least)
+
+
+def replied(rows: pd.DataFrame, which: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    """A reply for each block: the runs of which some string has an id smaller than one that the block knows."""
+    keys, high = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("keys", U64), ("high", np.int64)))
+    owner = np.repeat(np.arange(len(rows)), [len(x) // 8 for x in rows["keys"]])
+    begin = np.cumsum(counts) - counts
+    useful = np.flatnonzero(np.minimum.reduceat(ids, begin)[which] < high)
+    out = []
+    for k in range(len(rows)):
+        mine = useful[np.searchsorted(owner[useful], k) : np.searchsorted(owner[useful], k + 1)]
+        if len(mine):
+            n = counts[which[mine]]
+            at = np.repeat(begin[which[mine]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out.append((int(rows["block"].iloc[k]), keys[mine].tobytes(), n.astype(np.uint8).tobytes(), ids[at].tobytes()))
+    return pd.DataFrame(out, columns=["block", "keys", "counts", "ids"])
+
+
+def different(data: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different run occurs first and which one each is, numbered by their bytes, whatever the rows' order."""
+    wide = np.ascontiguousarray(np.column_stack([data, counts.astype(np.uint8)]))
+    _, first, which = np.unique(wide.view([("", "u1", wide.shape[1])]).ravel().view(f"V{wide.shape[1]}"), return_index=True, return_inverse=True)
+    return first, which
+
+
+def salted_replies(sent: DataFrame, salts: int) -> DataFrame:
+    """The same by groups of blocks, so that a run that all blocks have meets in no single task.
+
+    Each group of a bucket's blocks first becomes one row of its different runs; the bucket sorts these rows; the answer goes
+    back to the groups, which find their runs by the same numbers.
+    """
+    asked = stored(sent.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))), "suffix-asked")
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        data, counts, low = unpacked(rows)
+        first, which = different(data, counts)
+        least = np.full(len(first), NO_ID)
+        np.minimum.at(least, which, low)
+        return pd.DataFrame([(int(rows["bucket"].iloc[0]), int(rows["salt"].iloc[0]), data[first].tobytes(), counts[first].astype(np.uint8).tobytes(), least.tobytes())], columns=["bucket", "salt", "runs", "counts", "low"])
+
     def sort(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts, low, high = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("keys", U64), ("counts", np.uint8), ("low", np.int64), ("high", np.int64)))
-        data = np.frombuffer(b"".join(rows["runs"]), np.uint8).reshape(-1, WIDE)
-        counts = counts.astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(x) // 8 for x in rows["keys"]])
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        odd = np.flatnonzero((data != data[first[which]]).any(axis=1) | (counts != counts[first[which]]))
-        which[odd] = len(first) + np.arange(len(odd))  # different bytes under one hash stay apart
-        first = np.append(first, odd)
+        data, counts, low = unpacked(rows)
+        first, which = different(data, counts)
         least = np.full(len(first), NO_ID)
         np.minimum.at(least, which, low)
-        run, _, group = sorted_strings(data[first], counts[first])
-        order = np.argsort(group, kind="stable")
-        edge = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
-        lowest = np.minimum.reduceat(least[run[order]], edge)
-        ids = np.empty(len(run), np.int64)
-        ids[order] = np.repeat(lowest, np.diff(np.append(edge, len(order))))
+        ids = lowest_ids(data[first], counts[first], least)
         begin = np.cumsum(counts[first]) - counts[first]
-        useful = np.flatnonzero(np.minimum.reduceat(ids, begin)[which] < high)
-        out = []
-        for k in range(len(rows)):
-            mine = useful[np.searchsorted(owner[useful], k) : np.searchsorted(owner[useful], k + 1)]
-            if len(mine):
-                n = counts[mine]
-                at = np.repeat(begin[which[mine]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                out.append((int(rows["block"].iloc[k]), keys[mine].tobytes(), n.astype(np.uint8).tobytes(), ids[at].tobytes()))
-        return pd.DataFrame(out, columns=["block", "keys", "counts", "ids"])
-
-    sent = table.select("block", "id", "text").mapInArrow(send, "bucket long, block long, keys binary, runs binary, counts binary, low binary, high binary")
-    return sent.groupBy("bucket").applyInPandas(sort, "block long, keys binary, counts binary, ids binary")
+        at = np.repeat(begin[which] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        ends = np.cumsum(counts)[np.cumsum([len(x) for x in rows["counts"]]) - 1]
+        parts = [x.tobytes() for x in np.split(ids[at], ends[:-1])]
+        return pd.DataFrame({"bucket": rows["bucket"], "salt": rows["salt"], "ids": parts})
+
+    def answer(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        data, counts, _ = unpacked(rows)
+        first, which = different(data, counts)
+        return replied(rows, which, counts[first], np.frombuffer(known["ids"].iloc[0], np.int64))
+
+    merged = asked.groupBy("bucket", "salt").applyInPandas(merge, "bucket long, salt long, runs binary, counts binary, low binary")
+    sorted_ = merged.groupBy("bucket").applyInPandas(sort, "bucket long, salt long, ids binary")
+    return asked.groupBy("bucket", "salt").cogroup(sorted_.groupBy("bucket", "salt")).applyInPandas(answer, REPLY)
 
 
 def removed(texts: list[bytes], own: np.ndarray, codes: np.ndarray, buckets: int, keys: np.ndarray, begin: np.ndarray, ids: np.ndarray) -> tuple[Runs, np.ndarray]:

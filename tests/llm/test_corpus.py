@@ -297,6 +297,12 @@ def test_suffixes_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "HASH_BYTES", 2000)
     monkeypatch.setattr(suffixes, "RUN_BYTES", 1500)
     assert Counter(tuple(r) for r in suffixes.strip(docs).collect()) == want
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(suffixes, "GROUP_BLOCKS", 2)
+    asked = []
+    salted = suffixes.salted_replies
+    monkeypatch.setattr(suffixes, "salted_replies", lambda *a: asked.append(a) or salted(*a))
+    assert Counter(tuple(r) for r in suffixes.strip(docs.repartition(7)).collect()) == want and asked
 
 
 def test_suffix_runs_in_pieces(monkeypatch):
