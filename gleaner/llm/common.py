@@ -64,10 +64,15 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, label: str, rows: int | None = None, each: int = 100_000) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    rows is about how many there are, where that is known: they go to files of `each`, so that small tables are few files.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // each)))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path  # type: ignore[attr-defined]

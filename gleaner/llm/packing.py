@@ -29,7 +29,7 @@ from .common import bound_arrow, slices, stored
 LIMIT = 4096
 END = 1
 #: Words whose ids a worker remembers in each of two generations; a full young generation becomes the old one.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Vocabulary words, about, that the faster encoder must agree on before it is used.
 CHECKED = 2000
 #: White space as the tokenizer's patterns see it (the Unicode property), and what only Python's split() takes for it.

@@ -139,8 +139,8 @@ def shape(token: Column) -> Column:
     return F.replace(F.replace(F.replace(mixed, F.lit("\u0001"), F.lit("9")), F.lit("\u0002"), F.lit("99")), F.lit("\u0003"), F.lit("999"))
 
 
-def reliable_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = RELIABLE) -> DataFrame:
-    """edges: pattern, instance, seed, failed (distinct). The patterns to extract by: pattern.
+def reliable_patterns(edges: DataFrame, n: int, rounds: int = ROUNDS, support: int = SUPPORT, least: float = RELIABLE) -> DataFrame:
+    """edges: pattern, instance, seed, failed (distinct), about n rows. The patterns to extract by: pattern.
 
     Instances score 1 if they are seeds, 0 if they failed a test, else 0 at first and then the mean of their patterns;
     patterns score the mean of their instances.
@@ -150,13 +150,13 @@ def reliable_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUP
     for turn in range(rounds):
         patterns = scored.groupBy("pattern").agg(F.avg("score").alias("trust"), F.sum(F.col("seed").cast("long")).alias("seeds"))
         if turn == rounds - 1:
-            good = stored(patterns.filter((F.col("seeds") >= support) & (F.col("trust") >= least)).select("pattern"), "pii-patterns")
+            good = stored(patterns.filter((F.col("seeds") >= support) & (F.col("trust") >= least)).select("pattern"), "pii-patterns", n)
             discard(older)
             return good
         trusted = edges.join(patterns.filter("trust > 0").select("pattern", "trust"), "pattern", "left")
         instances = trusted.groupBy("instance").agg(F.avg(F.coalesce("trust", F.lit(0.0))).alias("mean"), F.max("seed").alias("is_seed"), F.max("failed").alias("is_failed"))
         score = F.when(F.col("is_seed"), 1.0).when(F.col("is_failed"), 0.0).otherwise(F.col("mean")).alias("score")
-        scored = stored(edges.join(instances.select("instance", score), "instance"), "pii-scores")
+        scored = stored(edges.join(instances.select("instance", score), "instance"), "pii-scores", n)
         discard(older)
         older = scored
     raise ValueError("rounds must be positive")
@@ -166,17 +166,18 @@ def bootstrapped(tokens: DataFrame, turns: int = TURNS) -> DataFrame:
     """tokens: row, start, end, base, seed, failed, instance, pattern. row, start, end of what reliable patterns extract beside the base entities."""
     each = tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("failed").alias("failed"))
     several = each.groupBy("pattern").agg(F.count("*").alias("_n"), F.count_if("seed").alias("_seeds")).filter("_n > 1 AND _seeds > 0").select("pattern")
-    edges = stored(each.join(several, "pattern"), "pii-edges")
+    n = tokens.count()
+    edges = stored(each.join(several, "pattern"), "pii-edges", n)
     new = None
     for turn in range(turns):
-        good = reliable_patterns(edges)
-        took = stored(tokens.filter("NOT base").join(good, "pattern").select("row", "start", "end", "instance", "failed").distinct(), "pii-extracted")
+        good = reliable_patterns(edges, n)
+        took = stored(tokens.filter("NOT base").join(good, "pattern").select("row", "start", "end", "instance", "failed").distinct(), "pii-extracted", n)
         discard(good, new)
         new = took
         if turn == turns - 1:
             break
         added = took.filter("NOT failed").select("instance").distinct().withColumn("_took", F.lit(True))
-        grown = stored(edges.join(added, "instance", "left").select("pattern", "instance", "seed", "failed", (F.col("seed") | F.coalesce("_took", F.lit(False))).alias("now")), "pii-edges")
+        grown = stored(edges.join(added, "instance", "left").select("pattern", "instance", "seed", "failed", (F.col("seed") | F.coalesce("_took", F.lit(False))).alias("now")), "pii-edges", n)
         discard(edges)
         edges = grown.select("pattern", "instance", F.col("now").alias("seed"), "failed")
         edges._stored_path = grown._stored_path  # type: ignore[attr-defined]
@@ -237,7 +238,8 @@ def beside_base(tokens: DataFrame, base: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """row, doc_id, text_hash, base and spans (arrays of kind, start, end in order) for every row of docs (doc_id, text)."""
     seen = matches(docs)
-    all_found = stored(placed(seen), "pii-found")
+    n = seen.count()
+    all_found = stored(placed(seen), "pii-found", n, 5000)
     seeds = all_found.filter("kind < 4")
     base = seeds.select("row", "kind", "start", "end")
     columns = ["row", "start", "end", "match", "left", "right"]
@@ -261,7 +263,7 @@ def spans(docs: DataFrame) -> DataFrame:
     )
     pattern = F.xxhash64("side", "shape").alias("pattern")
     tokens = tokens.select("row", "start", "end", "base", "seed", "failed", F.xxhash64("match").alias("instance"), shape(F.col("match")).alias("shape"), F.explode(F.array_compact(sides)).alias("side"))
-    tokens = stored(tokens.select("row", "start", "end", "base", "seed", "failed", "instance", pattern), "pii-tokens")
+    tokens = stored(tokens.select("row", "start", "end", "base", "seed", "failed", "instance", pattern), "pii-tokens", n, 5000)
     new = bootstrapped(tokens).withColumn("kind", F.lit(4))
     discard(tokens)
     longer = Window.partitionBy("row").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
