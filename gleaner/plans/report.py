@@ -58,7 +58,8 @@ def figure_prompt(caption: Column, context: Column, criterion: Column) -> Column
 
 
 def data_uri(image: Column, kind: Column) -> Column:
-    return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64(image))
+    """Bytes as a data URI; line breaks, which some settings put into long values, are taken out."""
+    return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.regexp_replace(F.base64(image), r"\s", ""))
 
 
 def with_grades(evaluations: DataFrame, strict: bool = False) -> DataFrame:

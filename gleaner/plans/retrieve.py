@@ -27,6 +27,22 @@ def embed_distinct(rows: DataFrame, text: str, size: int = 64) -> DataFrame:
     return rows.groupBy(text).agg(F.count("*").alias("n")).withColumn("vector", embed_text(F.col(text), size))
 
 
+def embed_cached(rows: DataFrame, text: str, path: str, size: int = 64) -> DataFrame:
+    """text, vector of every different text, embedded only if the cache below path lacks it; new ones are added there.
+
+    The cache is known by the texts' hashes and compared by the texts themselves.
+    """
+    spark = rows.sparkSession
+    wanted = rows.select(F.col(text).alias("text")).distinct().filter("text IS NOT NULL").withColumn("key", F.xxhash64("text"))
+    kept = spark.createDataFrame([], "text string, key long, vector array<double>")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        kept = spark.read.schema(kept.schema).parquet(path)
+    new = wanted.join(kept, ["key", "text"], "left_anti")
+    new.select("text", "key", embed_text(F.col("text"), size).alias("vector")).write.mode("append").parquet(path)
+    return spark.read.schema(kept.schema).parquet(path).join(wanted, ["key", "text"]).select(F.col("text").alias(text), "vector")
+
+
 def result_lists(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """asked: query_id, variant, query. The k best documents of every variant in both modalities, with modality and rank."""
     keyed = asked.withColumn("_v", F.struct("query_id", "variant"))

@@ -119,9 +119,7 @@ def pairs_sql(name: str, table_: dict[str, list[str]]) -> str:
     return f"{name}(key, key_no, term, term_no) AS (VALUES {rows})"
 
 
-@query(
-    f"""WITH {pairs_sql("syn", SYNONYMS)}, {pairs_sql("ctx", CONTEXTS)}, asked AS (SELECT * FROM {values("asked")}),
-    f0 AS (SELECT query_id, text, term, min((key_no, term_no)) AS o FROM asked JOIN syn ON list_contains(regexp_extract_all(lower(text), '\\b([a-z]+)\\b', 1), key) GROUP BY ALL),
+EXPANDED = """f0 AS (SELECT query_id, text, term, min((key_no, term_no)) AS o FROM asked JOIN syn ON list_contains(regexp_extract_all(lower(text), '\\b([a-z]+)\\b', 1), key) GROUP BY ALL),
     f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS n FROM f0),
     e AS (SELECT query_id, text AS query, (0, 0) AS o FROM asked
       UNION ALL SELECT query_id, term, (1, n) FROM f WHERE n <= 5 AND NOT contains(lower(text), term)
@@ -129,8 +127,10 @@ def pairs_sql(name: str, table_: dict[str, list[str]]) -> str:
       UNION ALL SELECT query_id, term, (3, c.i * 10 + term_no) FROM (SELECT query_id, text, unnest(list_transform(string_split(upper(code), ','), lambda x: trim(x))) AS one, generate_subscripts(string_split(code, ','), 1) AS i FROM asked) c JOIN ctx ON one = key WHERE term_no < 3 AND NOT contains(lower(text), term)
       UNION ALL SELECT query_id, unnest(regexp_extract_all(text, '"([^"]+)"', 1)), (4, 0) FROM asked),
     u AS (SELECT query_id, lower(trim(query)) AS k, min(o) AS o, arg_min(query, o) AS query FROM e WHERE length(lower(trim(query))) > 2 GROUP BY query_id, k),
-    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS INTEGER) AS variant, query FROM u) SELECT * FROM r WHERE variant < 10"""
-)
+    x AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS INTEGER) AS variant, query FROM u)"""
+
+
+@query(f"WITH {pairs_sql('syn', SYNONYMS)}, {pairs_sql('ctx', CONTEXTS)}, asked AS (SELECT * FROM {values('asked')}), {EXPANDED} SELECT * FROM x WHERE variant < 10")
 def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variations of queries by synonyms, contexts and quoted phrases."""
     return expand.expanded(frame(spark, "asked"))
@@ -203,10 +203,10 @@ def threshold_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS = "SELECT item_id AS query_id, 0 AS variant, text AS query FROM benchmark UNION ALL SELECT item_id, 1, split_part(text, '.', 1) FROM benchmark"
 
 
-def hybrid_sql(asked: str) -> str:
+def hybrid_sql(asked: str, shortest: int = 3) -> str:
     """Common tables down to l: the result lists of both modalities for the queries asked (query_id, variant, query)."""
     return f"""v0 AS ({asked}),
-v AS (SELECT * FROM v0 WHERE length(trim(query)) > 2),
+v AS (SELECT * FROM v0 WHERE length(trim(query)) >= {shortest}),
 d AS (SELECT doc_id, {TERMS.format("text")} AS ts FROM documents), dl AS (SELECT doc_id, ts, len(ts) AS dl FROM d), c AS (SELECT count(*) AS n, avg(dl) AS avg_len FROM dl),
 p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, dl, unnest(ts) AS term FROM dl) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 qt AS (SELECT query_id, variant, unnest({TERMS.format("query")}) AS term FROM v), q AS (SELECT query_id, variant, term, count(*) AS qtf FROM qt GROUP BY ALL),
@@ -326,11 +326,27 @@ def custom_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, name string, keyword double")
 
 
-@query()
+CONCEPTS = f"""k0 AS (SELECT query_id, {concept_sql("text")} AS cs FROM asked), k1 AS (SELECT query_id, unnest(cs) AS query, generate_subscripts(cs, 1) AS pos FROM k0),
+    k2 AS (SELECT query_id, query, min(pos) AS pos FROM k1 GROUP BY ALL), k3 AS (SELECT query_id, query, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM k2)"""
+VARIANTS = "SELECT * FROM x WHERE variant < 10 UNION ALL SELECT query_id, CAST(least(10, (SELECT count(*) FROM x WHERE x.query_id = k3.query_id)) + n - 1 AS INTEGER), query FROM k3 WHERE n <= 5"
+
+
+@query(
+    f"""WITH RECURSIVE {pairs_sql("syn", SYNONYMS)}, {pairs_sql("ctx", CONTEXTS)}, asked AS (SELECT item_id AS query_id, left(text, 500) AS text, '' AS code FROM benchmark), {EXPANDED}, {CONCEPTS}, {hybrid_sql(VARIANTS, 0)},
+    nv AS (SELECT query_id, count(*) AS n_variants FROM v GROUP BY query_id),
+    fu AS (SELECT query_id, doc_id, round(sum(CASE modality WHEN 'semantic' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END / (60 + rank)), 8) AS raw FROM l WHERE rank <= 8 GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS i FROM fu),
+    h AS (SELECT query_id, doc_id, raw * 61 / n_variants AS score, {TOKENS.format("text")} AS token_count, n_variants, row_number() OVER (PARTITION BY query_id ORDER BY raw * 61 / n_variants DESC, doc_id) AS i
+      FROM best JOIN nv USING (query_id) JOIN documents USING (doc_id) WHERE i <= 16 AND raw * 61 / n_variants >= 0.2),
+    w AS (SELECT query_id, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS place, NULL::BIGINT AS doc_id, NULL::DOUBLE AS score, NULL::BIGINT AS token_count, NULL::BIGINT AS n_variants, false AS taken FROM (SELECT DISTINCT query_id FROM h)
+      UNION ALL SELECT h.query_id, h.i, CASE WHEN w.used + h.token_count <= 3000 AND w.place < 8 THEN w.used + h.token_count ELSE w.used END, CASE WHEN w.used + h.token_count <= 3000 AND w.place < 8 THEN w.place + 1 ELSE w.place END,
+        h.doc_id, h.score, h.token_count, h.n_variants, w.used + h.token_count <= 3000 AND w.place < 8 FROM w JOIN h ON h.query_id = w.query_id AND h.i = w.i + 1)
+    SELECT query_id, doc_id, round(score, 6) AS score, token_count, CAST(place AS INTEGER) AS place, n_variants FROM w WHERE taken"""
+)
 def retrieve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole retrieval plan: expansion, concepts, both modalities, fusion and selection for every benchmark item."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit("").alias("code"))
-    return retrieve.retrieve(table(spark, sf_dir, "documents"), items, "BALANCED")
+    return retrieve.retrieve(table(spark, sf_dir, "documents"), items, "BALANCED").withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -519,3 +519,26 @@ def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = blocks.withColumn("block_type", F.when(T.is_heading(content), "heading").otherwise("text")).withColumn("section_number", T.section_number(content))
     rows = segment.report_records(blocks)
     return rows.select("chunk_id", "chunk_index", "page_start", "page_end", F.md5("section_title").alias("title_md5"), "section_number", "has_figure_reference")
+
+
+SOME = "CASE WHEN coalesce({0}, '') = '' THEN '{1}' ELSE {0} END"
+
+
+@query(
+    f"""SELECT criterion, '<criterion>' || chr(10) || criterion || ' - ' || category || chr(10) || 'Pass: p' || chr(10) || 'Merit: m' || chr(10) || 'Referral: r' || chr(10) || '</criterion>' || chr(10) || '<evidence>' || chr(10) || text || chr(10) || '</evidence>' || chr(10) || 'End with: Recommended Grade: PASS, MERIT or REFERRAL.' AS graded,
+      '<criteria>' || chr(10) || text || chr(10) || '</criteria>' || chr(10) || 'List each criterion with its levels.' AS extraction,
+      '<caption>' || {SOME.format("text", "No caption")} || '</caption>' || chr(10) || '<context>' || left(repeat(category, 100), 500) || '</context>' || chr(10) || '<criterion>' || criterion || '</criterion>' AS figure FROM {values("evaluations")}"""
+)
+def prompt_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other prompts: with levels, for criteria to be listed, and for figures."""
+    p, m, r = F.lit("p"), F.lit("m"), F.lit("r")
+    return frame(spark, "evaluations").select(
+        "criterion", report.graded_prompt(F.col("criterion"), F.col("category"), p, m, r, F.col("text")).alias("graded"), report.extraction_prompt(F.col("text")).alias("extraction"),
+        report.figure_prompt(F.col("text"), F.repeat("category", F.lit(100)), F.col("criterion")).alias("figure"),
+    )
+
+
+@query("SELECT page_id, md5('data:image/png;base64,' || base64(encode(html))) AS uri_md5 FROM pages")
+def data_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' bytes as data URIs."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(report.data_uri(F.col("html").cast("binary"), F.lit("png"))).alias("uri_md5"))

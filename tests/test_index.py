@@ -120,3 +120,14 @@ def test_json_cuts_the_criterions_text(spark):
     made = report.json_results(spark.createDataFrame([("K1", "t" * 40, "x" * 600)], "criterion string, title string, criterion_text string"))
     back = made.select(F.from_json("json", "title string, criterion_text string").alias("j")).first()["j"]
     assert (len(back["title"]), len(back["criterion_text"])) == (40, 500)
+
+
+def test_cache_embeds_new_texts_only(spark, tmp_path):
+    path = f"file://{tmp_path}/cache"
+    first = spark.createDataFrame([("one two",), ("three",), ("one two",), (None,)], "t string")
+    assert {r["t"] for r in retrieve.embed_cached(first, "t", path).collect()} == {"one two", "three"}
+    more = spark.createDataFrame([("three",), ("four five",)], "t string")
+    got = {r["t"]: r["vector"] for r in retrieve.embed_cached(more, "t", path).collect()}
+    assert set(got) == {"three", "four five"} and spark.read.parquet(path).count() == 3
+    want = retrieve.embed_distinct(more, "t").collect()
+    assert {r["t"]: r["vector"] for r in want} == got
