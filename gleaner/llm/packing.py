@@ -30,6 +30,8 @@ LIMIT = 4096
 END = 1
 #: Words whose ids a worker remembers in each of two generations; a full young generation becomes the old one.
 REMEMBERED = 100_000
+#: Shares that the pieces of a length are dealt to, at most.
+SHARES = 256
 #: Vocabulary words, about, that the faster encoder must agree on before it is used.
 CHECKED = 2000
 #: White space as the tokenizer's patterns see it (the Unicode property), and what only Python's split() takes for it.
@@ -250,26 +252,25 @@ def pack(cut: DataFrame, limit: int = LIMIT, order: tuple[str, ...] = ("doc_id",
     spark = cut.sparkSession
     cut = stored(cut.withColumn("_uid", F.monotonically_increasing_id()), "pack-pieces")
     # ranks within a length: pieces are dealt to shares by a hash, so that a frequent length is no single group
-    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shares = max(1, min(SHARES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = cut.withColumn("_share", F.pmod(F.xxhash64(*order, "_uid"), F.lit(shares)).cast("int"))
-    sums = dealt.groupBy("length", "_share").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    counts = np.zeros(limit + 1, np.int64)
-    for row in sums.groupBy("length").agg(F.sum("_n").alias("n")).collect():  # at most limit rows
-        counts[row["length"]] = row["n"]
+    sums = dealt.groupBy("length", "_share").agg(F.count("*").alias("n")).toPandas()  # at most limit * SHARES rows
+    dealt_counts = np.zeros((limit + 1, shares), np.int64)
+    dealt_counts[sums["length"], sums["_share"]] = sums["n"]
+    before = np.cumsum(dealt_counts, axis=1) - dealt_counts
+    counts = dealt_counts.sum(axis=1)
     plan = places(fill(counts, limit))
     key = plan["length"].to_numpy(np.int64) << 40 | plan["first"].to_numpy(np.int64)
     first, sequence, offset = (plan[c].to_numpy(np.int64) for c in ("first", "sequence", "offset"))
 
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(key, length.to_numpy(np.int64) << 40 | rank.to_numpy(np.int64), side="right") - 1
-        return pd.DataFrame({"sequence_id": sequence[at] + rank.to_numpy(np.int64) - first[at], "offset": offset[at]})
+    def place(length: pd.Series, share: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        n = length.to_numpy(np.int64)
+        r = rank.to_numpy(np.int64) + before[n, share.to_numpy(np.int64)]
+        at = np.searchsorted(key, n << 40 | r, side="right") - 1
+        return pd.DataFrame({"sequence_id": sequence[at] + r - first[at], "offset": offset[at]})
 
     placed = F.pandas_udf(place, "sequence_id long, offset long")
     within = Window.partitionBy("length", "_share").orderBy(*order, "_uid")
-    ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1)
-    ranked = ranked.join(sums.select("length", "_share", "_before"), ["length", "_share"])
-    ranked = ranked.withColumn("_place", placed("length", (F.col("_rank") + F.col("_before")).cast("long")))
+    ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).withColumn("_place", placed("length", "_share", "_rank"))
     keep = [c for c in cut.columns if c != "_uid"]
     return ranked.select(*keep, "_place.sequence_id", "_place.offset")
