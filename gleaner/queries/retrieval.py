@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import CONCEPT_FORMS, CONTEXTS, PRESETS, STOPWORDS, SYNONYMS
 from ..functions.text import key_concepts, page_estimate, relevance, terms, token_count
 from ..functions.vector import embed_text
-from ..operators import bm25, expand, fusion, knn
+from ..operators import bm25, expand, fusion, ivf, knn
 from ..operators.segment import line_blocks
 from ..plans import index, retrieve
 from ..plans.settings import Settings
@@ -173,6 +173,14 @@ def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.neighbours(knn.filtered(rows, section="1"), asked, 5).select("query_id", "item", "score", "rank")
 
 
+@query()
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as l2_similarity_topk by an inverted file, which may miss a neighbour."""
+    rows, asked = vectors(spark, sf_dir)
+    centres, probes = ivf.fit(rows, 32, 8)
+    return ivf.search(ivf.listed(rows, centres), centres, asked, 8, probes).select("query_id", "item", "score", "rank")
+
+
 @query(f"SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 8) AS score FROM {values('ranked')} GROUP BY ALL")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal ranks summed over result lists."""

@@ -175,15 +175,24 @@ def criteria_chunk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.criteria_chunks(lines, 8).select("doc_id", "chunk_index", "criterion_id", "token_count")
 
 
+#: Every thousandth character of every text, at least one place.
+PLACES = "SELECT doc_id, text, unnest(range(1, greatest(1, CAST(ceil(length(text) / 1000) AS BIGINT)) + 1)) AS n FROM documents"
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("text") / 1000).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(each).alias("n"))
+
+
 @query(
-    """WITH p AS (SELECT doc_id, text, least(1000, length(text)) AS target FROM documents), x AS (SELECT doc_id, text, target, unnest(range(greatest(0, target - 200), least(length(text), target + 200))) AS pos FROM p),
+    f"""WITH p AS (SELECT doc_id, text, least(1000 * n, length(text)) AS target FROM ({PLACES})), x AS (SELECT doc_id, text, target, unnest(range(greatest(0, target - 200), least(length(text), target + 200))) AS pos FROM p),
     y AS (SELECT doc_id, target, pos, CASE WHEN text[pos + 1:pos + 2] = chr(10) || chr(10) THEN 100.0::DOUBLE WHEN text[pos + 1] = chr(10) THEN 50.0 WHEN regexp_matches(text[pos + 1:pos + 2], '^[.!?] $') THEN 30.0 WHEN regexp_matches(text[pos + 1:pos + 2], '^[,;:] $') THEN 10.0 ELSE 0.0 END - abs(pos - target)::DOUBLE / 200 * 20 AS score FROM x)
-    SELECT doc_id, CAST(CASE WHEN max(score) > 0 THEN arg_min(pos, (-score, pos)) + 1 ELSE any_value(target) END AS INTEGER) AS cut FROM y GROUP BY doc_id"""
+    SELECT doc_id, CAST(target AS INTEGER) AS target, CAST(CASE WHEN max(score) > 0 THEN arg_min(pos, (-score, pos)) + 1 ELSE target END AS INTEGER) AS cut FROM y GROUP BY doc_id, target"""
 )
 def best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best place to cut each text near its thousandth character."""
-    target = F.least(F.lit(1000), F.length("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", segment.best_split(F.col("text"), target).alias("cut"))
+    """The best place to cut each text near every thousandth character."""
+    targets = places(spark, sf_dir).withColumn("target", F.least(F.col("n") * 1000, F.length("text")))
+    return targets.select("doc_id", "target", segment.best_split(F.col("text"), F.col("target")).alias("cut"))
 
 
 @query()
@@ -192,14 +201,14 @@ def sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sliding_windows(table(spark, sf_dir, "documents")).select("doc_id", "window_no", "start", "end")
 
 
-NEAR = "substr(text, greatest(mid - 49, 1), least(mid, 50) + 50)"
+NEAR = "substr(text, greatest(pos - 49, 1), least(pos, 50) + 50)"
 
 
-@query(f"SELECT doc_id, substr(text, mid + 1, 2) = chr(10) || chr(10) OR regexp_matches({NEAR}, '(?im){'|'.join(BOUNDARY_FORMS)}') AS boundary FROM (SELECT doc_id, text, CAST(floor(length(text) / 2) AS INTEGER) AS mid FROM documents)")
+@query(f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, substr(text, pos + 1, 2) = chr(10) || chr(10) OR regexp_matches({NEAR}, '(?im){'|'.join(BOUNDARY_FORMS)}') AS boundary FROM (SELECT doc_id, text, least(1000 * n, length(text)) - 1 AS pos FROM ({PLACES}))")
 def semantic_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a text may be cut in its middle."""
-    middle = F.floor(F.length("text") / 2).cast("int")
-    return table(spark, sf_dir, "documents").select("doc_id", T.at_boundary(F.col("text"), middle).alias("boundary"))
+    """Whether a text may be cut before every thousandth character."""
+    targets = places(spark, sf_dir).withColumn("pos", F.least(F.col("n") * 1000, F.length("text")) - 1)
+    return targets.select("doc_id", "pos", T.at_boundary(F.col("text"), F.col("pos")).alias("boundary"))
 
 
 @query(
