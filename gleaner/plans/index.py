@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import NO_STRUCTURE, STRUCTURE_QUERY
+from ..functions.fixed import NO_STRUCTURE, STRUCTURE_LEAD, STRUCTURE_QUERY
 from ..functions.vector import embed_text
 from ..operators import knn, segment
 from ..sources import store
@@ -59,4 +59,4 @@ def structure(chunks: DataFrame, most: int = 10) -> str:
     """The sections that a general query finds, as one line."""
     found = fetch(chunks, search_words(chunks, [STRUCTURE_QUERY], most).select("chunk_id"))
     names = sorted(r["section_title"] for r in found.filter("section_title <> ''").select("section_title").distinct().collect())  # at most `most`
-    return "Report sections: " + ", ".join(names) if names else NO_STRUCTURE
+    return STRUCTURE_LEAD + ", ".join(names) if names else NO_STRUCTURE

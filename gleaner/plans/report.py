@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import NO_EVIDENCE
+from ..functions.fixed import CONSOLE_INNER_WIDTH, CONSOLE_TITLE, CONSOLE_WIDTH, CRITERION_HEADING, EVALUATION_HEADING, EVIDENCE_LINE, FEEDBACK_TITLE, NO_EVIDENCE, OVERALL_HEADING
 from ..functions.text import grade_of, location, relevance
 from .evaluate import Client, generate
 from .settings import Settings
@@ -75,7 +75,7 @@ def grade_counts(graded: DataFrame, *by: str) -> DataFrame:
 
 def evaluations_text(graded: DataFrame) -> DataFrame:
     """One row, evaluations: what every evaluation says, in the order of criteria."""
-    section = F.concat(F.lit("### Criterion "), F.col("criterion"), F.lit("\n"), F.col("text"))
+    section = F.concat(F.lit(EVALUATION_HEADING), F.col("criterion"), F.lit("\n"), F.col("text"))
     return graded.agg(ordered_join(F.col("criterion"), section, RULE).alias("evaluations"))
 
 
@@ -103,19 +103,18 @@ def markdown_report(graded: DataFrame, date: str, settings: Settings | None = No
 
 def feedback_report(graded: DataFrame, summary: str) -> DataFrame:
     """One row, report: the overall assessment and every evaluation as Markdown, in the order of criteria."""
-    section = F.concat(F.lit("---\n\n## Criterion "), F.col("criterion"), F.lit("\n\n"), F.col("text"), F.lit("\n\n"))
+    section = F.concat(F.lit(f"---\n\n{CRITERION_HEADING}"), F.col("criterion"), F.lit("\n\n"), F.col("text"), F.lit("\n\n"))
     body = graded.agg(ordered_join(F.col("criterion"), section, "").alias("body"))
-    return body.select(F.concat(F.lit(f"# Coursework Feedback Report\n\n## Overall Assessment\n\n{summary}\n\n"), F.col("body")).alias("report"))
+    return body.select(F.concat(F.lit(f"{FEEDBACK_TITLE}\n\n{OVERALL_HEADING}\n\n{summary}\n\n"), F.col("body")).alias("report"))
 
 
-def console_report(graded: DataFrame, summary: str, width: int = 60) -> DataFrame:
+def console_report(graded: DataFrame, summary: str) -> DataFrame:
     """One row, report: the same for a terminal, with the number of chunks that each evaluation read (evidence_count)."""
-    section = F.concat(
-        F.lit("\n## Criterion "), F.col("criterion"), F.lit("\nEvidence chunks: "), F.col("evidence_count").cast("string"), F.lit("\n" + "-" * 40 + "\n"), F.col("text"), F.lit("\n")
-    )
+    lead, rule = F.lit(f"\n{CRITERION_HEADING}"), F.lit("\n" + "-" * CONSOLE_INNER_WIDTH + "\n")
+    section = F.concat(lead, F.col("criterion"), F.lit(f"\n{EVIDENCE_LINE}"), F.col("evidence_count").cast("string"), rule, F.col("text"), F.lit("\n"))
     body = graded.agg(ordered_join(F.col("criterion"), section, "").alias("body"))
-    head = "\n" + "=" * width + "\nCOURSEWORK FEEDBACK\n" + "=" * width + f"\n\n## Overall Assessment\n\n{summary}\n\n" + "-" * width + "\n"
-    return body.select(F.concat(F.lit(head), F.col("body")).alias("report"))
+    thick, thin = "=" * CONSOLE_WIDTH, "-" * CONSOLE_WIDTH
+    return body.select(F.concat(F.lit(f"\n{thick}\n{CONSOLE_TITLE}\n{thick}\n\n{OVERALL_HEADING}\n\n{summary}\n\n{thin}\n"), F.col("body")).alias("report"))
 
 
 def json_results(graded: DataFrame, longest: int = 500) -> DataFrame:

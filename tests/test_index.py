@@ -69,7 +69,7 @@ def test_images_are_shrunk_and_damaged_ones_dropped(spark):
     raw = spark.createDataFrame([(1, "figure_1", b"P2 2048 512"), (1, "figure_2", b"broken"), (1, "figure_3", b"P2 10 20")], "doc_id int, figure_id string, bytes binary")
     small = images.shrunk(raw, PixMap())
     both = figures.with_images(small, figures.captions(frame(spark, "blocks")))
-    assert sorted((r["figure_id"], r["width"], r["height"], r["caption"]) for r in both.collect()) == [("figure_1", 1024, 256, "Figure 1: Demand by month"), ("figure_3", 10, 20, None)]
+    assert sorted((r["figure_id"], r["width"], r["height"], r["caption"]) for r in both.collect()) == [("figure_1", 800, 200, "Figure 1: Demand by month"), ("figure_3", 10, 20, None)]
 
 
 class Pages:
