@@ -67,12 +67,13 @@ def scratch(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str, rows: int | None = None, each: int = 100_000) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    rows is about how many there are, where that is known: they go to files of `each`, so that small tables are few files.
+    rows is about how many there are, where that is known and they are narrow: a small table then goes to few files, by a
+    shuffle of its own, as a task that runs many partitions one after the other may not get back what they held.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // each)))
+    if rows is not None and -(-rows // each) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(max(1, -(-rows // each)))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path  # type: ignore[attr-defined]

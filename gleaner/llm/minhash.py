@@ -45,8 +45,6 @@ FACTORS = _rng.integers(0, 1 << 63, (COORDINATES, 1), dtype=np.uint64) * np.uint
 CHUNK = 4096
 #: Bytes of texts or sets that a worker turns into arrays at once; the arrays take some 30 times that.
 TEXT_BYTES = 1 << 20
-#: Full sets of shingles in a file of a stored table.
-SETS = 5000
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -137,12 +135,11 @@ def postings(classes: DataFrame) -> DataFrame:
     """cls, key, rank (from 1, the rarest first), shared (keys of the class): coordinate values of classes that may have partners."""
     posted = classes.select("cls", F.posexplode("signature").alias("_at", "_value"))
     key = F.shiftleft(F.col("_at").cast("long"), 32).bitwiseOR(F.col("_value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    n = 8 * classes.count()  # of 64 values, few collide in most classes
-    first = stored(colliding(posted.select("cls", key.alias("key"))).select("cls", "key"), "minhash-colliding", n, 50_000)
+    first = stored(colliding(posted.select("cls", key.alias("key"))).select("cls", "key"), "minhash-colliding")
     mine = Window.partitionBy("cls")
     again = colliding(first)
     ranked = again.withColumn("rank", F.row_number().over(mine.orderBy("n", "key"))).withColumn("shared", F.count("*").over(mine))
-    out = stored(ranked.withColumn("weight", F.sum("n").over(mine)), "minhash-posts", n, 50_000)
+    out = stored(ranked.withColumn("weight", F.sum("n").over(mine)), "minhash-posts")
     discard(first)
     return out
 
@@ -206,17 +203,17 @@ def met_rarely(posts: DataFrame, percent: int = SIMILAR) -> DataFrame:
 def components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """cls, part for the classes that are linked with another: part is the smallest class reachable."""
     posts = postings(classes)
-    near = stored(classes.join(posts.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id", "text_hash", "signature"), "minhash-near", classes.count(), 20_000)
+    near = stored(classes.join(posts.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id", "text_hash", "signature"), "minhash-near")
     n = near.count()
-    sets = stored(full_sets(docs, near), "minhash-sets", n, SETS)
-    links = stored(confirmed(agreeing(met_leaders(posts), near), sets), "minhash-links", n, SETS)
+    sets = stored(full_sets(docs, near), "minhash-sets")
+    links = stored(confirmed(agreeing(met_leaders(posts), near), sets), "minhash-links", n)
     parts = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("part"))
     parts = stored(parts, "minhash-parts", n)
     discard(near, links)
-    left = stored(sets.join(undecided(posts, parts), "cls"), "minhash-open", n, SETS)
+    left = stored(sets.join(undecided(posts, parts), "cls"), "minhash-open")
     if n_left := left.count():
-        lists = stored(shingle_postings(left), "minhash-shingles", n_left, SETS // 10)
-        more = stored(confirmed(met_rarely(lists), left), "minhash-links", n_left, SETS)
+        lists = stored(shingle_postings(left), "minhash-shingles")
+        more = stored(confirmed(met_rarely(lists), left), "minhash-links", n_left)
         if not more.isEmpty():
             named = left.select("cls", "part")
             ends = more.join(named.toDF("a", "_pa"), "a").join(named.toDF("b", "_pb"), "b").select(F.col("_pa").alias("a"), F.col("_pb").alias("b"))
