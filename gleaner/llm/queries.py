@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, ogg, packing, pii, quality, suffixes, toxicity, warc
+from . import language, minhash, mixing, ogg, packing, pii, quality, suffixes, toxicity, warc, whitening
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the whitened principal components of all."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.components(whitening.whiten(rows, whitening.fit(rows)), "vec_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -85,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op8_minhash": op8_minhash,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
+        "op12_whitening": op12_whitening,
     }
 
 
