@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, ogg, packing, pii, quality, suffixes, toxicity, warc, whitening
+from . import language, minhash, mixing, ogg, packing, pii, quality, suffixes, toxicity, trie, warc, whitening
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that they share beginnings."""
+    turns = trie.numbered(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(turns, trie.rebuilt_paths(turns))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector on the whitened principal components of all."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -91,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op8_minhash": op8_minhash,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_whitening": op12_whitening,
     }
 
@@ -125,6 +132,22 @@ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), reach AS (SELECT doc_id,
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
 
 
+#: The checksum of a conversation's decimal id, bit by bit; nodes are lists of turns, subtrees the nodes whose lists begin alike.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+OP11 = f"""WITH o AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+p AS (SELECT c.conv_id, 0 AS side, pos, r, x FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND pos < h UNION ALL SELECT conv_id, 1, pos, r, x FROM o JOIN c USING (conv_id) WHERE pos >= h),
+q AS (SELECT c.conv_id, coalesce(any_value(t), []) AS turns FROM c LEFT JOIN (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY side, pos) AS t FROM p GROUP BY conv_id) USING (conv_id) GROUP BY c.conv_id),
+m AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM q), k AS (SELECT conv_id, depth, turns[1:depth] AS node, len(turns) = depth AS at_end FROM m),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN depth = 0 THEN 0 ELSE length(node[-1].x) END AS chars, string_agg(CASE WHEN at_end THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM k GROUP BY node, depth),
+u AS (SELECT n.*, n.node[1:n.depth - 1] AS up FROM n), ch AS (SELECT up, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY up),
+a AS (SELECT n.node, n.depth, coalesce(n_children, 0) AS n_children, (n_convs - 1) * chars AS saved FROM n LEFT JOIN ch ON ch.up = n.node), b AS (SELECT node[1:d] AS top, saved, n_children FROM (SELECT *, unnest(range(depth + 1)) AS d FROM a)),
+s AS (SELECT top, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM b GROUP BY top)
+SELECT u.conv_id, CAST(u.depth AS BIGINT) AS depth, CASE WHEN u.depth > 0 THEN v.conv_id END AS parent_conv_id, u.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(u.ends, '')) AS ends_sha256
+FROM u JOIN n v ON v.node = u.up LEFT JOIN ch ON ch.up = u.node JOIN s ON s.top = u.node"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; tests compare the others with plain versions."""
-    return {"op2_warc": OP2, "op7_suffixes": OP7, "op8_minhash": OP8}
+    return {"op2_warc": OP2, "op7_suffixes": OP7, "op8_minhash": OP8, "op11_prefix_trie": OP11}
