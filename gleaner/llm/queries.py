@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, minhash, mixing, ogg, packing, pii, quality, suffixes, toxicity, trie, warc, whitening
+from . import language, minhash, mixing, ogg, packing, pii, quality, suffixes, toxicity, trie, warc, webtext, whitening
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +86,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(whitening.whiten(rows, whitening.fit(rows)), "vec_id")
 
 
+def op13_webtext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return webtext.main_text(pages, webtext.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -99,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op10_toxicity": op10_toxicity,
         "op11_prefix_trie": op11_prefix_trie,
         "op12_whitening": op12_whitening,
+        "op13_webtext": op13_webtext,
     }
 
 
