@@ -31,15 +31,16 @@ def with_context(figures: DataFrame, chunks: DataFrame, beside: int = 200) -> Da
 
 
 def relevant(figures: DataFrame, criteria: DataFrame, most: int = 3) -> DataFrame:
-    """criteria: query_id, text. query_id, figure_id, score, rank: shared words, twice for the caption's; the best `most` above 0.
+    """criteria: query_id, text. query_id, doc_id, figure_id, score, rank: shared words, twice for the caption's; the best `most` above 0.
 
-    Both sides meet on their words, so that only what shares one is paired.
+    A figure is one of a document: others may have one of the same name. Both sides meet on their words, so that only what shares one is paired.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: x != ""))
-    sides = [figures.select("figure_id", F.explode(words(c)).alias("word"), F.lit(worth).alias("worth")) for c, worth in (("caption", 2), ("context", 1))]
+    sides = [figures.select("doc_id", "figure_id", F.explode(words(c)).alias("word"), F.lit(worth).alias("worth")) for c, worth in (("caption", 2), ("context", 1))]
     asked = criteria.select("query_id", F.explode(words("text")).alias("word"))
-    scored = asked.join(sides[0].unionByName(sides[1]), "word").groupBy("query_id", "figure_id").agg(F.sum("worth").cast("int").alias("score"))
-    return top_k(scored, most, item="figure_id")
+    scored = asked.join(sides[0].unionByName(sides[1]), "word").groupBy("query_id", "doc_id", "figure_id").agg(F.sum("worth").cast("int").alias("score"))
+    best = top_k(scored.withColumn("_figure", F.struct("doc_id", "figure_id")), most, item="_figure")
+    return best.select("query_id", "doc_id", "figure_id", "score", "rank")
 
 
 def with_images(images: DataFrame, captions_: DataFrame) -> DataFrame:

@@ -24,24 +24,30 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", digits: int = 6) -> DataFrame:
     """vectors: item, vector; queries: query_id, vector. Returns query_id, item, score, rank.
 
-    metric l2 scores 1 / (1 + squared distance), cosine the dot product. Every query meets every vector, once for a block of
-    queries; each task keeps its k best of each query. Null vectors and those of another length than the queries' are left out.
+    metric l2 scores 1 / (1 + squared distance), cosine the dot product. Every query meets every vector of its length, once for a block of
+    queries; each task keeps its k best of each query. Null and empty vectors are left out.
     """
-    items = vectors.select("item", "vector")
-    dim = queries.select(F.max(F.size("vector"))).first()[0] or 0
+    items, asked_for = vectors.select("item", "vector"), queries.select("query_id", "vector").filter(F.size("vector") > 0)
+    longest = asked_for.select(F.max(F.size("vector"))).first()[0] or 0
     out = None
-    for asked in query_blocks(queries.select("query_id", "vector").filter(F.size("vector") == dim), 8 * max(1, dim)):
-        q = np.array([r["vector"] for r in asked], float).reshape(len(asked), dim)
+    for asked in query_blocks(asked_for, 8 * max(1, longest)):
+        at: dict[int, list[int]] = {}
+        for i, r in enumerate(asked):
+            at.setdefault(len(r["vector"]), []).append(i)
+        by_length = {dim: (np.array(rows), np.array([asked[i]["vector"] for i in rows], float)) for dim, rows in at.items()}
 
-        def score(batch: pa.RecordBatch, q: np.ndarray = q) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def score(batch: pa.RecordBatch, n: int = len(asked), by_length: dict = by_length) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             every = numbers(batch.column("item"))
-            rows, kept = matrix(batch.column("vector"), dim)
-            for i in range(0, len(rows), step := max(1, PRODUCT // max(1, len(q)))):
-                part = rows[i : i + step]
-                value = part @ q.T
-                if metric == "l2":
-                    value = 1 / (1 + np.maximum((part**2).sum(1)[:, None] + (q**2).sum(1) - 2 * value, 0))
-                yield rounded(value, digits), every[kept[i : i + step]]
+            for dim, (mine, q) in by_length.items():
+                rows, kept = matrix(batch.column("vector"), dim)
+                for i in range(0, len(rows), step := max(1, PRODUCT // n)):
+                    part = rows[i : i + step]
+                    value = part @ q.T
+                    if metric == "l2":
+                        value = 1 / (1 + np.maximum((part**2).sum(1)[:, None] + (q**2).sum(1) - 2 * value, 0))
+                    scores = np.full((len(part), n), -np.inf)
+                    scores[:, mine] = rounded(value, digits)
+                    yield scores, every[kept[i : i + step]]
 
         best = best_of_tasks(items, asked, queries.schema, k, score)
         out = best if out is None else out.union(best)

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import DEFAULT_TEXTS, WHOLE_TEXT
+from ..functions.fixed import CRITERION_LINE_FORM, DEFAULT_TEXTS, NUMBERED_FORM, WHOLE_TEXT
 from ..functions.text import category, criterion_code, criterion_title, grade_section
 
 
 def parse_table(texts: DataFrame, positional: bool = True) -> DataFrame:
     """texts: module, text. Criteria: module, line_no, code, title, full_description, pass_, merit_, referral_criteria, category.
 
-    positional keeps blank cells in their columns; without it they are dropped, as lenient readers do, and later cells move up.
+    Any line with a bar may be a row, but for rules and the header. positional keeps blank cells in their columns; without it they are
+    dropped, as lenient readers do, and later cells move up.
     """
     lines = texts.select("module", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
-    lines = lines.filter((F.col("line") != "") & F.col("line").startswith("|") & ~F.col("line").startswith("|--") & ~F.col("line").startswith("| --"))
+    lower = F.lower("line")
+    header = lower.contains("ksb") & (lower.contains("pass") | lower.contains("merit"))
+    lines = lines.filter(F.col("line").contains("|") & ~F.col("line").startswith("|--") & ~F.col("line").startswith("| --") & ~header)
     cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     if not positional:
         cells = F.filter(cells, lambda c: c != "")
@@ -29,9 +32,8 @@ def parse_table(texts: DataFrame, positional: bool = True) -> DataFrame:
 def parse_text(texts: DataFrame) -> DataFrame:
     """texts: module, text. Criteria of lines `code - title`; the lines up to the next one hold the grades' texts."""
     lines = texts.select("module", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    form = r"\*?\*?([KSB]\d{1,2})\*?\*?\s*[–-]\s*(.+?)(?:\*\*)?$"
     upto = Window.partitionBy("module").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("code", F.nullif(F.regexp_extract("line", form, 1), F.lit(""))).withColumn("title", F.trim(F.regexp_extract("line", form, 2)))
+    lines = lines.withColumn("code", F.nullif(F.regexp_extract("line", CRITERION_LINE_FORM, 1), F.lit(""))).withColumn("title", F.trim(F.regexp_extract("line", CRITERION_LINE_FORM, 2)))
     lines = lines.withColumn("part", F.count("code").over(upto)).filter("part > 0")
     body = F.array_sort(F.collect_list(F.when(F.col("code").isNull(), F.struct("line_no", "line"))))
     parts = lines.groupBy("module", "part").agg(F.max("code").alias("code"), F.max(F.when(F.col("code").isNotNull(), F.col("title"))).alias("title"), F.trim(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("content"))
@@ -45,6 +47,14 @@ def parse_text(texts: DataFrame) -> DataFrame:
     return parts.select("module", "part", "code", "title", *[c.alias(f"{g}_criteria") for c, g in zip(found, rest, strict=True)], category(F.col("code")).alias("category"))
 
 
+def parse(texts: DataFrame) -> DataFrame:
+    """texts: module, text. Criteria of texts of either kind: those with a bar and a grade's name are tables, the others free text."""
+    upper = F.upper("text")
+    table = F.coalesce(F.col("text").contains("|") & (upper.contains("PASS") | upper.contains("MERIT")), F.lit(False))
+    columns = ["module", "code", "title", "pass_criteria", "merit_criteria", "referral_criteria", "category"]
+    return parse_table(texts.filter(table), positional=False).select(*columns).unionByName(parse_text(texts.filter(~table)).select(*columns))
+
+
 def by_code(criteria: DataFrame, code: str) -> DataFrame:
     return criteria.filter(F.upper("code") == code.upper())
 
@@ -65,7 +75,7 @@ def criteria_texts(chunks: DataFrame, natural: bool = False) -> DataFrame:
 
 def criteria_sections(blocks: DataFrame) -> DataFrame:
     """blocks: doc_id, block_idx, content, block_type, page. Sections that start with `criterion n`: id, title, description, descriptors, page."""
-    number = F.nullif(F.regexp_extract("content", r"(?i)^(?:criterion|criteria|learning\s+outcome|LO)\s*(\d+)", 1), F.lit(""))
+    number = F.nullif(F.regexp_extract("content", "(?i)^" + NUMBERED_FORM, 1), F.lit(""))
     upto = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
     parts = blocks.withColumn("id", number).withColumn("part", F.count("id").over(upto)).filter("part > 0")
     ordered = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("block_idx", "content")))), lambda x: x["content"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import PRESETS, RRF_K, STOPWORDS
 from ..functions.text import terms, token_count
 from ..functions.vector import embed_text
-from ..operators import bm25, fusion, knn
+from ..operators import bm25, fusion, impacts, knn
 from ..operators.expand import expanded
 from .settings import Settings
 
@@ -30,7 +30,8 @@ def embed_distinct(rows: DataFrame, text: str, size: int = 64) -> DataFrame:
 def embed_cached(rows: DataFrame, text: str, path: str, size: int = 64) -> DataFrame:
     """text, vector of every different text, embedded only if the cache below path lacks it; new ones are added there.
 
-    The cache is known by the texts' hashes and compared by the texts themselves.
+    The cache is known by the texts' hashes and compared by the texts themselves. Two writers or a repeated one may store a text twice; one of
+    its vectors is read.
     """
     spark = rows.sparkSession
     wanted = rows.select(F.col(text).alias("text")).distinct().filter("text IS NOT NULL").withColumn("key", F.xxhash64("text"))
@@ -40,40 +41,46 @@ def embed_cached(rows: DataFrame, text: str, path: str, size: int = 64) -> DataF
         kept = spark.read.schema(kept.schema).parquet(path)
     new = wanted.join(kept, ["key", "text"], "left_anti")
     new.select("text", "key", embed_text(F.col("text"), size).alias("vector")).write.mode("append").parquet(path)
-    return spark.read.schema(kept.schema).parquet(path).join(wanted, ["key", "text"]).select(F.col("text").alias(text), "vector")
+    found = spark.read.schema(kept.schema).parquet(path).join(wanted, ["key", "text"])
+    return found.groupBy("key", "text").agg(F.min("vector").alias("vector")).select(F.col("text").alias(text), "vector")
 
 
-def result_lists(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """asked: query_id, variant, query. The k best documents of every variant in both modalities, with modality and rank."""
+def result_lists(docs: DataFrame | impacts.Stored, asked: DataFrame, k: int) -> DataFrame:
+    """asked: query_id, variant, query. The k best documents of every variant in both modalities, with modality and rank.
+
+    docs are texts (doc_id, text) or a stored index of them, which has their terms and vectors already; the rows are the same.
+    """
+    indexed = isinstance(docs, impacts.Stored)
     keyed = asked.withColumn("_v", F.struct("query_id", "variant"))
     wanted = bm25.query_terms(keyed, "_v", "query")
-    by_word = bm25.best_documents(docs, wanted, k).select("query_id", "doc_id", "score", F.lit("keyword").alias("modality"), "rank")
-    vectors = docs.select(F.col("doc_id").alias("item"), embed_text(F.col("text")).alias("vector"))
+    found = impacts.search(docs, wanted, k) if indexed else bm25.best_documents(docs, wanted, k)
+    by_word = found.select("query_id", "doc_id", "score", F.lit("keyword").alias("modality"), "rank")
+    vectors = docs.vectors() if indexed else docs.select(F.col("doc_id").alias("item"), embed_text(F.col("text")).alias("vector"))
     near = knn.neighbours(vectors, keyed.select(F.col("_v").alias("query_id"), embed_text(F.col("query")).alias("vector")), k)
     by_vector = near.select("query_id", F.col("item").alias("doc_id"), "score", F.lit("semantic").alias("modality"), "rank")
     both = by_word.unionByName(by_vector)
     return both.select("query_id.query_id", "query_id.variant", "modality", "doc_id", "score", "rank")
 
 
-def sweep(lists: DataFrame, depth: int | None = None) -> DataFrame:
+def sweep(lists: DataFrame) -> DataFrame:
     """All presets over the same result lists: preset, query_id, doc_id, score, rank.
 
-    Of each list a preset reads as many ranks as it returns, as its own search does, or depth.
+    Of each list a preset reads as many ranks as it returns, as its own search does.
     """
     rows = [(n, h, s, w, k) for n, (h, s, w, _, k) in PRESETS.items()]
     presets = lists.sparkSession.createDataFrame(rows, "preset string, hybrid boolean, ws double, wk double, k int")
     used = lists.crossJoin(F.broadcast(presets)).filter("hybrid OR modality = 'semantic'")  # five rows: a proven bound
-    used = used.filter(F.col("rank") <= (F.col("k") if depth is None else F.lit(depth)))
+    used = used.filter(F.col("rank") <= F.col("k"))
     weight = F.when(F.col("modality") == "semantic", F.col("ws")).otherwise(F.col("wk"))
     fused = used.groupBy("preset", "k", "query_id", "doc_id").agg(F.round(F.sum(weight / (RRF_K + F.col("rank"))), 8).alias("score"))
     order = Window.partitionBy("preset", "query_id").orderBy(F.col("score").desc(), "doc_id")
     return fused.withColumn("rank", F.row_number().over(order)).filter("rank <= k").select("preset", "query_id", "doc_id", "score", "rank")
 
 
-def retrieve(docs: DataFrame, criteria: DataFrame, preset: str | Settings = "BALANCED", scale: str = "normalised") -> DataFrame:
+def retrieve(docs: DataFrame | impacts.Stored, criteria: DataFrame, preset: str | Settings = "BALANCED", scale: str = "normalised") -> DataFrame:
     """criteria: query_id, text, code. Selected evidence: query_id, doc_id, score, token_count, place, n_variants.
 
-    One plan for all criteria. scale raw compares the threshold with plain sums of reciprocal ranks, which many variants
+    docs are texts or a stored index (see result_lists). One plan for all criteria. scale raw compares the threshold with plain sums of reciprocal ranks, which many variants
     alone can lift above it; normalised divides by what as many variants can reach.
     """
     chosen = preset if isinstance(preset, Settings) else Settings.preset(preset)
@@ -86,7 +93,7 @@ def retrieve(docs: DataFrame, criteria: DataFrame, preset: str | Settings = "BAL
     fused = bm25.top_k(fusion.weighted(lists, semantic, keyword), 2 * k).join(n, "query_id")
     if scale == "normalised":
         fused = fusion.normalised(fused)
-    tokens = docs.select("doc_id", token_count(F.col("text")).alias("token_count"))
+    tokens = docs.docs().select("doc_id", "token_count") if isinstance(docs, impacts.Stored) else docs.select("doc_id", token_count(F.col("text")).alias("token_count"))
     return fusion.select_budget(fused.join(tokens, "doc_id"), threshold, k).join(n, "query_id")
 
 

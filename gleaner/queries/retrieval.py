@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.fixed import CONCEPT_FORMS, CONTEXTS, PRESETS, STOPWORDS, SYNONYMS
 from ..functions.text import key_concepts, page_estimate, relevance, terms, token_count
 from ..functions.vector import embed_text
-from ..operators import bm25, expand, fusion, ivf, knn
+from ..operators import bm25, expand, fusion, impacts, ivf, knn
 from ..operators.segment import line_blocks
 from ..plans import index, retrieve
 from ..plans.settings import Settings
+from ..sources.scratch import shared_path
 from .literals import frame, values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,11 +233,25 @@ l AS (SELECT *, 'keyword' AS modality, row_number() OVER (PARTITION BY query_id,
 HYBRID = hybrid_sql(ITEMS)
 
 
-def hybrid_lists(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def stored_index(spark: SparkSession, sf_dir: str) -> impacts.Stored:
+    """All documents in a stored index, in a folder of its own."""
+    path = shared_path(spark, "index")
+    impacts.add(table(spark, sf_dir, "documents"), path)
+    return impacts.Stored(spark, path)
+
+
+@query(SQL["bm25_topk"])
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 8 best documents for each benchmark item, from a stored index."""
+    wanted = bm25.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return impacts.search(stored_index(spark, sf_dir), wanted, 8)
+
+
+def hybrid_lists(spark: SparkSession, sf_dir: str, k: int, indexed: bool = False) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     both = F.array(F.col("text"), F.split_part("text", F.lit("."), F.lit(1)))
     asked = items.select(F.col("item_id").alias("query_id"), F.posexplode(both).alias("variant", "query")).filter("length(trim(query)) > 2")
-    return retrieve.result_lists(table(spark, sf_dir, "documents"), asked, k)
+    return retrieve.result_lists(stored_index(spark, sf_dir) if indexed else table(spark, sf_dir, "documents"), asked, k)
 
 
 @query(
@@ -254,22 +269,18 @@ PRESET_ROWS = ", ".join(f"('{n}', {'true' if h else 'false'}, {s}::DOUBLE, {w}::
 
 @query(
     f"""WITH {HYBRID}, ps(preset, hybrid, ws, wk, k) AS (VALUES {PRESET_ROWS}),
-    f AS (SELECT preset, k, query_id, doc_id, round(sum(CASE modality WHEN 'semantic' THEN ws ELSE wk END / (60 + rank)), 8) AS score FROM l, ps WHERE rank <= 10 AND (hybrid OR modality = 'semantic') GROUP BY ALL),
+    f AS (SELECT preset, k, query_id, doc_id, round(sum(CASE modality WHEN 'semantic' THEN ws ELSE wk END / (60 + rank)), 8) AS score FROM l, ps WHERE rank <= k AND (hybrid OR modality = 'semantic') GROUP BY ALL),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY preset, query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f) SELECT preset, query_id, doc_id, score, rank FROM r WHERE rank <= k"""
 )
 def hybrid_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search under all presets at once."""
-    return retrieve.sweep(hybrid_lists(spark, sf_dir, 10), 10)
+    """The same search under all presets at once, each over lists as deep as its own k."""
+    return retrieve.sweep(hybrid_lists(spark, sf_dir, max(k for *_, k in PRESETS.values())))
 
 
-@query(
-    f"""WITH {HYBRID}, ps(preset, hybrid, ws, wk, k) AS (VALUES {PRESET_ROWS}),
-    f AS (SELECT preset, k, query_id, doc_id, round(sum(CASE modality WHEN 'semantic' THEN ws ELSE wk END / (60 + rank)), 8) AS score FROM l, ps WHERE rank <= k AND (hybrid OR modality = 'semantic') GROUP BY ALL),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY preset, query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f) SELECT preset, query_id, doc_id, score, rank FROM r WHERE rank <= k"""
-)
+@query(SQL["hybrid_presets"])
 def preset_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search of every preset, over lists as deep as the preset's own k."""
-    return retrieve.sweep(hybrid_lists(spark, sf_dir, max(k for *_, k in PRESETS.values())))
+    """The search of every preset over a stored index."""
+    return retrieve.sweep(hybrid_lists(spark, sf_dir, max(k for *_, k in PRESETS.values()), indexed=True))
 
 
 @query(
@@ -357,6 +368,13 @@ def retrieve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.retrieve(table(spark, sf_dir, "documents"), items, "BALANCED").withColumn("score", F.round("score", 6))
 
 
+@query(SQL["retrieve_evidence"])
+def indexed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole retrieval plan over a stored index."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit("").alias("code"))
+    return retrieve.retrieve(stored_index(spark, sf_dir), items, "BALANCED").withColumn("score", F.round("score", 6))
+
+
 @query(
     f"""WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), u AS (SELECT t, count(*) AS n FROM b WHERE trim(t) <> '' GROUP BY t)
     SELECT CAST(sum(n) AS BIGINT) AS n_texts, count(*) AS n_embedded, CAST(sum(CASE WHEN len({TERMS.format("t")}) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero FROM u"""

@@ -222,8 +222,8 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUBRIC = f"""l AS (SELECT module, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM {values("rubric")}),
-k AS (SELECT module, line_no, list_transform(string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|'), lambda c: trim(c)) AS cells FROM l WHERE trim(line) LIKE '|%' AND trim(line) NOT LIKE '|--%' AND trim(line) NOT LIKE '| --%'),
-c AS (SELECT module, line_no, cells, nullif(regexp_extract(cells[1], '([KSB]\\d{{1,2}})', 1), '') AS code, regexp_extract(cells[1], '[KSB]\\d{{1,2}}\\*{{0,2}}\\s*[–-]\\s*(.+)', 1) AS tt FROM k WHERE len(cells) >= 4),
+k AS (SELECT module, line_no, list_transform(string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|'), lambda c: trim(c)) AS cells FROM l WHERE contains(line, '|') AND trim(line) NOT LIKE '|--%' AND trim(line) NOT LIKE '| --%' AND NOT (lower(line) LIKE '%ksb%' AND (lower(line) LIKE '%pass%' OR lower(line) LIKE '%merit%'))),
+c AS (SELECT module, line_no, cells, nullif(regexp_extract(cells[1], '([KSB]\\d{{1,2}})', 1), '') AS code, regexp_extract(cells[1], '[KSB]\\d{{1,2}}\\*?\\*?\\s*[–-]\\s*(.+)', 1) AS tt FROM k WHERE len(cells) >= 4),
 r AS (SELECT module, CAST(line_no AS INTEGER) AS line_no, code, CASE WHEN tt <> '' THEN regexp_replace(trim(tt), '^\\*+|\\*+$', '', 'g') ELSE cells[1] END AS title, cells[2] AS pass_criteria, cells[3] AS merit_criteria, cells[4] AS referral_criteria,
   CASE code[1] WHEN 'K' THEN 'Knowledge' WHEN 'S' THEN 'Skill' WHEN 'B' THEN 'Behaviour' ELSE 'Unknown' END AS category FROM c WHERE code IS NOT NULL)"""
 
@@ -361,14 +361,14 @@ WORDS = r"list_distinct(list_filter(string_split_regex(lower(coalesce({0}, '')),
 
 
 @query(
-    f"""WITH {FIGURES}, s AS (SELECT query_id, figure_id, CAST(len(list_intersect({WORDS.format("q.text")}, {WORDS.format("caption")})) * 2 + len(list_intersect({WORDS.format("q.text")}, {WORDS.format("context")})) AS INTEGER) AS score
+    f"""WITH {FIGURES}, s AS (SELECT query_id, doc_id, figure_id, CAST(len(list_intersect({WORDS.format("q.text")}, {WORDS.format("caption")})) * 2 + len(list_intersect({WORDS.format("q.text")}, {WORDS.format("context")})) AS INTEGER) AS score
       FROM (SELECT 1 AS query_id, 'Demand by month and supply' AS text UNION ALL SELECT 2, 'nothing shared') q, fig),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, figure_id) AS INTEGER) AS rank FROM s) SELECT query_id, figure_id, score, rank FROM r WHERE rank <= 3 AND score > 0"""
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, figure_id) AS INTEGER) AS rank FROM s) SELECT query_id, doc_id, figure_id, score, rank FROM r WHERE rank <= 3 AND score > 0"""
 )
 def figure_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures that share words with criteria."""
     asked = spark.sql("SELECT 1 AS query_id, 'Demand by month and supply' AS text UNION ALL SELECT 2, 'nothing shared'")
-    return figures.relevant(figure_rows(spark), asked).select("query_id", "figure_id", "score", "rank")
+    return figures.relevant(figure_rows(spark), asked)
 
 
 PLACE = """CASE WHEN page_start = page_end THEN 'page ' || page_start ELSE 'pages ' || page_start || '-' || page_end END"""

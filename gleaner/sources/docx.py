@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 from typing import Protocol
@@ -18,24 +16,16 @@ from ..operators.segment import assemble_paragraphs
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/package/2006/relationships}"
-#: A document's larger parts are refused, so that a small file can't unpack to more than a worker holds.
-MOST_BYTES = 512 << 20
 
 
 def text_of(element: ElementTree.Element) -> str:
     return "".join(e.text or "" if e.tag == f"{W}t" else "\t" if e.tag == f"{W}tab" else "\n" if e.tag == f"{W}br" else "" for e in element.iter())
 
 
-def part(archive: zipfile.ZipFile, name: str) -> bytes:
-    if archive.getinfo(name).file_size > MOST_BYTES:
-        raise ValueError(f"{name} is too large")
-    return archive.read(name)
-
-
 def styles(archive: zipfile.ZipFile) -> dict[str, str]:
     if "word/styles.xml" not in archive.namelist():
         return {}
-    root = ElementTree.fromstring(part(archive, "word/styles.xml"))
+    root = ElementTree.fromstring(archive.read("word/styles.xml"))
     return {s.get(f"{W}styleId", ""): name.get(f"{W}val", "") for s in root.iter(f"{W}style") if (name := s.find(f"{W}name")) is not None}
 
 
@@ -43,7 +33,7 @@ def blocks(data: bytes) -> Iterator[tuple[str, str, str | None, int | None, list
     """Kind (paragraph, table), content, style, outline level and cells of the body's elements, in their order."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         named = styles(archive)
-        body = ElementTree.fromstring(part(archive, "word/document.xml")).find(f"{W}body")
+        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{W}body")
     for element in body if body is not None else []:
         if element.tag == f"{W}p":
             props = element.find(f"{W}pPr")
@@ -64,11 +54,11 @@ def images(data: bytes) -> Iterator[tuple[str, str, bytes]]:
         if "word/_rels/document.xml.rels" not in names:
             return
         n = 0
-        for rel in ElementTree.fromstring(part(archive, "word/_rels/document.xml.rels")).iter(f"{R}Relationship"):
+        for rel in ElementTree.fromstring(archive.read("word/_rels/document.xml.rels")).iter(f"{R}Relationship"):
             target = "word/" + rel.get("Target", "")
             if "image" in rel.get("Target", "") and target in names:
                 n += 1
-                yield f"figure_{n}", target.rsplit(".", 1)[-1].lower(), part(archive, target)
+                yield f"figure_{n}", target.rsplit(".", 1)[-1].lower(), archive.read(target)
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
@@ -88,23 +78,28 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((p, None, None, None, None, None, None, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=columns).astype({"outline": "Int32", "block_idx": "Int32"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][oO][cC][xX]").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, block_idx int, block_type string, content string, style string, outline int, cells array<array<string>>, error string")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, figure_id, format, bytes of all images embedded in Word documents below a path; files that cannot be read have none."""
+    """path, figure_id, format, bytes, error of all images embedded in Word documents below a path.
+
+    A file that cannot be read is one row with nothing but its path and error.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows: list[tuple] = []
             for p, data in zip(pdf["path"], pdf["content"], strict=True):
-                with contextlib.suppress(Exception):  # read_docx has a row with the error
-                    rows += [(p, *x) for x in images(data)]
-            yield pd.DataFrame(rows, columns=["path", "figure_id", "format", "bytes"])
+                try:
+                    rows += [(p, *x, None) for x in images(data)]
+                except Exception as error:  # whatever is wrong with one file is that file's row
+                    rows.append((p, None, None, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "figure_id", "format", "bytes", "error"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, figure_id string, format string, bytes binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][oO][cC][xX]").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, figure_id string, format string, bytes binary, error string")
 
 
 class PdfDecoder(Protocol):
@@ -116,34 +111,58 @@ class PdfDecoder(Protocol):
 
 
 def read_pdf_lines(spark: SparkSession, path: str, decoder: PdfDecoder) -> tuple[DataFrame, DataFrame]:
-    """Lines (path, page, line_no, text) and table cells (path, page, cell) of all PDF files below a path."""
+    """Lines (path, page, line_no, text, error) and table cells (path, page, cell) of all PDF files below a path; a file that cannot be read is a line with its error."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
             for p, data in zip(pdf["path"], pdf["content"], strict=True):
-                for number, (lines, tables) in enumerate(decoder.pages(data), 1):
-                    rows += [(p, number, i, t, False) for i, t in enumerate(lines, 1)]
-                    rows += [(p, number, 0, c, True) for table in tables for r in table for c in r]
-            yield pd.DataFrame(rows, columns=["path", "page", "line_no", "text", "is_cell"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    both = files.mapInPandas(run, "path string, page int, line_no int, text string, is_cell boolean")
+                try:
+                    found = list(decoder.pages(data))
+                except Exception as error:  # whatever is wrong with one file is that file's row
+                    rows.append((p, None, None, None, False, f"{type(error).__name__}: {error}"))
+                    continue
+                for number, (lines, tables) in enumerate(found, 1):
+                    rows += [(p, number, i, t, False, None) for i, t in enumerate(lines, 1)]
+                    rows += [(p, number, 0, c, True, None) for table in tables for r in table for c in r]
+            yield pd.DataFrame(rows, columns=["path", "page", "line_no", "text", "is_cell", "error"]).astype({"page": "Int32", "line_no": "Int32"})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    both = files.mapInPandas(run, "path string, page int, line_no int, text string, is_cell boolean, error string")
     return both.filter("NOT is_cell").drop("is_cell"), both.filter("is_cell").select("path", "page", F.col("text").alias("cell"))
 
 
+#: Blocks of any kind of file.
+BLOCK_COLUMNS = {"path": "string", "block_idx": "int", "block_type": "string", "content": "string", "style": "string", "outline": "int", "cells": "array<array<string>>", "page": "int", "error": "string"}
+
+
 def read_any(spark: SparkSession, path: str, pdf: PdfDecoder | None = None) -> DataFrame:
-    """Blocks of a file or folder by the file's suffix; lines of text files are blocks too, and so are paragraphs of PDF files."""
-    suffix = re.sub(r".*\.", "", path).lower()
-    if suffix in ("txt", "md"):
-        return spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path AS path", "posexplode(split(value, '\\n')) AS (block_idx, content)")
-    if suffix == "pdf":
-        if pdf is None:
-            raise ValueError("PDF files need a decoder")
+    """Blocks (BLOCK_COLUMNS) of a file or of all files below a folder, each by its own suffix.
+
+    Word documents give paragraphs and tables, text files their lines, PDF files paragraphs of their pages by the decoder given. A file of another kind, a PDF
+    without a decoder and a file that cannot be read is one row with its path and error: no file is passed over.
+    """
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    files = every.select("path").withColumn("suffix", suffix)
+    kinds = {r["suffix"] for r in files.select("suffix").distinct().collect()}  # as many as there are suffixes
+    known = {"docx", "txt", "md"} | ({"pdf"} if pdf is not None else set())
+    refused = files.filter(~F.col("suffix").isin(sorted(known))).select("path", F.concat(F.lit("no reader for ."), "suffix").alias("error"))
+    parts = [refused] if kinds - known else []
+    if "docx" in kinds:
+        parts.append(read_docx(spark, path))
+    if kinds & {"txt", "md"}:
+        text = F.make_valid_utf8(F.col("content").cast("string"))
+        lines = every.filter(suffix.isin("txt", "md")).select("path", F.posexplode(F.split(text, "\r?\n")).alias("block_idx", "content"))
+        parts.append(lines.withColumn("block_type", F.lit("paragraph")))
+    if "pdf" in kinds & known:
         lines, cells = read_pdf_lines(spark, path, pdf)
-        paragraphs = assemble_paragraphs(lines.withColumnRenamed("path", "doc_id"), cells.withColumnRenamed("path", "doc_id"))
+        failed = lines.filter("error IS NOT NULL").select("path", "error")
+        good = lines.filter("error IS NULL").drop("error")
+        paragraphs = assemble_paragraphs(good.withColumnRenamed("path", "doc_id"), cells.withColumnRenamed("path", "doc_id"))
         order = Window.partitionBy("doc_id").orderBy("page", "para_no")
-        return paragraphs.select(F.col("doc_id").alias("path"), (F.row_number().over(order) - 1).alias("block_idx"), F.col("kind").alias("block_type"), "content", "page")
-    if suffix != "docx" and "." in path.rsplit("/", 1)[-1]:
-        raise ValueError(f"no reader for .{suffix}")
-    return read_docx(spark, path)
+        parts += [paragraphs.select(F.col("doc_id").alias("path"), (F.row_number().over(order) - 1).alias("block_idx"), F.col("kind").alias("block_type"), "content", "page"), failed]
+    out = spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in BLOCK_COLUMNS.items()))
+    for part in parts:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

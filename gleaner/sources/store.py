@@ -28,10 +28,14 @@ def split_bad(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replace the document types that chunks has; other types stay. Bad rows go to a table beside it."""
-    good, bad = split_bad(chunks)
+    """Replace the document types that chunks has; other types stay. Bad rows go to a table beside it, each once however often it is written."""
+    spark, (good, bad) = chunks.sparkSession, split_bad(chunks)
     good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_type").parquet(f"{path}/chunks")
-    bad.write.mode("append").parquet(f"{path}/quarantine")
+    new = bad.withColumn("row_key", F.sha2(F.to_json(F.struct("*")), 256)).dropDuplicates(["row_key"])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/quarantine")
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        new = new.join(spark.read.schema("row_key string").parquet(f"{path}/quarantine"), "row_key", "left_anti")
+    new.write.mode("append").parquet(f"{path}/quarantine")
 
 
 def read_chunks(spark: SparkSession, path: str, document_type: str | None = None) -> DataFrame:

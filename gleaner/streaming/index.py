@@ -1,33 +1,24 @@
-"""Keeping a BM25 index of a growing folder of documents up to date with Structured Streaming."""
+"""Keeping a stored index of a growing folder of documents up to date with Structured Streaming."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.bm25 import Index, build_index
+from ..operators import impacts
 
 
 def follow(spark: SparkSession, source: str, schema: StructType, index: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append each batch's postings and counts below index, in folders for each batch so that a repeated batch replaces its own."""
+    """Add each batch of documents (doc_id, text) to the index below a path as a segment, so that a repeated batch replaces its own."""
 
     def add(batch: DataFrame, number: int) -> None:
-        made = build_index(batch)
-        made.postings.write.mode("overwrite").parquet(f"{index}/postings/batch={number}")
-        written = batch.sparkSession.read.parquet(f"{index}/postings/batch={number}")
-        written.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{index}/terms/batch={number}")
-        made.corpus.select("n_docs", F.round(F.col("n_docs") * F.col("avg_len")).cast("long").alias("length")).write.mode("overwrite").parquet(f"{index}/corpus/batch={number}")
+        impacts.add(batch, index, number)
 
     stream = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()
 
 
-def followed(spark: SparkSession, index: str) -> Index:
-    """The index of all batches so far; a document that came twice counts twice."""
-    parts = {name: spark.read.parquet(f"{index}/{name}").drop("batch") for name in ("postings", "terms", "corpus")}
-    terms = parts["terms"].groupBy("term").agg(F.sum("df").alias("df"))
-    n, length = F.sum("n_docs"), F.sum("length")
-    corpus = parts["corpus"].agg(F.coalesce(n, F.lit(0)).alias("n_docs"), F.coalesce(length / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("avg_len"))
-    return Index(parts["postings"], terms, corpus)
+def followed(spark: SparkSession, index: str) -> impacts.Stored:
+    """The index of all batches so far; a document that came twice, in two batches, counts twice."""
+    return impacts.Stored(spark, index)

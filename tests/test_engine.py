@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import bm25, fusion, knn, scan, segment
+from gleaner.operators import bm25, fusion, impacts, knn, scan, segment
 from gleaner.plans import evaluate, report, retrieve
 from gleaner.sources import docx, store
 from gleaner.streaming import index
@@ -162,13 +162,13 @@ def test_index_follows_a_folder(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one two"), (2, "two three")], "doc_id long, text string")
     docs.write.parquet(f"file://{tmp_path}/in")
     index.follow(spark, f"file://{tmp_path}/in", docs.schema, f"file://{tmp_path}/ix", f"file://{tmp_path}/cp").awaitTermination(60)
-    assert spark.read.parquet(f"file://{tmp_path}/ix/postings").filter("term = 'two'").count() == 2
+    assert spark.read.parquet(f"file://{tmp_path}/ix/terms").filter("term = 'two'").first()["df"] == 2
     more = spark.createDataFrame([(3, "two four four")], "doc_id long, text string")
     more.write.mode("append").parquet(f"file://{tmp_path}/in")
     index.follow(spark, f"file://{tmp_path}/in", docs.schema, f"file://{tmp_path}/ix", f"file://{tmp_path}/cp").awaitTermination(60)
     asked = spark.createDataFrame([(1, "two four")], "item_id long, text string")
     wanted = bm25.query_terms(asked, "item_id", "text")
-    got = bm25.top_k(bm25.score(index.followed(spark, f"file://{tmp_path}/ix"), wanted).filter("score > 0"), 8)
+    got = impacts.search(index.followed(spark, f"file://{tmp_path}/ix"), wanted, 8)
     want = bm25.search(docs.union(more), asked)
     assert {tuple(r) for r in got.select("query_id", "doc_id", "score", "rank").collect()} == {tuple(r) for r in want.select("query_id", "doc_id", "score", "rank").collect()}
 

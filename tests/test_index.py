@@ -30,7 +30,7 @@ def test_rows_by_hand(spark):
     assert rows(spark, "document_titles", "doc_id", "title") == [(1, "Annual Service Review"), (2, "Given title")]
     assert rows(spark, "criteria_chunk_names", "doc_id", "chunk_index", "criterion_id") == [("DATA", i, "general") for i in range(3)] + [("OPS", i, "general") for i in range(6)]
     assert rows(spark, "custom_settings", "id", "name") == [(0, "BALANCED"), (1, "CUSTOM"), (2, "SEMANTIC_ONLY"), (3, "CUSTOM"), (4, "invalid"), (5, "invalid"), (6, "invalid"), (7, "invalid")]
-    assert rows(spark, "figure_relevance", "query_id", "figure_id", "score") == [(1, "figure_1", 9), (1, "figure_2", 9)]
+    assert rows(spark, "figure_relevance", "query_id", "doc_id", "figure_id", "score") == [(1, 1, "figure_1", 9), (1, 1, "figure_2", 9)]
 
 
 def test_index_is_built_cleared_searched_and_fetched_from(spark, tmp_path):
@@ -84,15 +84,16 @@ def test_pdf_lines_tables_and_titles_run_through(spark, tmp_path):
     got = docx.read_any(spark, f"file://{tmp_path}/a.pdf", Pages())
     assert [(r["block_type"], r["content"], r["page"]) for r in got.orderBy("block_idx").collect()] == [("heading", "1. Introduction To Testing", 1), ("text", "A first line, which goes on here, in a second. x|y", 1), ("text", "Second page text, all of it.", 2)]
     assert segment.titles(got.withColumnRenamed("path", "doc_id")).first()["title"] == "1. Introduction To Testing"
-    with pytest.raises(ValueError):
-        docx.read_any(spark, f"file://{tmp_path}/a.pdf")
+    (row,) = docx.read_any(spark, f"file://{tmp_path}/a.pdf").collect()
+    assert row["error"] == "no reader for .pdf" and row["content"] is None
 
 
 def test_broken_word_file_is_a_row(spark, tmp_path):
     (tmp_path / "b.docx").write_bytes(b"no archive")
     (row,) = docx.read_docx(spark, f"file://{tmp_path}").collect()
     assert row["content"] is None and "BadZipFile" in row["error"]
-    assert docx.read_images(spark, f"file://{tmp_path}").count() == 0
+    (row,) = docx.read_images(spark, f"file://{tmp_path}").collect()
+    assert row["bytes"] is None and "BadZipFile" in row["error"]
 
 
 def test_settings_have_bounds():
@@ -129,5 +130,9 @@ def test_cache_embeds_new_texts_only(spark, tmp_path):
     more = spark.createDataFrame([("three",), ("four five",)], "t string")
     got = {r["t"]: r["vector"] for r in retrieve.embed_cached(more, "t", path).collect()}
     assert set(got) == {"three", "four five"} and spark.read.parquet(path).count() == 3
+    again = spark.read.parquet(path)
+    again.write.mode("append").parquet(path)  # as a second writer, or a task that ran twice, leaves it
+    twice = [(r["t"], r["vector"]) for r in retrieve.embed_cached(more, "t", path).collect()]
+    assert len(twice) == 2 and dict(twice) == got
     want = retrieve.embed_distinct(more, "t").collect()
     assert {r["t"]: r["vector"] for r in want} == got
