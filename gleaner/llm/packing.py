@@ -34,6 +34,10 @@ REMEMBERED = 100_000
 SHARES = 256
 #: Vocabulary words, about, that the faster encoder must agree on before it is used.
 CHECKED = 2000
+#: Letters and marks that may go another way than through the tokenizer, if it agrees on each of them when a worker starts: Latin ones, and the
+#: punctuation that goes with them. What any other character is, the tokenizer alone knows: its tables may be older or newer than Python's.
+LETTERS = [c for c in map(chr, range(0x41, 0x250)) if c.isalpha()]
+MARKS = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0xC0), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]) if not c.isalnum() and c not in "_'"]
 #: White space as the tokenizer's patterns see it (the Unicode property), and what only Python's split() takes for it.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -84,8 +88,6 @@ class WordIds:
     words one after the other; likewise letters and a run of marks after them are encoded each for itself.
     """
 
-    MARKED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -93,6 +95,9 @@ class WordIds:
         if any(SPACE.search(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("special tokens with white space cannot be encoded word by word")
         self.letters = self.checked(LetterWords(path, "letters"))
+        self.plain = self.agreed() if self.letters else frozenset()
+        known = "".join(map(re.escape, self.parting() if self.letters else []))
+        self.marked = re.compile(f"([^{known}]+)([{known}]+)") if known else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -104,6 +109,24 @@ class WordIds:
         words = plain + [a + b for a, b in zip(plain, reversed(plain), strict=True)]
         return fast if fast(words) == self.slow(words) else None
 
+    def agreed(self) -> frozenset[str]:
+        """The letters that the faster encoder treats as the tokenizer does, alone, first, last and amid others."""
+        forms = [[c, f"{c}ab", f"ab{c}", f"a{c}b"] for c in LETTERS]
+        words = [w for f in forms for w in f]
+        want, got = self.slow(words), self.letters([self.folded(w) for w in words])
+        return frozenset(c for i, c in enumerate(LETTERS) if want[4 * i : 4 * i + 4] == got[4 * i : 4 * i + 4])
+
+    def parting(self) -> list[str]:
+        """The marks that the tokenizer parts from letters before them, alone and before each other."""
+        pairs = [(c, d) for c in MARKS for d in ("", c, ".", "!", ")", "%")]
+        whole, alone, stem = self.slow([f"ab{c}{d}" for c, d in pairs]), self.slow([c + d for c, d in pairs]), self.slow(["ab"])[0]
+        wrong = {c for (c, _), a, b in zip(pairs, whole, alone, strict=True) if a != stem + b}
+        return [c for c in MARKS if c not in wrong]
+
+    @staticmethod
+    def folded(word: str) -> str:
+        return (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
+
     def slow(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -115,12 +138,12 @@ class WordIds:
             if ids is not None:
                 self.young[w] = ids
                 continue
-            stem, tail = (unicodedata.normalize("NFC", w) if not w.isascii() else w).lower(), ""
-            if not stem.isalpha() and (m := self.MARKED.fullmatch(stem)):
+            stem, tail = w, ""
+            if self.marked and not self.plain.issuperset(w) and (m := self.marked.fullmatch(w)):
                 stem, tail = m.groups()
-            if self.letters and stem.isalpha() and "\u03a3" not in w:
+            if self.plain.issuperset(stem):
                 plain.append(w)
-                stems.append(stem)
+                stems.append(self.folded(stem))
                 tails.append(tail)
             else:
                 odd.append(w)
