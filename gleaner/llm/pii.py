@@ -10,7 +10,7 @@ instances: a pattern is as reliable as its instances are on average, an instance
 nothing, nor do those without a seed). What has a base form but fails its test (a card's check digit, say) speaks against its patterns.
 Patterns that enough different seeds support and that end with high reliability extract their instances as identifiers
 (kind `id`). What they extract becomes a seed unless it failed such a test, and patterns are induced and scored anew,
-until nothing is added or after TURNS turns.
+until nothing is added.
 
 Positions come from the gaps between matches: the text is split by an expression and the lengths of the pieces and
 matches are summed. The expressions are possessive and start only where a match can start, so that time is linear. A context word
@@ -48,7 +48,6 @@ LETTERS = "^[A-Za-z]{4}"
 #: Characters beside a match in which its context words are looked for first.
 BESIDE = 48
 ROUNDS = 3
-TURNS = 3
 SUPPORT = 5
 RELIABLE = 0.8
 
@@ -162,20 +161,23 @@ def reliable_patterns(edges: DataFrame, n: int, rounds: int = ROUNDS, support: i
     raise ValueError("rounds must be positive")
 
 
-def bootstrapped(tokens: DataFrame, turns: int = TURNS) -> DataFrame:
-    """tokens: row, start, end, base, seed, failed, instance, pattern. row, start, end of what reliable patterns extract beside the base entities."""
+def bootstrapped(tokens: DataFrame) -> DataFrame:
+    """tokens: row, start, end, base, seed, failed, instance, pattern. row, start, end of what reliable patterns extract beside the base entities.
+
+    What they extract is a seed in the next turn, until a turn adds none; seeds only grow, so that there is a last one.
+    """
     each = tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("failed").alias("failed"))
-    several = each.groupBy("pattern").agg(F.count("*").alias("_n"), F.count_if("seed").alias("_seeds")).filter("_n > 1 AND _seeds > 0").select("pattern")
+    several = each.groupBy("pattern").agg(F.count("*").alias("_n")).filter("_n > 1").select("pattern")
     n = tokens.count()
     edges = stored(each.join(several, "pattern"), "pii-edges", n)
     new = None
-    for turn in range(turns):
-        good = reliable_patterns(edges, n)
+    while True:
+        # of the patterns of this turn's seeds: a promoted instance brings its own along
+        live = stored(edges.join(edges.filter("seed").select("pattern").distinct(), "pattern", "left_semi"), "pii-live", n)
+        good = reliable_patterns(live, n)
         took = stored(tokens.filter("NOT base").join(good, "pattern").select("row", "start", "end", "instance", "failed").distinct(), "pii-extracted", n)
-        discard(good, new)
+        discard(good, new, live)
         new = took
-        if turn == turns - 1:
-            break
         added = took.filter("NOT failed").select("instance").distinct().withColumn("_took", F.lit(True))
         grown = stored(edges.join(added, "instance", "left").select("pattern", "instance", "seed", "failed", (F.col("seed") | F.coalesce("_took", F.lit(False))).alias("now")), "pii-edges", n)
         discard(edges)
