@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,9 @@ from ..functions.fixed import CODE_FORM, CRITERIA_SIZE, LEAST_SIZE, NAMED_SECTIO
 from ..functions.text import figure_ids, is_heading, token_count
 
 
+Count = Callable[[Column], Column]
+
+
 def line_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, block_idx, content: the non-blank lines of each text."""
     lines = docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("block_idx", "content"))
@@ -57,20 +60,21 @@ def assemble_paragraphs(lines: DataFrame, cells: DataFrame | None = None) -> Dat
     return numbered.groupBy("doc_id", "page", "para_no").agg(F.min("kind").alias("kind"), joined.alias("content"))
 
 
-def _chunks(folded: DataFrame, extra: list[str]) -> DataFrame:
+def _chunks(folded: DataFrame, extra: list[str], count: Count) -> DataFrame:
     """Ranges of blocks as chunks: content, token count and number."""
     rows = folded.select("doc_id", "blocks", F.posexplode("ranges").alias("chunk_index", "r"))
     part = F.slice("blocks", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1)
     content = F.array_join(F.transform(part, lambda b: b["content"]), "\n\n")
     page = [F.get(F.col("blocks"), F.col("r.first"))["page"].alias("page_start"), F.get(F.col("blocks"), F.col("r.last"))["page"].alias("page_end")]
     out = rows.select("doc_id", "chunk_index", content.alias("content"), *page, *[F.col(f"r.{c}").alias(c) for c in extra])
-    return out.withColumn("token_count", token_count(F.col("content")))
+    return out.withColumn("token_count", count(F.col("content")))
 
 
-def _gather(blocks: DataFrame, *fields: Column) -> DataFrame:
+def _gather(blocks: DataFrame, count: Count, *fields: Column) -> DataFrame:
     page = F.col("page") if "page" in blocks.columns else F.lit(1).alias("page")
-    row = F.struct("block_idx", "content", page, token_count(F.col("content")).alias("tokens"), *fields)
-    return blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("blocks"))
+    counted = blocks.withColumn("_tokens", count(F.col("content")))
+    row = F.struct("block_idx", "content", page, F.col("_tokens").alias("tokens"), *fields)
+    return counted.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("blocks"))
 
 
 def _major() -> Column:
@@ -99,16 +103,18 @@ def _packed(docs: DataFrame, size: int, overlap: int, most: int) -> DataFrame:
     return docs.withColumn("ranges", F.aggregate(F.sequence(F.lit(0), F.size("blocks") - 1), start, step, close))
 
 
-def report_chunks(blocks: DataFrame, size: int = REPORT_SIZE, overlap: int = REPORT_OVERLAP, most: int = REPORT_MOST) -> DataFrame:
+def report_chunks(blocks: DataFrame, size: int = REPORT_SIZE, overlap: int = REPORT_OVERLAP, most: int = REPORT_MOST, count: Count = token_count) -> DataFrame:
     """blocks: doc_id, block_idx, content, heading_level. Chunks: doc_id, chunk_index, content, pages, token_count.
 
+    count gives the tokens of a text: an estimate by its words, or vocabulary_count's.
+
     Blocks are packed until the next would exceed the size; a heading of level 1 or 2 starts a chunk. A new chunk starts
     with the trailing blocks that fit in the overlap. Chunks are ranges of blocks, so the fold keeps positions alone.
     """
-    return _chunks(_packed(_gather(blocks, _major()), size, overlap, most), [])
+    return _chunks(_packed(_gather(blocks, count, _major()), size, overlap, most), [], count)
 
 
-def report_records(blocks: DataFrame, size: int = REPORT_SIZE, overlap: int = REPORT_OVERLAP, most: int = REPORT_MOST) -> DataFrame:
+def report_records(blocks: DataFrame, size: int = REPORT_SIZE, overlap: int = REPORT_OVERLAP, most: int = REPORT_MOST, count: Count = token_count) -> DataFrame:
     """blocks as for report_chunks, with block_type and section_number. Chunks with what the store keeps of them.
 
     section_title and section_number are those in force at the chunk's end, parent_section the last heading of level 1 or 2 up
@@ -124,7 +130,7 @@ def report_records(blocks: DataFrame, size: int = REPORT_SIZE, overlap: int = RE
     }
     carried = blocks.select("*", *[F.last(c, True).over(upto).alias(f"_{n}") for n, c in state.items()])
     fields = [F.col(f"_{n}").alias(n) for n in state]
-    folded = _packed(_gather(carried, _major(), figure_ids(F.col("content")).alias("figures"), *fields), size, overlap, most)
+    folded = _packed(_gather(carried, count, _major(), figure_ids(F.col("content")).alias("figures"), *fields), size, overlap, most)
     rows = folded.select("doc_id", "blocks", F.posexplode("ranges").alias("chunk_index", "r"))
     block = lambda i: F.get(F.col("blocks"), i)
     first, last, fresh = (F.col(f"r.{c}") for c in ("first", "last", "fresh"))
@@ -136,7 +142,7 @@ def report_records(blocks: DataFrame, size: int = REPORT_SIZE, overlap: int = RE
         F.array_join(F.transform(some(first, last), lambda b: b["content"]), "\n\n").alias("content"), block(fresh)["page"].alias("page_start"), block(last)["page"].alias("page_end"),
         block(last)["title"].alias("section_title"), block(last)["number"].alias("section_number"), block(end)["parent"].alias("parent_section"), figures.alias("figure_ids"),
     )
-    return out.withColumn("has_figure_reference", F.size("figure_ids") > 0).withColumn("token_count", token_count(F.col("content")))
+    return out.withColumn("has_figure_reference", F.size("figure_ids") > 0).withColumn("token_count", count(F.col("content")))
 
 
 def titles(blocks: DataFrame, properties: DataFrame | None = None) -> DataFrame:
@@ -162,10 +168,10 @@ def criterion_of(content: Column) -> tuple[Column, Column]:
     return F.coalesce(by_code, by_name, numbered), (named != "") | (F.size(codes) >= 2)
 
 
-def criteria_chunks(blocks: DataFrame, size: int = CRITERIA_SIZE) -> DataFrame:
+def criteria_chunks(blocks: DataFrame, size: int = CRITERIA_SIZE, count: Count = token_count) -> DataFrame:
     """blocks: doc_id, block_idx, content. Chunks: doc_id, chunk_index, content, pages, criterion_id, token_count."""
     name, strong = criterion_of(F.col("content"))
-    docs = _gather(blocks, name.alias("name"), strong.alias("strong"))
+    docs = _gather(blocks, count, name.alias("name"), strong.alias("strong"))
     start = F.expr("named_struct('ranges', cast(array() AS array<struct<first:int,last:int,criterion_id:string>>), 'a', 0, 'used', 0, 'name', cast(null AS string))")
 
     def range_(s: Column, last: Column) -> Column:
@@ -180,7 +186,7 @@ def criteria_chunks(blocks: DataFrame, size: int = CRITERIA_SIZE) -> DataFrame:
         return F.when(split, cut).otherwise(F.struct(s["ranges"].alias("ranges"), s["a"].alias("a"), (s["used"] + block["tokens"]).alias("used"), named.alias("name")))
 
     folded = docs.withColumn("ranges", F.aggregate(F.sequence(F.lit(0), F.size("blocks") - 1), start, step, lambda s: range_(s, F.size("blocks") - 1)))
-    return _chunks(folded, ["criterion_id"])
+    return _chunks(folded, ["criterion_id"], count)
 
 
 def best_split(text: Column, target: Column, window: int = 200) -> Column:

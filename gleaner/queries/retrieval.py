@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bpe import vocabulary_count
 from ..functions.fixed import CONCEPT_FORMS, CONTEXTS, PRESETS, STOPWORDS, SYNONYMS
 from ..functions.text import key_concepts, page_estimate, relevance, terms, token_count
 from ..functions.vector import embed_text
@@ -80,6 +81,19 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("token_count"))
 
 
+def tokenizer() -> str:
+    """The place of a public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query()
+def vocabulary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by a byte-pair vocabulary."""
+    return table(spark, sf_dir, "documents").select("doc_id", vocabulary_count(tokenizer())(F.col("text")).alias("token_count"))
+
+
 @query("SELECT doc_id, CAST(greatest(1, n_chars // 2500 + 1) AS INTEGER) AS page FROM documents")
 def page_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page on which a text of this many characters would end."""

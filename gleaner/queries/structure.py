@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.bpe import vocabulary_count
 from ..functions.fixed import BOUNDARY_FORMS, GRADE_FORMS, HEADING_FORMS, SECTION_FORMS
 from ..operators import figures, knn, rubric, segment
 from ..plans import evaluate, report
 from ..plans.settings import Settings
 from ..sources import store
 from .literals import frame, values
-from .retrieval import TOKENS, Query, table
+from .retrieval import TOKENS, Query, table, tokenizer
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -153,6 +154,14 @@ def pack_report_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.report_chunks(blocks).select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), "token_count")
 
 
+@query()
+def vocabulary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines packed into chunks whose sizes are tokens of a byte-pair vocabulary."""
+    blocks = segment.line_blocks(table(spark, sf_dir, "documents")).withColumn("heading_level", F.lit(None).cast("int"))
+    chunks = segment.report_chunks(blocks, count=vocabulary_count(tokenizer()))
+    return chunks.select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), "token_count")
+
+
 @query(
     f"""WITH RECURSIVE {BLOCKS},
     w AS (SELECT doc_id, i, i AS a, t::BIGINT AS used, 0::BIGINT AS done_a, 0::BIGINT AS done_b FROM b WHERE i = 1
