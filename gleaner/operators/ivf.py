@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bm25 import top_k
 from .knn import matrix, neighbours
@@ -31,17 +32,22 @@ def nearest(rows: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
     return np.argsort(distance, axis=1, kind="stable")[:, :k]
 
 
-def probes_for(data: np.ndarray, centres: np.ndarray, k: int, share: float, asked: int = 500) -> int:
-    """How many lists to search so that `share` of the k nearest among the sample's vectors lie in them, by some of them as queries."""
-    some = data[np.linspace(0, len(data) - 1, min(asked, len(data))).astype(int)]
-    lists, order = nearest(data, centres)[:, 0], nearest(some, centres, len(centres))
+def probes_for(data: np.ndarray, centres: np.ndarray, k: int, share: float, asked: int = 500, others: bool = False) -> int:
+    """How many lists to search so that `share` of the k nearest among the sample's vectors lie in them, by some of them as queries.
+
+    others: a query is not its own neighbour, which is right for queries that are no vectors of the index.
+    """
+    rows = np.linspace(0, len(data) - 1, min(asked, len(data))).astype(int)
+    lists, order = nearest(data, centres)[:, 0], nearest(data[rows], centres, len(centres))
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(len(centres))[None], axis=1)
-    near = nearest(some, data, k)
-    return int(np.quantile(np.take_along_axis(place, lists[near], axis=1), share, method="higher")) + 1
+    near = nearest(data[rows], data, min(k + others, len(data)))
+    at = np.take_along_axis(place, lists[near], axis=1)
+    counted = at[near != rows[:, None]] if others and len(data) > 1 else at
+    return int(np.quantile(counted, share, method="higher")) + 1
 
 
-def fit(vectors: DataFrame, lists: int, k: int = 10, share: float = 0.95, most: int = SAMPLE) -> tuple[np.ndarray, int]:
+def fit(vectors: DataFrame, lists: int, k: int = 10, share: float = 0.95, most: int = SAMPLE, others: bool = False) -> tuple[np.ndarray, int]:
     """Centres (rows) by k-means on at most `most` vectors (item, vector), those whose ids hash lowest, and the number of lists to search."""
     n = vectors.count()
     bound = F.lit(int(min(1.0, 2 * most / max(1, n)) * (1 << 30)))
@@ -57,22 +63,22 @@ def fit(vectors: DataFrame, lists: int, k: int = 10, share: float = 0.95, most:
         np.add.at(sums, at, data)
         sizes = np.bincount(at, minlength=len(centres))
         centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
-    return centres, probes_for(data, centres, k, share)
+    return centres, probes_for(data, centres, k, share, others=others)
 
 
-def listed(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
-    """vectors (item, vector) with the list of each."""
-    kind = vectors.schema["item"].dataType.simpleString()
-    element = vectors.schema["vector"].dataType.simpleString()
+def listed(vectors: DataFrame, centres: np.ndarray, more: list[str] | None = None) -> DataFrame:
+    """vectors (item, vector and the columns of `more`) with the list of each."""
+    kept_columns = ["item", "vector", *(more or [])]
+    schema = StructType([vectors.schema[c] for c in kept_columns]).add("list", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, kept = matrix(batch.column("vector"), centres.shape[1])
             part = batch.take(pa.array(kept))
             at = nearest(rows, centres)[:, 0] if len(kept) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("item"), part.column("vector"), pa.array(at.astype(np.int32))], ["item", "vector", "list"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at.astype(np.int32))], schema.names)
 
-    return vectors.select("item", "vector").mapInArrow(run, f"item {kind}, vector {element}, list int")
+    return vectors.select(*kept_columns).mapInArrow(run, schema)
 
 
 def search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, metric: str = "l2", digits: int = 6) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of what describes the queries of one scan, and scores of one product, at most.
 QUERY_BYTES = 64 << 20
@@ -54,13 +54,14 @@ def numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) else np.array(column.to_pylist(), dtype=str)
 
 
-def best_of_tasks(items: DataFrame, asked: list[Row], schema: StructType, k: int, score: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+def best_of_tasks(items: DataFrame, asked: list[Row], schema: StructType, k: int, score: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], item: DataType | None = None) -> DataFrame:
     """query_id, item, score: the k best of each task for each of the queries asked.
 
-    items has a column item; score turns a batch into pairs of scores (items x queries) and items.
+    items has a column item, of the type given if its rows hold several; score turns a batch into pairs of scores (items x queries) and items.
     """
+    item_type = item or items.schema["item"].dataType
     ids = [r.asDict(recursive=True)["query_id"] for r in asked]
-    kind, item_kind = to_arrow_type(schema["query_id"].dataType), to_arrow_type(items.schema["item"].dataType)
+    kind, item_kind = to_arrow_type(schema["query_id"].dataType), to_arrow_type(item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(ids), k)
@@ -71,7 +72,7 @@ def best_of_tasks(items: DataFrame, asked: list[Row], schema: StructType, k: int
             columns = [pa.array([ids[q] for q in best.query.tolist()], kind), pa.array(best.item.tolist(), item_kind), pa.array(best.score)]
             yield pa.RecordBatch.from_arrays(columns, ["query_id", "item", "score"])
 
-    out = StructType([schema["query_id"], items.schema["item"]]).add("score", "double")
+    out = StructType([schema["query_id"], StructField("item", item_type)]).add("score", "double")
     return items.mapInArrow(run, out)
 
 

@@ -11,7 +11,8 @@ from ..functions.bpe import vocabulary_count
 from ..functions.fixed import CONCEPT_FORMS, CONTEXTS, PRESETS, STOPWORDS, SYNONYMS
 from ..functions.text import key_concepts, page_estimate, relevance, terms, token_count
 from ..functions.vector import embed_text
-from ..operators import bm25, expand, fusion, impacts, ivf, knn
+from ..operators import bm25, expand, fusion, impacts, knn, latent
+from ..operators import vectors as vector_index
 from ..operators.segment import line_blocks
 from ..plans import index, retrieve
 from ..plans.settings import Settings
@@ -188,12 +189,42 @@ def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.neighbours(knn.filtered(rows, section="1"), asked, 5).select("query_id", "item", "score", "rank")
 
 
+def stored_vectors(spark: SparkSession, sf_dir: str) -> tuple:
+    """All vectors in a stored index by list, with their labels, in a folder of its own."""
+    path = shared_path(spark, "vectors")
+    rows, asked = vectors(spark, sf_dir)
+    vector_index.write(rows, path, ["label"], k=8)
+    return *vector_index.read(spark, path), asked
+
+
 @query()
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as l2_similarity_topk by an inverted file, which may miss a neighbour."""
-    rows, asked = vectors(spark, sf_dir)
-    centres, probes = ivf.fit(rows, 32, 8)
-    return ivf.search(ivf.listed(rows, centres), centres, asked, 8, probes).select("query_id", "item", "score", "rank")
+    """The same as l2_similarity_topk by a stored inverted file, which may miss a neighbour."""
+    chunks, centres, probes, asked = stored_vectors(spark, sf_dir)
+    return vector_index.search(chunks, centres, asked, 8, probes)
+
+
+@query()
+def ivf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as filtered_knn by a stored inverted file with bitmaps of the labels."""
+    chunks, centres, probes, asked = stored_vectors(spark, sf_dir)
+    return vector_index.search(chunks, centres, asked, 5, probes, {"label": [1]})
+
+
+@query(SQL["filtered_knn"])
+def listed_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """filtered_knn by the same index with every list searched: the exact way."""
+    chunks, centres, _, asked = stored_vectors(spark, sf_dir)
+    return vector_index.search(chunks, centres, asked, 5, len(centres), {"label": [1]})
+
+
+@query()
+def latent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents nearest in meaning, by learned vectors, to every document whose id is divisible by 20."""
+    docs = table(spark, sf_dir, "documents")
+    made = latent.embedded(docs, latent.fit(docs)).select(F.col("doc_id").alias("item"), "vector")
+    asked = made.filter("item % 20 = 0").select(F.col("item").alias("query_id"), "vector")
+    return knn.neighbours(made, asked, 8, "cosine").select("query_id", "item", "score", "rank")
 
 
 @query(f"SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 8) AS score FROM {values('ranked')} GROUP BY ALL")
