@@ -50,8 +50,11 @@ def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", only:
             only = F.broadcast(only)
         words = words.join(only, "term", "left_semi")
     postings = words.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    # a term counts once for a document, which its own row tells
+    each = sized.select(F.explode(F.array_distinct("terms")).alias("term"))
+    found = each if only is None else each.join(only, "term", "left_semi")
     corpus = sized.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_len"))
-    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), corpus)
+    return Index(postings, found.groupBy("term").agg(F.count("*").alias("df")), corpus)
 
 
 def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:

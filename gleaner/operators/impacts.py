@@ -22,12 +22,12 @@ to the smaller id; ids are those of one document each, so that one given twice t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -91,11 +91,14 @@ def packed(postings: DataFrame) -> DataFrame:
     return postings.mapInArrow(run, schema)
 
 
-def add(docs: DataFrame, path: str, segment: int = 0, doc: str = "doc_id", text: str = "text", size: int = 64, buckets: int = BUCKETS) -> None:
-    """Write a segment, or replace the one of that number. All segments of an index have the same number of buckets."""
+def add(docs: DataFrame, path: str, segment: int = 0, doc: str = "doc_id", text: str = "text", embed: Callable[[Column], Column] = embed_text, buckets: int = BUCKETS) -> None:
+    """Write a segment, or replace the one of that number. All segments of an index have the same number of buckets.
+
+    embed makes vectors of texts, by default of hashed terms; a learned model's column does as well.
+    """
     spark = docs.sparkSession
     shards = max(LEAST_SHARDS, -(-docs.count() // SHARD_DOCS))
-    rows = docs.select(F.col(doc).alias("doc_id"), F.pmod(F.xxhash64(doc), F.lit(shards)).cast("int").alias("shard"), token_count(F.col(text)).alias("token_count"), embed_text(F.col(text), size).alias("vector"), terms(F.col(text)).alias("words"))
+    rows = docs.select(F.col(doc).alias("doc_id"), F.pmod(F.xxhash64(doc), F.lit(shards)).cast("int").alias("shard"), token_count(F.col(text)).alias("token_count"), embed(F.col(text)).alias("vector"), terms(F.col(text)).alias("words"))
     at = lambda name: f"{path}/{name}/segment={segment}"
     counted(rows).write.mode("overwrite").parquet(at("docs"))
     kept = spark.read.parquet(at("docs"))

@@ -164,8 +164,9 @@ def fit(docs: DataFrame, text: str = "text", size: int = 64, passes: int = PASSE
 
         product = summed(rows, gram, np.zeros_like(block))
         basis, products = np.hstack([basis, block]), np.hstack([products, product])
-        rest = product - basis @ (basis.T @ product)
-        block = np.linalg.qr(rest - basis @ (basis.T @ rest))[0]  # twice, as one turn leaves what rounding has made
+        block = product
+        for _ in range(3):  # what rounding leaves of the blocks so far grows where little else is left, so that it is taken off again
+            block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
     core = basis.T @ products
     values, turns = np.linalg.eigh((core + core.T) / 2)
     values, turns = np.maximum(values[::-1][:size], 0), turns[:, ::-1][:, :size]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import PRESETS, RRF_K, STOPWORDS
@@ -14,12 +18,28 @@ from .settings import Settings
 
 
 def keywords(docs: DataFrame, most: int = 10) -> DataFrame:
-    """doc_id, word, n, rank: the most frequent words of at least four letters, earlier ones first where counts are equal."""
-    words = docs.select("doc_id", F.posexplode(terms(F.col("text"))).alias("pos", "word"))
-    words = words.filter(F.col("word").rlike("^[a-z]{4,}$") & ~F.col("word").isin(STOPWORDS))
-    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    order = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "first")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("doc_id", "word", "n", "rank")
+    """doc_id, word, n, rank: the most frequent words of at least four letters, earlier ones first where counts are equal.
+
+    A document's words are all in its row, so that they are counted there.
+    """
+    words = F.filter(terms(F.col("text")), lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(STOPWORDS))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            width = max(1, len(coded.dictionary))
+            cells, first, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
+            order = np.lexsort((first, -n, cells // width))
+            row = cells[order] // width
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            kept = rank <= most
+            at, word = row[kept], cells[order][kept] % width
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), coded.dictionary.take(pa.array(word, pa.int64())), pa.array(n[order][kept], pa.int64()), pa.array(rank[kept], pa.int32())], ["doc_id", "word", "n", "rank"])
+
+    return docs.select("doc_id", words.alias("words")).mapInArrow(run, f"doc_id {kind}, word string, n long, rank int")
 
 
 def embed_distinct(rows: DataFrame, text: str, size: int = 64) -> DataFrame:
@@ -45,18 +65,19 @@ def embed_cached(rows: DataFrame, text: str, path: str, size: int = 64) -> DataF
     return found.groupBy("key", "text").agg(F.min("vector").alias("vector")).select(F.col("text").alias(text), "vector")
 
 
-def result_lists(docs: DataFrame | impacts.Stored, asked: DataFrame, k: int) -> DataFrame:
+def result_lists(docs: DataFrame | impacts.Stored, asked: DataFrame, k: int, embed: Callable[[Column], Column] = embed_text) -> DataFrame:
     """asked: query_id, variant, query. The k best documents of every variant in both modalities, with modality and rank.
 
-    docs are texts (doc_id, text) or a stored index of them, which has their terms and vectors already; the rows are the same.
+    docs are texts (doc_id, text) or a stored index of them, which has their terms and vectors already; the rows are the same. embed makes
+    vectors of the queries, and of the texts where they are not stored.
     """
     indexed = isinstance(docs, impacts.Stored)
     keyed = asked.withColumn("_v", F.struct("query_id", "variant"))
     wanted = bm25.query_terms(keyed, "_v", "query")
     found = impacts.search(docs, wanted, k) if indexed else bm25.best_documents(docs, wanted, k)
     by_word = found.select("query_id", "doc_id", "score", F.lit("keyword").alias("modality"), "rank")
-    vectors = docs.vectors() if indexed else docs.select(F.col("doc_id").alias("item"), embed_text(F.col("text")).alias("vector"))
-    near = knn.neighbours(vectors, keyed.select(F.col("_v").alias("query_id"), embed_text(F.col("query")).alias("vector")), k)
+    vectors = docs.vectors() if indexed else docs.select(F.col("doc_id").alias("item"), embed(F.col("text")).alias("vector"))
+    near = knn.neighbours(vectors, keyed.select(F.col("_v").alias("query_id"), embed(F.col("query")).alias("vector")), k)
     by_vector = near.select("query_id", F.col("item").alias("doc_id"), "score", F.lit("semantic").alias("modality"), "rank")
     both = by_word.unionByName(by_vector)
     return both.select("query_id.query_id", "query_id.variant", "modality", "doc_id", "score", "rank")
@@ -77,7 +98,7 @@ def sweep(lists: DataFrame) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(order)).filter("rank <= k").select("preset", "query_id", "doc_id", "score", "rank")
 
 
-def retrieve(docs: DataFrame | impacts.Stored, criteria: DataFrame, preset: str | Settings = "BALANCED", scale: str = "normalised") -> DataFrame:
+def retrieve(docs: DataFrame | impacts.Stored, criteria: DataFrame, preset: str | Settings = "BALANCED", scale: str = "normalised", embed: Callable[[Column], Column] = embed_text) -> DataFrame:
     """criteria: query_id, text, code. Selected evidence: query_id, doc_id, score, token_count, place, n_variants.
 
     docs are texts or a stored index (see result_lists). One plan for all criteria. scale raw compares the threshold with plain sums of reciprocal ranks, which many variants
@@ -86,7 +107,7 @@ def retrieve(docs: DataFrame | impacts.Stored, criteria: DataFrame, preset: str
     chosen = preset if isinstance(preset, Settings) else Settings.preset(preset)
     hybrid, semantic, keyword, threshold, k = chosen.hybrid, chosen.semantic, chosen.keyword, chosen.threshold, chosen.k
     asked = expanded(criteria, concepts=True)
-    lists = result_lists(docs, asked, k)
+    lists = result_lists(docs, asked, k, embed)
     if not hybrid:
         lists = lists.filter("modality = 'semantic'")
     n = asked.groupBy("query_id").agg(F.count("*").alias("n_variants"))

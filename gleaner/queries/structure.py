@@ -53,8 +53,9 @@ def heading_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def heading_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and headings of every document."""
-    lines = segment.line_blocks(table(spark, sf_dir, "documents"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.is_heading(F.col("content"))).alias("n_headings"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    counted = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).filter(F.size("lines") > 0)
+    return counted.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(F.filter("lines", lambda x: T.is_heading(x))).cast("long").alias("n_headings"))
 
 
 @query(
