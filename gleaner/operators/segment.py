@@ -145,6 +145,15 @@ def report_records(blocks: DataFrame, size: int = REPORT_SIZE, overlap: int = RE
     return out.withColumn("has_figure_reference", F.size("figure_ids") > 0).withColumn("token_count", count(F.col("content")))
 
 
+def record_stats(records: DataFrame) -> DataFrame:
+    """records: chunk_id, document_type, token_count, has_figure_reference, keywords. One row: number, sizes, chunks with figures and with keywords, and
+    the first one's type; without records the number is 0 and the sizes are null."""
+    return records.agg(
+        F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"), F.round(F.avg("token_count"), 6).alias("avg_tokens"), F.min("token_count").alias("least"), F.max("token_count").alias("most"),
+        F.count_if("has_figure_reference").alias("with_figures"), F.count_if(F.size("keywords") > 0).alias("with_keywords"), F.min_by("document_type", "chunk_id").alias("first_type"),
+    )
+
+
 def titles(blocks: DataFrame, properties: DataFrame | None = None) -> DataFrame:
     """doc_id, title: the document's own title property (doc_id, title) if it has one, else its first heading of level 0 or 1.
 

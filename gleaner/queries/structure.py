@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.bpe import vocabulary_count
 from ..functions.fixed import BOUNDARY_FORMS, GRADE_FORMS, HEADING_FORMS, SECTION_FORMS
-from ..operators import figures, knn, rubric, segment
-from ..plans import evaluate, report
+from ..operators import figures, knn, rubric, segment, tables
+from ..plans import evaluate, index, report
 from ..plans.settings import Settings
 from ..sources import store
 from .literals import frame, values
-from .retrieval import TOKENS, Query, table, tokenizer
+from .retrieval import STOP, TERMS, TOKENS, Query, table, tokenizer
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -155,6 +155,15 @@ def pack_report_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.report_chunks(blocks).select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), "token_count")
 
 
+@query(SQL["pack_report_chunks"])
+def chunks_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a table function of SQL."""
+    tables.register(spark)
+    blocks = segment.line_blocks(table(spark, sf_dir, "documents"))
+    made = spark.sql("SELECT * FROM report_chunks(TABLE({blocks}) PARTITION BY doc_id ORDER BY block_idx)", blocks=blocks)
+    return made.select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), "token_count")
+
+
 @query()
 def vocabulary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines packed into chunks whose sizes are tokens of a byte-pair vocabulary."""
@@ -531,13 +540,35 @@ CHUNKS = f"""RECURSIVE {BLOCKS}, s AS (SELECT *, sum(t) OVER (PARTITION BY doc_i
 )
 def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's chunks with their sections, pages and figures; ten lines make a page here."""
+    rows = segment.report_records(document_blocks(spark, sf_dir))
+    return rows.select("chunk_id", "chunk_index", "page_start", "page_end", F.md5("section_title").alias("title_md5"), "section_number", "has_figure_reference")
+
+
+def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines as blocks; ten make a page."""
     lines = segment.line_blocks(table(spark, sf_dir, "documents"))
     order = Window.partitionBy("doc_id").orderBy("block_idx")
     content = F.col("content")
     blocks = lines.withColumn("page", F.floor(F.row_number().over(order) / 10).cast("int") + 1).withColumn("heading_level", F.lit(None).cast("int"))
-    blocks = blocks.withColumn("block_type", F.when(T.is_heading(content), "heading").otherwise("text")).withColumn("section_number", T.section_number(content))
-    rows = segment.report_records(blocks)
-    return rows.select("chunk_id", "chunk_index", "page_start", "page_end", F.md5("section_title").alias("title_md5"), "section_number", "has_figure_reference")
+    return blocks.withColumn("block_type", F.when(T.is_heading(content), "heading").otherwise("text")).withColumn("section_number", T.section_number(content))
+
+
+@query(f"SELECT chunk_id, page_start, page_end, title_md5 FROM ({SQL['chunk_records']}) WHERE page_start >= 2 AND page_end <= 4 AND NOT has_figure_reference")
+def chunk_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chunks on its pages 2 to 4 that refer to no figure: filters on pages and figures, both of which must hold."""
+    rows = knn.filtered(segment.report_records(document_blocks(spark, sf_dir)), has_figures=False, pages=(2, 4))
+    return rows.select("chunk_id", "page_start", "page_end", F.md5("section_title").alias("title_md5"))
+
+
+@query(
+    f"""WITH {CHUNKS}, c AS (SELECT r.doc_id, r.z, string_agg(content, chr(10) || chr(10) ORDER BY i) AS content FROM r JOIN b ON b.doc_id = r.doc_id AND b.i BETWEEN r.a AND r.z GROUP BY r.doc_id, r.a, r.z),
+    t AS (SELECT {TOKENS.format("content")} AS n, len(list_filter({TERMS.format("content")}, lambda w: regexp_matches(w, '^[a-z]{{4,}}$') AND w NOT IN ('{STOP}'))) > 0 AS words FROM c)
+    SELECT count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_tokens, round(avg(n), 6) AS avg_tokens, min(n) AS least, max(n) AS most, (SELECT count(*) FROM ({SQL["chunk_records"]}) WHERE has_figure_reference) AS with_figures,
+      count(*) FILTER (words) AS with_keywords, 'report' AS first_type FROM t"""
+)
+def record_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of all documents' chunks, and how many refer to a figure or have keywords."""
+    return segment.record_stats(index.report_chunks(document_blocks(spark, sf_dir)))
 
 
 SOME = "CASE WHEN coalesce({0}, '') = '' THEN '{1}' ELSE {0} END"
