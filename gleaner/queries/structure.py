@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ from ..functions.fixed import BOUNDARY_FORMS, GRADE_FORMS, HEADING_FORMS, SECTIO
 from ..operators import figures, knn, rubric, segment, tables
 from ..plans import evaluate, index, report
 from ..plans.settings import Settings
-from ..sources import store
+from ..sources import docx, folder, store
+from ..sources.scratch import shared_path
 from .literals import frame, values
 from .retrieval import STOP, TERMS, TOKENS, Query, table, tokenizer
 
@@ -155,6 +159,33 @@ def pack_report_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.report_chunks(blocks).select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), "token_count")
 
 
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' ELSE 'docx' END AS suffix, count(*) AS n_lines, md5(string_agg(regexp_replace(line, '^\s+|\s+$', '', 'g'), chr(10) ORDER BY n)) AS lines_md5
+    FROM l WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> '' GROUP BY doc_id"""
+)
+def folder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as a file of one of three kinds, and the folder read back as a data source: its lines by file."""
+    path = shared_path(spark, "folder")
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            fs, root, _ = folder.opened(path)
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                suffix = ("txt", "md", "docx")[doc % 3]
+                fs.create_dir(f"{root}/{doc % 100}", recursive=True)
+                with fs.open_output_stream(f"{root}/{doc % 100}/{doc}.{suffix}") as file:
+                    file.write(docx.packed((text or "").split("\n")) if suffix == "docx" else (text or "").encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    rows = folder.documents(spark, path)
+    line = F.regexp_replace("content", r"^\s+|\s+$", "")
+    lines = rows.select(F.regexp_extract("path", r"/(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "suffix", "block_idx", line.alias("line")).filter("line <> ''")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "line"))), lambda x: x["line"])
+    return lines.groupBy("doc_id", "suffix").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(ordered, "\n")).alias("lines_md5"))
+
+
 @query(SQL["pack_report_chunks"])
 def chunks_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a table function of SQL."""

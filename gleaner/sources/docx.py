@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from typing import Protocol
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,6 +48,15 @@ def blocks(data: bytes) -> Iterator[tuple[str, str, str | None, int | None, list
             yield "table", "\n".join(" | ".join(r) for r in cells), None, None, cells
 
 
+def packed(lines: list[str]) -> bytes:
+    """A Word document with a paragraph for each line."""
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("word/document.xml", f'<w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
 def images(data: bytes) -> Iterator[tuple[str, str, bytes]]:
     """Figure ids in the order of relationships, format and bytes of embedded images."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
