@@ -420,7 +420,10 @@ def test_queries_return_their_columns(spark):
         "op7_suffixes": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         "op8_minhash": ["doc_id", "n_shingles", "component_id", "kept"],
         "op9_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+        "op11_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+        "op12_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+        "op13_webtext": ["page_id", "url", "text", "n_chars"],
     }
     for name, columns in want.items():
         assert queries()[name](spark, DATA).columns == columns
-    assert len(queries()) == 10
+    assert len(queries()) == 13
