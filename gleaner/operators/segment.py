@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import bound_batches
 from ..functions.fixed import CODE_FORM, CRITERIA_SIZE, LEAST_SIZE, NAMED_SECTION_FORM, NUMBERED_FORM, REPORT_MOST, REPORT_OVERLAP, REPORT_SIZE
 from ..functions.text import figure_ids, is_heading, token_count
 
@@ -198,23 +199,18 @@ def criteria_chunks(blocks: DataFrame, size: int = CRITERIA_SIZE, count: Count =
     return _chunks(folded, ["criterion_id"], count)
 
 
-def best_split(text: Column, target: Column, window: int = 200) -> Column:
-    """Where to cut near target (characters from 0): after a blank line, line, sentence or clause end, closer ones first."""
-    first = F.greatest(F.lit(0), target - window)
-    last = F.least(F.length(text), target + window) - 1
+def best_splits(text: Column, targets: Column, window: int = 200) -> Column:
+    """Where to cut near each target (characters from 0): after a blank line, line, sentence or clause end, closer ones first.
 
-    def best(v: Column) -> Column:
-        def rate(pos: Column) -> Column:
-            two = F.substring(v["near"], pos - v["first"] + 1, F.lit(2))
-            value = F.when(two == "\n\n", 100.0).when(F.substring(two, 1, 1) == "\n", 50.0).when(two.rlike(r"^[.!?] $"), 30.0).when(two.rlike(r"^[,;:] $"), 10.0).otherwise(0.0)
-            return F.struct((value - F.abs(pos - v["target"]) / window * 20).alias("score"), (-pos).alias("neg"))
+    A text is walked through once for all its targets. Targets of a null text stay.
+    """
 
-        return F.array_max(F.transform(F.sequence(v["first"], F.greatest(v["last"], v["first"])), rate))
+    def found(texts: pd.Series, asked: pd.Series) -> pd.Series:
+        cuts = [None if t is None else Cuts(t) for t in texts]
+        return pd.Series([None if a is None else [int(t) if c is None else c.near(int(t), window) for t in a] for c, a in zip(cuts, asked, strict=True)])
 
-    # bound to a variable, so that lengths and surroundings are worked out once and not at every position
-    bound = F.struct(F.substring(text, first + 1, F.lit(2 * window + 1)).alias("near"), first.alias("first"), last.alias("last"), target.alias("target"))
-    found = F.get(F.transform(F.array(bound), best), F.lit(0))
-    return F.when((last >= first) & (found["score"] > 0), 1 - found["neg"]).otherwise(target)
+    bound_batches()
+    return F.pandas_udf(found, "array<int>")(text, targets.cast("array<int>"))
 
 
 #: Places where a text may be cut, found together with what follows them, and their worth: blank line, line, sentence, clause.

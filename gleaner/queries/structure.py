@@ -241,8 +241,11 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best place to cut each text near every thousandth character."""
-    targets = places(spark, sf_dir).withColumn("target", F.least(F.col("n") * 1000, F.length("text")))
-    return targets.select("doc_id", "target", segment.best_split(F.col("text"), F.col("target")).alias("cut"))
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 1000).cast("int"))
+    targets = F.transform(F.sequence(F.lit(1), n), lambda i: F.least(i * 1000, F.length("text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", targets.alias("targets"))
+    made = docs.select("doc_id", F.explode(F.arrays_zip("targets", segment.best_splits(F.col("text"), F.col("targets")).alias("cuts"))).alias("p"))
+    return made.select("doc_id", F.col("p.targets").alias("target"), F.col("p.cuts").alias("cut"))
 
 
 @query()
