@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import bound_batches
 from ..functions.text import terms
+from ..sources.scratch import shared_path
 
 FEATURES = 1 << 15
 PASSES = 8
 #: Columns of a block beyond the directions wanted, and weights that are multiplied at once.
 SPARE = 16
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 11
 #: Directions weaker than this share of the strongest count as none.
 TINY = 1e-9
 
@@ -63,11 +65,23 @@ class Rows:
         count = np.bincount(at, sign, minlength=len(cells))
         cells, count = cells[count != 0], count[count != 0]
         row, col = cells // FEATURES, cells % FEATURES
+        return cls(row, col, count, len(sizes)).weighed(rarity)
+
+    @classmethod
+    def stored(cls, cols: pa.Array, counts: pa.Array, rarity: np.ndarray | None = None) -> Rows:
+        """cols, counts: the columns and signed counts of each text."""
+        sizes = cols.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        col, count = (x.flatten().to_numpy(zero_copy_only=False) for x in (cols, counts))
+        return cls(np.repeat(np.arange(len(sizes)), sizes), col.astype(np.int64), count.astype(float), len(sizes)).weighed(rarity)
+
+    def weighed(self, rarity: np.ndarray | None) -> Rows:
+        """The rows of signed counts with weights in their place."""
         if rarity is None:
-            return cls(row, col, count, len(sizes))
+            return self
+        row, col, count = self.row, self.col, self.weight
         weight = np.sign(count) * (1 + np.log(np.abs(count))) * rarity[col]
-        norm = np.sqrt(np.bincount(row, weight * weight, minlength=len(sizes)))
-        return cls(row, col, weight / np.where(norm > 0, norm, 1)[row], len(sizes))
+        norm = np.sqrt(np.bincount(row, weight * weight, minlength=self.n))
+        return Rows(row, col, weight / np.where(norm > 0, norm, 1)[row], self.n)
 
     def parts(self) -> Iterator[Rows]:
         """The rows, some at a time, so that products stay small; a row longer than that alone."""
@@ -97,11 +111,9 @@ class Rows:
 
     def back(self, left: np.ndarray, into: np.ndarray) -> None:
         """Add the transpose's product with a matrix of a row for each text."""
-        for part, first in zip(self.parts(), self.firsts(), strict=True):
-            order = np.argsort(part.col, kind="stable")
-            col = part.col[order]
-            starts = np.flatnonzero(np.append(True, col[1:] != col[:-1]))
-            into[col[starts]] += np.add.reduceat(part.weight[order, None] * left[first + part.row[order]], starts, axis=0)
+        starts = np.flatnonzero(np.append(True, self.row[1:] != self.row[:-1])) if len(self.row) else np.zeros(0, np.int64)
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(self.row)], strict=False):
+            into[self.col[i:j]] += self.weight[i:j, None] * left[self.row[i]]  # a text's columns are different
 
 
 @dataclass
@@ -123,6 +135,7 @@ class Model:
         def embedded(hashed: pd.Series) -> pd.Series:
             return pd.Series(list(self.vectors([h if h is not None else [] for h in hashed])))
 
+        bound_batches()
         return F.pandas_udf(embedded, "array<double>")(hashes(text))
 
 
@@ -130,20 +143,35 @@ def summed(rows: DataFrame, local, zero):  # noqa: ANN001, ANN201
     """The sum over all partitions of what local makes of the batches of one: a matrix, or what merges by +."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(local(b.column(0) for b in batches))], pa.binary())], ["part"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(local(batches))], pa.binary())], ["part"])
 
     parts = rows.mapInArrow(run, "part binary").rdd
     return parts.map(lambda r: pickle.loads(bytes(r[0]))).treeReduce(lambda a, b: a + b) if parts.getNumPartitions() else zero
 
 
+def counted(docs: DataFrame, text: str) -> DataFrame:
+    """cols, counts: the columns and signed counts of each text, stored, as every pass reads them again."""
+    path = shared_path(docs.sparkSession, "latent")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Rows.of(batch.column(0))
+            ends = pa.array(np.searchsorted(found.row, np.arange(found.n + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (found.col, found.weight)], ["cols", "counts"])
+
+    bound_batches(docs.sparkSession)
+    docs.select(hashes(F.col(text)).alias("hashes")).mapInArrow(run, "cols array<int>, counts array<int>").write.parquet(path)
+    return docs.sparkSession.read.schema("cols array<int>, counts array<int>").parquet(path)
+
+
 def fit(docs: DataFrame, text: str = "text", size: int = 64, passes: int = PASSES, seed: int = 11) -> Model:
     """A model of `size` directions from every text. The driver holds 2 * passes matrices of FEATURES rows and size + SPARE columns, whatever the corpus."""
-    rows = docs.select(hashes(F.col(text)).alias("hashes"))
+    rows = counted(docs, text)
 
-    def frequencies(batches: Iterator[pa.Array]) -> np.ndarray:
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(FEATURES + 1)
-        for lists in batches:
-            found = Rows.of(lists)
+        for batch in batches:
+            found = Rows.stored(*batch.columns)
             out += np.bincount(found.col, minlength=FEATURES + 1)
             out[FEATURES] += found.n
         return out
@@ -155,10 +183,10 @@ def fit(docs: DataFrame, text: str = "text", size: int = 64, passes: int = PASSE
     basis, products = block[:, :0], block[:, :0]
     for _ in range(passes):
 
-        def gram(batches: Iterator[pa.Array], block: np.ndarray = block) -> np.ndarray:
+        def gram(batches: Iterator[pa.RecordBatch], block: np.ndarray = block) -> np.ndarray:
             out = np.zeros_like(block)
-            for lists in batches:
-                found = Rows.of(lists, rarity)
+            for batch in batches:
+                found = Rows.stored(*batch.columns, rarity)
                 found.back(found.times(block), out)
             return out
 
