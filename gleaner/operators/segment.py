@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.batches import bound_batches
+from ..functions.bpe import vocabulary_count
 from ..functions.fixed import CODE_FORM, CRITERIA_SIZE, LEAST_SIZE, NAMED_SECTION_FORM, NUMBERED_FORM, REPORT_MOST, REPORT_OVERLAP, REPORT_SIZE
 from ..functions.text import figure_ids, is_heading, token_count
 
 
 Count = Callable[[Column], Column]
+#: Between the blocks of a chunk.
+JOINT = "\n\n"
 
 
 def line_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,21 +64,36 @@ def assemble_paragraphs(lines: DataFrame, cells: DataFrame | None = None) -> Dat
     return numbered.groupBy("doc_id", "page", "para_no").agg(F.min("kind").alias("kind"), joined.alias("content"))
 
 
+def _joined(count: Count, first: Column, last: Column) -> Column:
+    """The tokens of a chunk from those of its blocks and joints, null where its text must be counted."""
+    if not isinstance(count, vocabulary_count):
+        return F.lit(None).cast("int")
+    total = lambda blocks, field: F.aggregate(blocks, F.lit(0), lambda s, b: s + b[field])
+    return total(F.slice("blocks", first + 1, last - first + 1), "tokens") + total(F.slice("blocks", first + 1, last - first), "more")
+
+
 def _chunks(folded: DataFrame, extra: list[str], count: Count) -> DataFrame:
-    """Ranges of blocks as chunks: content, token count and number."""
-    rows = folded.select("doc_id", "blocks", F.posexplode("ranges").alias("chunk_index", "r"))
-    part = F.slice("blocks", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1)
-    content = F.array_join(F.transform(part, lambda b: b["content"]), "\n\n")
-    page = [F.get(F.col("blocks"), F.col("r.first"))["page"].alias("page_start"), F.get(F.col("blocks"), F.col("r.last"))["page"].alias("page_end")]
-    out = rows.select("doc_id", "chunk_index", content.alias("content"), *page, *[F.col(f"r.{c}").alias(c) for c in extra])
-    return out.withColumn("token_count", count(F.col("content")))
+    """Ranges of blocks as chunks: content, token count and number. A document's blocks are not handed on with each of its chunks."""
+
+    def chunk(r: Column) -> Column:
+        part = F.slice("blocks", r["first"] + 1, r["last"] - r["first"] + 1)
+        content = F.array_join(F.transform(part, lambda b: b["content"]), JOINT)
+        page = [F.get("blocks", r["first"])["page"].alias("page_start"), F.get("blocks", r["last"])["page"].alias("page_end")]
+        return F.struct(content.alias("content"), *page, *[r[c].alias(c) for c in extra], _joined(count, r["first"], r["last"]).alias("joined"))
+
+    rows = folded.select("doc_id", F.posexplode_outer(F.transform("ranges", chunk)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")
+    text = F.when(F.col("joined").isNull(), F.col("content"))
+    return rows.withColumn("token_count", F.coalesce("joined", count(text))).drop("joined")
 
 
 def _gather(blocks: DataFrame, count: Count, *fields: Column) -> DataFrame:
     page = F.col("page") if "page" in blocks.columns else F.lit(1).alias("page")
-    counted = blocks.withColumn("_tokens", count(F.col("content")))
-    row = F.struct("block_idx", "content", page, F.col("_tokens").alias("tokens"), *fields)
-    return counted.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("blocks"))
+    gathered = lambda rows, *more: rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "content", page, *more))).alias("blocks"))
+    if not isinstance(count, vocabulary_count):
+        return gathered(blocks.withColumn("_tokens", count(F.col("content"))), F.col("_tokens").alias("tokens"), *fields)
+    counted = gathered(blocks, *fields).withColumn("_counts", count.of_lines(F.col("blocks.content"), JOINT))
+    joined = F.zip_with("blocks", "_counts", lambda b, c: b.withField("tokens", c["tokens"]).withField("more", c["more"]))
+    return counted.select("doc_id", joined.alias("blocks"))
 
 
 def _major() -> Column:
